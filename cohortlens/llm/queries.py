@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import packing
+from cohortlens.llm import decontamination, neardup, packing
 from cohortlens.llm.common import read
 
 
@@ -14,8 +14,17 @@ def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(read(spark, sf_dir, "documents")))
 
 
+def op4_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op9_odd_sketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(read(spark, sf_dir, "documents"), words=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_mixture_packing,)}
+    return {f.__name__: f for f in (op4_fm_decontamination, op5_mixture_packing, op9_odd_sketch_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
