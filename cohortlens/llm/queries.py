@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import decontamination, neardup, packing
+from cohortlens.llm import decontamination, linededup, media, neardup, packing, tokencount
 from cohortlens.llm.common import read
 
 
@@ -14,17 +14,29 @@ def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(read(spark, sf_dir, "documents")))
 
 
+def op3_iso_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(media.stored_as_media(read(spark, sf_dir, "documents")))
+
+
 def op4_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_winnowing_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "removed.*")
+
+
+def op8_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(read(spark, sf_dir, "documents"))
+
+
 def op9_odd_sketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(read(spark, sf_dir, "documents"), words=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_fm_decontamination, op5_mixture_packing, op9_odd_sketch_neardup)}
+    return {f.__name__: f for f in (op3_iso_media_columns, op4_fm_decontamination, op5_mixture_packing, op7_winnowing_line_dedup, op8_viterbi_token_counts, op9_odd_sketch_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
