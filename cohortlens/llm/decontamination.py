@@ -11,7 +11,7 @@ so that what is broadcast is bounded whatever the benchmark's size. Nothing is s
 Defined results: null text has no words and no hits; null or wordless items have no phrase; repeated items count
 as one id each and repeated rows get a row each; items with a null id take part as the empty id; an empty table
 gives no rows, an empty benchmark gives rows without hits. Columns besides doc_id, text and item_id are not
-looked at.
+looked at, and kept.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm import common
@@ -211,30 +211,30 @@ def _blocks(benchmark: DataFrame) -> list[list[tuple[str, bytes]]]:
 
 
 def removal_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` (doc_id, text) with n_words, item_ids (sorted) and spans: merged [start, stop) word places to remove."""
+    """Each row of ``docs`` as a struct ``row``, with n_words, item_ids (sorted) and spans: merged [start, stop) word places to remove."""
     spark = docs.sparkSession
-    out = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<string>").alias("item_ids"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans"))
-    schema = out.schema
+    row = F.struct(*[common.col(docs, c) for c in docs.columns])
+    out = docs.select(row.alias("row"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<string>").alias("item_ids"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans"))
+    schema, place = out.schema, docs.columns.index("text")
     for block in _blocks(benchmark) or [[]]:
         sent = spark.sparkContext.broadcast(phrases_of(block, window))
 
         def rows(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             def shard() -> pa.RecordBatch:
                 spans, items = _hits(words, sent.value)
-                whole = pa.Table.from_batches(held)
+                whole = pa.Table.from_batches(held).combine_chunks()
                 old_items, old_spans = whole["item_ids"].to_pylist(), whole["spans"].to_pylist()
                 return pa.RecordBatch.from_arrays(
                     [
-                        whole["doc_id"].combine_chunks(), whole["text"].combine_chunks(), pa.array(map(len, words), pa.int64()),
-                        pa.array([sorted({*a, *b}) for a, b in zip(old_items, items)], pa.list_(pa.string())),
+                        whole["row"].chunk(0), pa.array(map(len, words), pa.int64()), pa.array([sorted({*a, *b}) for a, b in zip(old_items, items)], pa.list_(pa.string())),
                         pa.array([_merged([(x["start"], x["stop"]) for x in a] + b) for a, b in zip(old_spans, spans)], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
                     ],
-                    ["doc_id", "text", "n_words", "item_ids", "spans"],
+                    ["row", "n_words", "item_ids", "spans"],
                 )
 
             held, words, size = [], [], 0
-            for batch in common.slices(batches, "text", 2 << 20):
-                some = [words_of((t or "").encode()) for t in batch.column("text").to_pylist()]
+            for batch in common.slices(batches, "row", 2 << 20):
+                some = [words_of((t or "").encode()) for t in batch.column("row").field(place).to_pylist()]
                 held.append(batch)
                 words += some
                 size += sum(map(len, some))
@@ -258,11 +258,22 @@ def _merged(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
     return out
 
 
+def _n_hit() -> Column:
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["stop"] - x["start"])
+
+
+def _contaminated() -> Column:
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document the words inside test phrases, the items and whether a twentieth of its words or more are hit."""
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["stop"] - x["start"])
-    found = removal_spans(docs, benchmark).select("doc_id", "n_words", n_hit.alias("n_hit"), "item_ids")
-    return found.select(
-        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("item_ids"), ",").cast("binary"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-    )
+    found = removal_spans(docs.select("doc_id", "text"), benchmark).select("row.doc_id", "n_words", _n_hit().alias("n_hit"), "item_ids")
+    items = F.sha2(F.array_join(F.array_sort("item_ids"), ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), items.alias("items_sha256"), _contaminated().alias("contaminated"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, whole."""
+    found = removal_spans(docs, benchmark).select("row", "n_words", _n_hit().alias("n_hit")).where(~_contaminated())
+    return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

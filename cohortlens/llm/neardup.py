@@ -165,7 +165,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of ``docs``: doc_id, text_hash, n_shingles, component_id and kept."""
+    """Per row of ``docs``: doc_id, text_hash, n_shingles, component_id, kept, and ``group``: null for empty sets."""
     similarity = percent / 100
     sketches = common.stored(sketched(docs, words), "sketches")
     classes = sketches.where("n_shingles > 0").groupBy("cls").agg(
@@ -203,7 +203,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     linked = classes.select("cls", "doc_id").join(labels, "cls")
     names = linked.groupBy("component").agg(F.min("doc_id").alias("name"))
     named = classes.select("cls", "doc_id").join(linked.select("cls", "component").join(names, "component"), "cls", "left")
-    named = named.select("cls", F.coalesce("name", "doc_id").alias("name"))
+    named = named.select("cls", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("name")).alias("name"), F.coalesce("component", "cls").alias("group"))
     out = sketches.select("doc_id", "text_hash", "n_shingles", "cls").join(named, "cls", "left")
-    out = out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    component = F.when(F.col("n_shingles") > 0, F.col("name")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "group")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the row that names it, once."""
+    found = near_duplicates(docs, words, percent).where("kept")
+    alone = F.encode(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text_hash"), "utf-8")
+    found = found.groupBy(F.coalesce("group", alone).alias("group")).agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.doc_id", "k.text_hash").alias("k")
+    hash_ = common.fresh(docs, "text_hash")
+    d = docs.withColumn(hash_, common.text_hash(F.col("text"))).alias("d")
+    kept = d.join(found, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col(f"d.{hash_}") == F.col("k.text_hash")), "left_semi")
+    return kept.dropDuplicates(["doc_id", hash_]).drop(hash_)

@@ -5,9 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortlens.llm import decontamination, linededup, media, neardup, packing, tokencount
-from cohortlens.llm.common import read
+from cohortlens.llm import decontamination, langid, linededup, media, neardup, packing, shards, tokencount, toxicity, wrappers
+from cohortlens.llm.common import read, remainder
+
+
+def op1_tiered_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.placement(shards.compacted(read(spark, sf_dir, "documents")))
+
+
+def op2_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = remainder(F.col("doc_id"), toxicity.FOLDS) == toxicity.HELD_OUT
+    scored = toxicity.toxicity(docs, toxicity.train(docs, labels.where(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +34,10 @@ def op4_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(read(spark, sf_dir, "pages"))
+
+
 def op7_winnowing_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "removed.*")
 
@@ -35,8 +51,19 @@ def op9_odd_sketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op10_ftrl_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), langid.train(docs.where(langid.learnable())))
+    held_out = remainder(F.col("doc_id"), langid.FOLDS) == langid.HELD_OUT
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_iso_media_columns, op4_fm_decontamination, op5_mixture_packing, op7_winnowing_line_dedup, op8_viterbi_token_counts, op9_odd_sketch_neardup)}
+    found = (
+        op1_tiered_sharding, op2_counterfactual_toxicity, op3_iso_media_columns, op4_fm_decontamination, op5_mixture_packing,
+        op6_wrapper_text, op7_winnowing_line_dedup, op8_viterbi_token_counts, op9_odd_sketch_neardup, op10_ftrl_language_id,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
