@@ -48,7 +48,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         key = np.zeros(n, np.int64)
         for j in range(h):
             key <<= bits
-            key[:n - j] |= s[j:]
+            if j < n:
+                key[:n - j] |= s[j:]
         packed = np.sort(key << width | np.arange(n))
         sa = packed & ((1 << width) - 1)
     else:
