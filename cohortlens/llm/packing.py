@@ -35,7 +35,7 @@ ROUNDS, BLOCKS = 64, 4096
 #: ASCII marks that the tokenizer always splits from a letter before them.
 MARKS = ".,;:!?"
 #: Chunks kept in a Python worker; the memory for ids is cleared beyond it.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 END = END_ID.to_bytes(4, "little")
 
 

@@ -29,7 +29,7 @@ from cohortlens.llm import common
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 #: Unicode's White_Space; Python's str.split() also cuts at U+001C to U+001F.
 _SPACE = re.compile("[\t\n\x0b\x0c\r \x85\xa0  -     　]+")
 _CONTROLS = re.compile("[\x1c-\x1f]")
