@@ -70,3 +70,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 16 << 20
         step = max(1, limit // per_row)
         for at in range(0, n, step):
             yield batch.slice(at, step)
+
+
+def spans(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Cut rows of these sizes into ``[start, stop)`` runs of about ``limit``, at least a row each."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if total and total + n > limit:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)

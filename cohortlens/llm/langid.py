@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm import common
-from cohortlens.llm.ngrams import WordSums, grams, words_of
+from cohortlens.llm.ngrams import CACHE_WORDS, WordSums, grams, words_of
 
 BITS = 16
 LOW, HIGH = 1, 3
@@ -51,10 +51,10 @@ def document_frequency(docs: DataFrame) -> tuple[int, np.ndarray]:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n, mark = np.zeros(1 << BITS, np.int64), 0, np.zeros(1 << BITS, bool)
         known: dict[str, np.ndarray] = {}
-        for batch in common.slices(batches, "text", 4 << 20):
+        for batch in common.slices(batches, "text", 1 << 20):
             texts = [set(words_of(t)) for t in batch.column("text").to_pylist()]
             new = sorted(set().union(*texts).difference(known))
-            if len(known) + len(new) > 200_000:
+            if len(known) + len(new) > CACHE_WORDS // 2:
                 known.clear()
                 new = sorted(set().union(*texts))
             if new:
@@ -183,15 +183,16 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         m = sent.value
         if not table:
             table.append(WordSums(m.weights, LOW, HIGH, BITS))
-        words = [words_of(t) for t in texts]
-        out = pd.DataFrame({"lang_pred": [UNDETERMINED] * len(words), "lang_score": 0.0})
-        known = [i for i, w in enumerate(words) if w] if m.langs else []
-        if known:
-            sums = table[0].sums([words[i] for i in known])
-            p = softmax(sums[:, :-1] / sums[:, -1:] / m.temperature)
-            out.loc[known, "lang_pred"] = np.array(m.langs, object)[p.argmax(axis=1)]
-            out.loc[known, "lang_score"] = p.max(axis=1)
-        return out
+        pred, score = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
+        for a, b in common.spans([len(t or "") for t in texts], 1 << 20):
+            words = [words_of(t) for t in texts.iloc[a:b]]
+            known = [i for i, w in enumerate(words) if w] if m.langs else []
+            if known:
+                sums = table[0].sums([words[i] for i in known])
+                p = softmax(sums[:, :-1] / sums[:, -1:] / m.temperature)
+                at = np.array(known) + a
+                pred[at], score[at] = np.array(m.langs, object)[p.argmax(axis=1)], p.max(axis=1)
+        return pd.DataFrame({"lang_pred": pred, "lang_score": score})
 
     found = whole.select("row", predict("text").alias("p"))
     pred = common.fresh(docs, "lang_pred")

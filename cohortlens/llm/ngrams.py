@@ -9,7 +9,7 @@ import numpy as np
 
 #: Runs of letters of any script.
 LETTERS = re.compile(r"[^\W\d_]+")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -220,7 +220,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordSums(sent.value.weights, LOW, HIGH, BITS)
-        for batch in common.slices(batches, "text", 4 << 20):
+        for batch in common.slices(batches, "text", 1 << 20):
             s = table.sums([set(words_of(t)) for t in batch.column("text").to_pylist()])[:, 0] + sent.value.intercept
             score = 1 / (1 + np.exp(-np.clip(s, -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
