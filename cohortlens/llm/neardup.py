@@ -6,13 +6,13 @@
 2. Documents with equal sets collapse to a class; thousands of copies are one row from here on.
 3. In each band's bucket, members are compared with one of them, the centre, which each bucket chooses by its own
    hash. The odd sketch drops pairs that are clearly too far; the rest are confirmed on full sets.
-4. Buckets whose members are then still in more than one component have all their pairs between components
-   compared (the sketch test is part of the join, so only near pairs are made) and confirmed. So no pair that
+4. Members outside their bucket's largest component are compared with a few of its members, each chosen by a hash.
+   Buckets whose members are then still in more than one component have all their pairs between components compared (the sketch test is part of the join, so only near pairs are made) and confirmed. So no pair that
    shares a bucket is left out, and groups of copies never make all their pairs.
 5. Components by large-star and small-star; the smallest doc_id names one.
 
 With 32 bands of 4 samples a pair of similarity 0.85 shares no bucket with probability 6e-11 (at 0.8: 5e-8); the
-sketch's threshold is six standard deviations beyond the similarity asked for.
+sketch's threshold is four and a half standard deviations beyond the similarity asked for.
 
 Defined results: null text has no words; a document without words has an empty set and links with nothing; one
 with fewer words than a shingle has its whole sequence as its only shingle. Rows that agree in doc_id and text are
@@ -44,6 +44,12 @@ A = _random.integers(1, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(
 B = _random.integers(0, 1 << 63, SAMPLES, np.uint64)
 MIX = _random.integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 CACHE_WORDS = 400_000
+#: Text hashes (8 bytes each) that are sent to all executors at most.
+WANTED_ROWS = 2_000_000
+#: Members of a bucket's largest component that each member outside it is compared with, before all.
+CENTRES = 8
+#: Standard deviations that the sketch's threshold leaves: one true pair in 300,000 at the very threshold is missed.
+MARGIN = 4.5
 
 
 class _Hashes(dict):
@@ -95,11 +101,11 @@ def odd_sketch(low: np.ndarray) -> np.ndarray:
 
 
 def farthest(similarity: float) -> int:
-    """The largest XOR population count that a pair of this similarity has, six standard deviations above the mean."""
+    """The largest XOR population count that a pair of this similarity has, MARGIN standard deviations above the mean."""
     differ = SAMPLES * (1 - similarity)
     left = math.exp(-4 * differ / BITS)
     mean = BITS / 2 * (1 - left)
-    return math.ceil(mean + 6 * (2 * left * math.sqrt(differ * similarity) + 0.5 * math.sqrt(mean)))
+    return math.ceil(mean + MARGIN * (2 * left * math.sqrt(differ * similarity) + 0.5 * math.sqrt(mean)))
 
 
 def sketched(docs: DataFrame, words: int) -> DataFrame:
@@ -143,7 +149,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     A text goes to each pair's row, not pairs to a text's task: a centre of many pairs is a skewed join, which
     Spark splits.
     """
-    wanted = pairs.select(F.col("tu").alias("t")).unionByName(pairs.select(F.col("tv").alias("t"))).distinct()
+    wanted = common.stored(pairs.select(F.col("tu").alias("t")).unionByName(pairs.select(F.col("tv").alias("t"))).distinct(), "wanted")
+    # So few hashes spare all texts the shuffle; with more, texts and hashes are shuffled.
+    wanted = F.broadcast(wanted) if wanted.count() <= WANTED_ROWS else wanted
     texts = docs.select(common.text_hash(F.col("text")).alias("t"), F.col("text").cast("binary").alias("text"))
     texts = common.stored(texts.join(wanted, "t", "left_semi").groupBy("t").agg(F.first("text").alias("text")), "texts")
     first, second = texts.select(F.col("t").alias("tu"), F.col("text").alias("a")), texts.select(F.col("t").alias("tv"), F.col("text").alias("b"))
@@ -186,16 +194,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = common.stored(confirmed(tested, docs, words, percent), "confirmed")
     labels = components(links).withColumnsRenamed({"node": "cls"})
 
-    placed = full.select("bucket", "cls").join(labels, "cls", "left").select("bucket", "cls", F.coalesce("component", "cls").alias("component"))
-    placed = common.stored(placed, "placed")
+    def place() -> DataFrame:
+        found = full.select("bucket", "cls").join(labels, "cls", "left").select("bucket", "cls", F.coalesce("component", "cls").alias("component"))
+        return common.stored(found, "placed")
+
+    def untested(pairs: DataFrame, before: DataFrame) -> DataFrame:
+        both_ways = before.select("u", "v").unionByName(before.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        return common.stored(pairs.join(both_ways, ["u", "v"], "left_anti"), "met")
+
+    placed = place()
+    sizes = placed.groupBy("bucket", "component").agg(
+        F.count(F.lit(1)).alias("size"), *[F.min(F.struct(F.xxhash64("cls", "bucket", F.lit(i)), "cls")).alias(f"c{i}") for i in range(CENTRES)]
+    )
+    largest = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("size", "component", *[f"c{i}" for i in range(CENTRES)])).alias("m")).where("n > 1")
+    largest = largest.select("bucket", F.col("m.component").alias("large"), F.array_distinct(F.array(*[f"m.c{i}.cls" for i in range(CENTRES)])).alias("centres"))
+    outside = placed.join(largest, "bucket").where("component <> large").select(F.explode("centres").alias("u"), F.col("cls").alias("v")).distinct()
+    outside = outside.join(side("v"), "v").join(side("u"), "u").where(near).select("u", "v", "tu", "tv")
+    outside = untested(outside, tested)
+    if not outside.isEmpty():
+        tested = tested.unionByName(outside)
+        links = links.unionByName(common.stored(confirmed(outside, docs, words, percent), "confirmed"))
+        labels = components(links).withColumnsRenamed({"node": "cls"})
+        placed = place()
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
     open_ = common.stored(placed.join(mixed, "bucket", "left_semi").join(about, "cls"), "open")
     p = lambda k: open_.select("bucket", F.col("cls").alias(k), F.col("component").alias(f"c{k}"), F.col("t").alias(f"t{k}"), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
     left, right = p("u"), p("v")
     met = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("cu") < F.col("cv")) & near)
     met = met.select("u", "v", "tu", "tv").distinct()
-    both_ways = tested.select("u", "v").unionByName(tested.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    met = common.stored(met.join(both_ways, ["u", "v"], "left_anti"), "met")
+    met = untested(met, tested)
     if not met.isEmpty():
         links = links.unionByName(common.stored(confirmed(met, docs, words, percent), "confirmed"))
         labels = components(links).withColumnsRenamed({"node": "cls"})
