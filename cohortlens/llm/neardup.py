@@ -7,7 +7,8 @@
 3. In each band's bucket, members are compared with one of them, the centre, which each bucket chooses by its own
    hash. The odd sketch drops pairs that are clearly too far; the rest are confirmed on full sets.
 4. Members outside their bucket's largest component are compared with a few of its members, each chosen by a hash.
-   Buckets whose members are then still in more than one component have all their pairs between components compared (the sketch test is part of the join, so only near pairs are made) and confirmed. So no pair that
+   Buckets whose members are then still in more than one component have all their pairs between components compared,
+   by finer odd sketches, (the sketch test is part of the join, so only near pairs are made) and confirmed. So no pair that
    shares a bucket is left out, and groups of copies never make all their pairs.
 5. Components by large-star and small-star; the smallest doc_id names one.
 
@@ -42,6 +43,10 @@ LONGS = BITS // 64
 _random = np.random.default_rng(9)
 A = _random.integers(1, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
 B = _random.integers(0, 1 << 63, SAMPLES, np.uint64)
+#: Samples and bits of the finer sketch, made only for members of buckets that stay in more than one component.
+FINE_SAMPLES, FINE_BITS = 1024, 2048
+FINE_A = _random.integers(1, 1 << 63, FINE_SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
+FINE_B = _random.integers(0, 1 << 63, FINE_SAMPLES, np.uint64)
 MIX = _random.integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 CACHE_WORDS = 400_000
 #: Text hashes (8 bytes each) that are sent to all executors at most.
@@ -85,26 +90,26 @@ def shingles(text: bytes | None, words: int) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-def samples(s: np.ndarray) -> np.ndarray:
-    low = np.full(SAMPLES, np.uint64(2**64 - 1))
+def samples(s: np.ndarray, a: np.ndarray = A, b: np.ndarray = B) -> np.ndarray:
+    low = np.full(len(a), np.uint64(2**64 - 1))
     for at in range(0, len(s), 1024):
-        x = A[:, None] * s[None, at:at + 1024]
-        x += B[:, None]
+        x = a[:, None] * s[None, at:at + 1024]
+        x += b[:, None]
         np.minimum(low, x.min(axis=1), out=low)
     return low
 
 
-def odd_sketch(low: np.ndarray) -> np.ndarray:
-    """The parity of the samples' places, as LONGS signed 64-bit numbers."""
-    place = _mixed(low + B) % np.uint64(BITS)
-    return np.packbits(np.bincount(place.astype(np.int64), minlength=BITS).astype(np.uint8) & 1).view(np.int64)
+def odd_sketch(low: np.ndarray, b: np.ndarray = B, bits: int = BITS) -> np.ndarray:
+    """The parity of the samples' places, as signed 64-bit numbers."""
+    place = _mixed(low + b) % np.uint64(bits)
+    return np.packbits(np.bincount(place.astype(np.int64), minlength=bits).astype(np.uint8) & 1).view(np.int64)
 
 
-def farthest(similarity: float) -> int:
+def farthest(similarity: float, n_samples: int = SAMPLES, bits: int = BITS) -> int:
     """The largest XOR population count that a pair of this similarity has, MARGIN standard deviations above the mean."""
-    differ = SAMPLES * (1 - similarity)
-    left = math.exp(-4 * differ / BITS)
-    mean = BITS / 2 * (1 - left)
+    differ = n_samples * (1 - similarity)
+    left = math.exp(-4 * differ / bits)
+    mean = bits / 2 * (1 - left)
     return math.ceil(mean + MARGIN * (2 * left * math.sqrt(differ * similarity) + 0.5 * math.sqrt(mean)))
 
 
@@ -139,8 +144,31 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
 
 def _near(n: Column, sketch: Column, n2: Column, sketch2: Column, similarity: float) -> Column:
     """Whether sizes and sketches leave it possible that two sets are as similar as that."""
-    apart = sum((F.bit_count(sketch[i].bitwiseXOR(sketch2[i])) for i in range(1, LONGS)), F.bit_count(sketch[0].bitwiseXOR(sketch2[0])))
-    return (F.least(n, n2) >= F.greatest(n, n2) * F.lit(similarity - 1e-9)) & (apart <= farthest(similarity))
+    return (F.least(n, n2) >= F.greatest(n, n2) * F.lit(similarity - 1e-9)) & (_apart(sketch, sketch2, BITS) <= farthest(similarity))
+
+
+def _apart(sketch: Column, sketch2: Column, bits: int) -> Column:
+    return sum((F.bit_count(sketch[i].bitwiseXOR(sketch2[i])) for i in range(1, bits // 64)), F.bit_count(sketch[0].bitwiseXOR(sketch2[0])))
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(t, text)`` of the wanted text hashes ``t``, each once."""
+    wanted = common.stored(wanted.distinct(), "wanted")
+    # So few hashes spare all texts the shuffle; with more, texts and hashes are shuffled.
+    wanted = F.broadcast(wanted) if wanted.count() <= WANTED_ROWS else wanted
+    texts = docs.select(common.text_hash(F.col("text")).alias("t"), F.col("text").cast("binary").alias("text"))
+    return common.stored(texts.join(wanted, "t", "left_semi").groupBy("t").agg(F.first("text").alias("text")), "texts")
+
+
+def fine_sketches(texts: DataFrame, words: int) -> DataFrame:
+    """``(t, fine)``: the finer odd sketch of each text."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text", 8 << 20):
+            fine = [odd_sketch(samples(shingles(t.as_py(), words), FINE_A, FINE_B), FINE_B, FINE_BITS) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(fine, pa.list_(pa.int64()))], ["t", "fine"])
+
+    return texts.mapInArrow(rows, "t long, fine array<long>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -149,11 +177,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     A text goes to each pair's row, not pairs to a text's task: a centre of many pairs is a skewed join, which
     Spark splits.
     """
-    wanted = common.stored(pairs.select(F.col("tu").alias("t")).unionByName(pairs.select(F.col("tv").alias("t"))).distinct(), "wanted")
-    # So few hashes spare all texts the shuffle; with more, texts and hashes are shuffled.
-    wanted = F.broadcast(wanted) if wanted.count() <= WANTED_ROWS else wanted
-    texts = docs.select(common.text_hash(F.col("text")).alias("t"), F.col("text").cast("binary").alias("text"))
-    texts = common.stored(texts.join(wanted, "t", "left_semi").groupBy("t").agg(F.first("text").alias("text")), "texts")
+    texts = _texts(docs, pairs.select(F.col("tu").alias("t")).unionByName(pairs.select(F.col("tv").alias("t"))))
     first, second = texts.select(F.col("t").alias("tu"), F.col("text").alias("a")), texts.select(F.col("t").alias("tv"), F.col("text").alias("b"))
     both = pairs.join(second, "tv").join(first, "tu").select("u", "v", "tu", "a", "b")
 
@@ -217,11 +241,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         labels = components(links).withColumnsRenamed({"node": "cls"})
         placed = place()
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    open_ = common.stored(placed.join(mixed, "bucket", "left_semi").join(about, "cls"), "open")
-    p = lambda k: open_.select("bucket", F.col("cls").alias(k), F.col("component").alias(f"c{k}"), F.col("t").alias(f"t{k}"), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    still = common.stored(placed.join(mixed, "bucket", "left_semi"), "still")
+    # Of a pair's common buckets only the smallest counts.
+    shared = still.groupBy("cls").agg(F.array_sort(F.collect_list("bucket")).alias("all"))
+    known = common.stored(shared.join(about.drop("sketch"), "cls"), "known")
+    fine = fine_sketches(_texts(docs, known.select("t")), words)
+    open_ = common.stored(still.join(known.join(fine, "t"), "cls"), "open")
+    p = lambda k: open_.select("bucket", F.col("cls").alias(k), F.col("component").alias(f"c{k}"), *[F.col(x).alias(f"{x}{k}") for x in ("t", "n", "fine", "all")])
     left, right = p("u"), p("v")
-    met = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("cu") < F.col("cv")) & near)
-    met = met.select("u", "v", "tu", "tv").distinct()
+    close = (F.least("nu", "nv") >= F.greatest("nu", "nv") * F.lit(similarity - 1e-9)) & (_apart(F.col("fineu"), F.col("finev"), FINE_BITS) <= farthest(similarity, FINE_SAMPLES, FINE_BITS))
+    once = F.get(F.array_intersect("allu", "allv"), F.lit(0)) == left["bucket"]
+    met = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("cu") < F.col("cv")) & close & once).select("u", "v", "tu", "tv")
     met = untested(met, tested)
     if not met.isEmpty():
         links = links.unionByName(common.stored(confirmed(met, docs, words, percent), "confirmed"))
