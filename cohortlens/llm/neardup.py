@@ -44,7 +44,7 @@ _random = np.random.default_rng(9)
 A = _random.integers(1, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
 B = _random.integers(0, 1 << 63, SAMPLES, np.uint64)
 #: Samples and bits of the finer sketch, made only for members of buckets that stay in more than one component.
-FINE_SAMPLES, FINE_BITS = 1024, 2048
+FINE_SAMPLES, FINE_BITS = 2048, 4096
 FINE_A = _random.integers(1, 1 << 63, FINE_SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
 FINE_B = _random.integers(0, 1 << 63, FINE_SAMPLES, np.uint64)
 MIX = _random.integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -52,7 +52,7 @@ CACHE_WORDS = 400_000
 #: Text hashes (8 bytes each) that are sent to all executors at most.
 WANTED_ROWS = 2_000_000
 #: Members of a bucket's largest component that each member outside it is compared with, before all.
-CENTRES = 8
+CENTRES = 16
 #: Standard deviations that the sketch's threshold leaves: one true pair in 300,000 at the very threshold is missed.
 MARGIN = 4.5
 
