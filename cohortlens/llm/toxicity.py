@@ -31,7 +31,7 @@ from cohortlens.llm.ngrams import WordSums, grams, words_of
 
 BITS = 20
 LOW, HIGH = 4, 8
-ROWS = 8_000
+ROWS = 5_000
 ROUNDS, ACTIVE, STEPS = 6, 400, 120
 #: The L1 penalty is at least 1 / sqrt(rows): below that, chance alone lifts n-grams.
 L1, L2 = 0.02, 1e-4
