@@ -8,7 +8,8 @@ schedule, over all windows and partitions, is the order by (round, source, place
 place in the packed stream is a prefix sum over that order. Windows of ``window`` ids are cut from the stream.
 
 Prefix sums run in levels (document in a block of rounds, block in a group of blocks, group), so no task and no
-driver holds more than a bounded group. Only the document lengths take part; the ids move once, in one shuffle.
+driver holds more than a bounded group. Only the document lengths take part; the ids move once, in one shuffle,
+compressed by document, and are cut behind it.
 
 Defined results: null text counts as empty (a document of the end id alone); null or empty source is a queue of
 its own; repeated rows are packed each; an empty table gives no row; columns besides doc_id, text and source are
@@ -18,10 +19,12 @@ not looked at.
 from __future__ import annotations
 
 import os
+from bisect import bisect_right
 from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,6 +58,7 @@ class WordIds:
         vocabulary = tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.width = 2 if max(len(self.ends_word) - 1, END_ID) < 1 << 16 else 4
         self.chunks: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -103,8 +107,19 @@ class WordIds:
 _tokenizers: dict[str, WordIds] = {}
 
 
+def packed_ids(ids: bytes, width: int, compressor: zstandard.ZstdCompressor) -> bytes:
+    """Ids of 32 bits as compressed ids of ``width`` bytes."""
+    return compressor.compress(ids if width == 4 else np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes())
+
+
+def unpacked_ids(data: bytes, n: int, decompressor: zstandard.ZstdDecompressor) -> bytes:
+    """The ``n`` ids of ``packed_ids``, of 32 bits again."""
+    data = decompressor.decompress(data)
+    return data if len(data) == 4 * n else np.frombuffer(data, f"<u{len(data) // n}").astype("<u4").tobytes()
+
+
 def tokenized(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Per row: doc_id, source, part and pos (its key here), n ids, ids, and ``before``: ids of its source before it in its part."""
+    """Per row: doc_id, source, part and pos (its key here), n ids, ids (see ``packed_ids``), and ``before``: ids of its source before it in its part."""
     kept = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     doc_type = kept.schema["doc_id"].dataType.simpleString()
 
@@ -117,6 +132,7 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         if path not in _tokenizers:
             _tokenizers[path] = WordIds(path)
         words, part, pos, sent = _tokenizers[path], TaskContext.get().partitionId(), 0, {}
+        compressor = zstandard.ZstdCompressor(level=1)
         for batch in common.slices(batches, "text", 4 << 20):
             ids = words.ids(batch.column("text").to_pylist())
             sources, before = batch.column("source").to_pylist(), []
@@ -127,7 +143,7 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
                 [
                     batch.column("doc_id"), batch.column("source"), pa.array([part] * len(ids), pa.int32()),
                     pa.array(range(pos, pos + len(ids)), pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array(before, pa.int64()), pa.array(ids, pa.binary()),
+                    pa.array(before, pa.int64()), pa.array([packed_ids(x, words.width, compressor) for x in ids], pa.binary()),
                 ],
                 ["doc_id", "source", "part", "pos", "n", "before", "ids"],
             )
@@ -182,27 +198,45 @@ def tail(total: int, window: int = WINDOW) -> list[int]:
 
 def pack(docs: DataFrame, targets: Mapping[str, float] | None = None, window: int = WINDOW, tokenizer: str | None = None) -> DataFrame:
     """Pieces of documents in sequences of ``window`` ids; a row with its ids for each piece."""
-    spark = docs.sparkSession
     tokens = common.stored(tokenized(docs, tokenizer), "tokens")
     total = tokens.agg(F.sum("n")).first()[0] or 0
-    place = placed(tokens, targets, window)
+    found = tokens.drop("before").join(placed(tokens, targets, window), ["part", "pos"]).select("doc_id", "source", "n", "ids", "at")
+    return cut(found, total, window)
+
+
+def cut(tokens: DataFrame, total: int, window: int) -> DataFrame:
+    """The pieces of documents that begin ``at`` a place in the stream of ``total`` ids."""
+    whole = total - total % window
     starts = tail(total, window)
-    first = total // window
-    cuts = F.array(*[F.lit(s).cast("long") for s in starts]) if starts else F.array().cast("array<long>")
-    end = F.col("at") + F.col("n")
-    whole = F.sequence(F.floor(F.col("at") / window), F.floor((end - 1) / window))
-    inside = F.transform(F.filter(whole, lambda w: w < first), lambda w: F.struct(w.alias("sequence_id"), (w * window).alias("lo"), ((w + 1) * window).alias("hi")))
-    last = F.filter(
-        F.transform(cuts, lambda s, i: F.struct((F.lit(first) + i).cast("long").alias("sequence_id"), s.alias("lo"), F.coalesce(F.try_element_at(cuts, (i + 2).cast("int")), F.lit(total).cast("long")).alias("hi"))),
-        lambda x: (x["lo"] < end) & (x["hi"] > F.col("at")),
-    )
-    cut = tokens.drop("before").join(place, ["part", "pos"]).select("doc_id", "source", "n", "ids", "at", F.explode(F.concat(inside, last)).alias("w"))
-    start = F.greatest(F.col("w.lo"), F.col("at")) - F.col("at")
-    length = F.least(F.col("w.hi"), end) - F.col("at") - start
-    return cut.select(
-        "doc_id", start.alias("start"), length.alias("length"), F.col("n").alias("doc_tokens"), F.col("w.sequence_id").alias("sequence_id"),
-        (F.greatest(F.col("w.lo"), F.col("at")) - F.col("w.lo")).alias("offset"), "source", F.substring("ids", (start * 4 + 1).cast("int"), (length * 4).cast("int")).alias("ids"),
-    )
+    doc_type = tokens.schema["doc_id"].dataType.simpleString()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decompressor = zstandard.ZstdDecompressor()
+        for batch in common.slices(batches, "ids", 1 << 20):
+            owner, pieces, data = [], [], []
+            for i, (at, n, z) in enumerate(zip(batch.column("at").to_pylist(), batch.column("n").to_pylist(), batch.column("ids").to_pylist())):
+                ids, done = unpacked_ids(z, n, decompressor), 0
+                while done < n:
+                    place = at + done
+                    if place < whole:
+                        sequence = place // window
+                        lo, hi = sequence * window, (sequence + 1) * window
+                    else:
+                        j = bisect_right(starts, place)
+                        sequence, lo, hi = whole // window + j - 1, starts[j - 1], starts[j] if j < len(starts) else total
+                    size = min(hi - place, n - done)
+                    owner.append(i)
+                    pieces.append((done, size, n, sequence, place - lo))
+                    data.append(ids[4 * done:4 * (done + size)])
+                    done += size
+            numbers = np.array(pieces, np.int64).reshape(-1, 5).T
+            owner = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(owner), *map(pa.array, numbers), batch.column("source").take(owner), pa.array(data, pa.binary())],
+                ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "source", "ids"],
+            )
+
+    return tokens.mapInArrow(rows, f"doc_id {doc_type}, start long, length long, doc_tokens long, sequence_id long, offset long, source string, ids binary")
 
 
 def digest(pieces: DataFrame) -> DataFrame:
