@@ -24,10 +24,10 @@ import json
 import math
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from html import unescape
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -42,6 +42,8 @@ HOSTS = 2000
 PERIOD = 3
 #: Beyond this many comparisons, children are aligned by their tags alone.
 ALIGN = 250_000
+#: The weight of a match in an alignment.
+UNIT = 1 << 10
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -159,10 +161,14 @@ def _aside_words(label: str) -> bool:
     return any(w in ASIDE_WORDS for name in label.split(".")[1:] for w in re.split(r"[-_]+", name))
 
 
+def constant(text: str) -> str | None:
+    return text if len(text) <= 80 else None
+
+
 def item(node) -> list:
     """A page's element or text as a wrapper of one page, its repeated neighbours folded."""
     if isinstance(node, tuple):
-        return ["#", 1, False, False, len(node[0]), node[1], node[0] if len(node[0]) <= 80 else None, []]
+        return ["#", 1, False, False, len(node[0]), node[1], constant(node[0]), []]
     return [node[0], 1, False, False, 0, 0, None, fold([item(c) for c in node[1]])]
 
 
@@ -225,14 +231,110 @@ def align(a: list, b: list) -> list:
         for x in [*a, *b]:
             by[key(x)] = merge(by[key(x)], x) if key(x) in by else x
         return list(by.values())
-    for kind, i, j, k, m in SequenceMatcher(None, ka, kb, autojunk=False).get_opcodes():
-        if kind == "equal":
-            out += [merge(x, y) for x, y in zip(a[i:j], b[k:m])]
-        else:  # on one side only: optional
-            out += a[i:j] + b[k:m]
+    i = k = 0
+    for j, m in [*pairs(a, b), (len(a), len(b))]:  # between pairs, on one side only: optional
+        out += a[i:j] + b[k:m]
+        if j < len(a):
+            out.append(merge(a[j], b[m]))
+        i, k = j + 1, m + 1
     return fold_again(out)
 
 
+def pairs(a: list, b: list) -> list[tuple[int, int]]:
+    """Which items of two sides are one, in order."""
+    ka, kb = [key(x) for x in a], [key(x) for x in b]
+    both = set(ka) & set(kb)
+    ia, ib = [i for i, k in enumerate(ka) if k in both], [i for i, k in enumerate(kb) if k in both]
+    if len(ia) == len(ib) == len(both) and all(ka[i] == kb[j] for i, j in zip(ia, ib)):
+        return list(zip(ia, ib))
+    ids: dict = {}
+    found = best([shape(a[i], ids) for i in ia], [shape(b[j], ids) for j in ib])
+    return [(i, ib[j]) for i, j in zip(ia, found) if j >= 0]
+
+
+def shape(x, ids: dict) -> tuple:
+    """The key, the label paths below (groups opened) and the constant text of an element, a text or an item."""
+    if isinstance(x, tuple):
+        return "#", frozenset(), constant(x[0])
+    found = set()
+
+    def down(children: list, at: int) -> None:
+        for c in children:
+            label = "#" if isinstance(c, tuple) else c[LABEL]
+            if label == "(":
+                down(c[-1], at)
+                continue
+            path = ids.setdefault((at, label), len(ids) + 1)
+            found.add(path)
+            if label != "#":
+                down(c[-1], path)
+
+    down(x[-1], 0)
+    return key(x), frozenset(found), x[CONSTANT] if x[LABEL] == "#" else None
+
+
+def likeness(a: tuple, b: tuple) -> int:
+    """What a match of two shapes counts: the match, each label path below in both, and how much of all paths these are."""
+    if a[0] != b[0]:
+        return 0
+    if a[0] == "#":
+        return 2 * UNIT if a[2] is not None and a[2] == b[2] else UNIT
+    common, size = len(a[1] & b[1]), len(a[1]) + len(b[1])
+    return UNIT * (1 + common) + ((UNIT - 1) * 2 * common // size if size else UNIT - 1)
+
+
+def best(children: list[tuple], places: list[tuple], again: np.ndarray | None = None, group: np.ndarray | None = None) -> list[int]:
+    """The place of each child, or -1: the alignment in order whose matches count most.
+
+    A place marked in ``again`` takes several children, and those of one ``group`` (its number, for each place) take turns.
+    Exact at any length; a square root of all rows is kept, and those between are worked out again on the way back.
+    """
+    n, m = len(children), len(places)
+    if not n or not m:
+        return [-1] * n
+    kinds, others = {s: i for i, s in enumerate(dict.fromkeys(children))}, {s: i for i, s in enumerate(dict.fromkeys(places))}
+    table = np.array([[likeness(s, t) for t in others] for s in kinds], np.int64)
+    of, to = [kinds[s] for s in children], np.array([others[t] for t in places])
+    none = -(1 << 60)
+    starts = np.flatnonzero(np.diff(group, prepend=-1)) if group is not None else None
+    turn = np.cumsum(np.diff(group, prepend=-1) != 0) - 1 if group is not None else None
+
+    def step(row: np.ndarray, i: int) -> np.ndarray:
+        # row[j + 1]: the most with the last match at place j; row[0]: without a match.
+        count, arrive = table[of[i]][to], np.maximum.accumulate(row)[:-1]
+        if again is not None:
+            arrive = np.where(again, np.maximum(arrive, np.maximum.reduceat(row[1:], starts)[turn]), arrive)
+        new = row.copy()
+        new[1:] = np.maximum(new[1:], np.where(count > 0, arrive + count, none))
+        return new
+
+    row = np.full(m + 1, none, np.int64)
+    row[0] = 0
+    every, kept = math.isqrt(n) + 1, [row]
+    for i in range(n):
+        row = step(row, i)
+        if (i + 1) % every == 0:
+            kept.append(row)
+    at, found = int(row.argmax()), [-1] * n
+    for block in range((n - 1) // every, -1, -1):
+        rows = [kept[block]]
+        for i in range(block * every, min(n, (block + 1) * every)):
+            rows.append(step(rows[-1], i))
+        for i in range(block * every + len(rows) - 2, block * every - 1, -1):
+            before, now = rows[i - block * every], rows[i - block * every + 1]
+            if not at or before[at] == now[at]:
+                continue
+            found[i] = at - 1
+            rest = now[at] - table[of[i]][to[at - 1]]
+            open_ = np.flatnonzero(before[:at] == rest)
+            if len(open_):
+                at = int(open_[-1])
+            else:
+                lo = int(starts[turn[at - 1]]) + 1
+                at = lo + int(np.flatnonzero((before[lo:] == rest) & (turn[lo - 1:] == turn[at - 1]))[0])
+    return found
+
+
 def fold_again(items: list) -> list:
     """After a mismatch, neighbours of one label are one repeated item."""
     out: list = []
@@ -250,11 +352,11 @@ def tag_of(x: list) -> str:
 
 
 def holds(x: list, tags: tuple[str, ...]) -> bool:
-    return any(tag_of(c) in tags or holds(c, tags) for c in x[CHILDREN])
+    return any(tag_of(c) in tags or holds(c, tags) for c in x[-1] if not isinstance(c, tuple))
 
 
 def aside(x: list, inside: bool) -> bool:
-    """Whether an item is no part of an article; ``inside``: it stands in one."""
+    """Whether an item, or a page's element, is no part of an article; ``inside``: it stands in one."""
     tag = tag_of(x)
     if tag in ASIDE_TAGS:
         return not (tag == "header" and inside) and not (tag == "form" and holds(x, ("article", "main")))
@@ -272,6 +374,15 @@ def weight(x: list, pages: int, inside: bool = False) -> int:
     return own + sum(weight(c, pages, inside) for c in x[CHILDREN])
 
 
+def put(x: list, inside: bool) -> None:
+    """An item and what is below it marked as main part, save what is no part of an article."""
+    if aside(x, inside):
+        return
+    x[MAIN] = True
+    for c in x[CHILDREN]:
+        put(c, inside)
+
+
 def mark(wrapper: list) -> list:
     """The wrapper with its main part marked."""
     pages, found = wrapper[PAGES], {"article": [], "main": []}
@@ -289,13 +400,6 @@ def mark(wrapper: list) -> list:
     def size(x: list) -> int:
         return weight(x, pages, True) or weight(x, 1, True)
 
-    def put(x: list, inside: bool) -> None:
-        if aside(x, inside):
-            return
-        x[MAIN] = True
-        for c in x[CHILDREN]:
-            put(c, inside)
-
     collect(wrapper)
     for kind in ("article", "main"):
         best = max(found[kind], key=size, default=None)
@@ -313,37 +417,65 @@ def mark(wrapper: list) -> list:
     return wrapper
 
 
-def main_text(page: list, wrapper: list) -> str:
-    """The texts of a page in the wrapper's marked places, joined by a space."""
+class Place:
+    """An item of a marked wrapper with the places of its children, groups opened."""
+
+    def __init__(self, x: list):
+        self.item, self.main, self.places, self.again, self.group = x, x[MAIN], [], [], []
+        for number, c in enumerate(x[CHILDREN]):
+            for p in c[CHILDREN] if c[LABEL] == "(" else [c]:
+                self.places.append(Place(p))
+                self.again.append(c[REPEATED] or p[REPEATED])
+                self.group.append(number)
+        #: Whether all below is in the main part (True) or nothing (False); None: some is.
+        self.whole = self.main if all(p.whole is self.main for p in self.places) else None
+        self.by: dict[str, list[int]] = {}
+        for i, p in enumerate(self.places):
+            self.by.setdefault(p.item[LABEL], []).append(i)
+        # Labels whose places give the same text, whichever of them a child has.
+        self.clear = {k for k, at in self.by.items() if len(at) == 1 or self.places[at[0]].whole is not None and len({self.places[i].whole for i in at}) == 1}
+        self.ids: dict = {}
+        self.shapes: list[tuple] = []
+
+    def of(self, children: list) -> list[int]:
+        """The place of each of a page's elements and texts that stand here, or -1."""
+        labels = ["#" if isinstance(c, tuple) else c[LABEL] for c in children]
+        if all(k in self.clear or k not in self.by for k in labels):
+            return [self.by[k][0] if k in self.by else -1 for k in labels]
+        if not self.shapes:
+            self.shapes = [shape(p.item, self.ids) for p in self.places]
+        ids = dict(self.ids)
+        return best([shape(c, ids) for c in children], self.shapes, np.array(self.again), np.array(self.group))
+
+
+def main_text(page: list, wrapper: list | Place) -> str:
+    """The texts of a page in the wrapper's marked places, joined by a space.
+
+    Children are aligned with the items as in ``merge``. One without a place is kept where what it stands in is marked.
+    """
     out: list[str] = []
 
-    def flat(items: list) -> Iterator[list]:
-        for x in items:
-            if x[LABEL] == "(":
-                yield from flat(x[CHILDREN])
-            else:
-                yield x
-
-    def walk(children: list, items: list) -> None:
-        places = list(flat(items))
-        by: dict[str, list[int]] = {}
-        for i, x in enumerate(places):
-            by.setdefault(x[LABEL], []).append(i)
-        here = 0
+    def loose(children: list) -> None:
         for c in children:
-            label = "#" if isinstance(c, tuple) else c[0]
-            there = by.get(label)
-            if not there:
-                continue
-            # The place goes on where it can, and back to the nearest one where a group repeats.
-            here = next((i for i in there if i > here or i == here and (places[i][REPEATED] or not i)), there[-1])
-            if label == "#":
-                if places[here][MAIN]:
+            if isinstance(c, tuple):
+                out.append(c[0])
+            elif not aside(c, True):
+                loose(c[1])
+
+    def walk(children: list, place: Place) -> None:
+        if place.whole is False:
+            return
+        for c, i in zip(children, place.of(children)):
+            if i < 0:
+                if place.main:
+                    loose([c])
+            elif isinstance(c, tuple):
+                if place.places[i].main:
                     out.append(c[0])
             else:
-                walk(c[1], places[here][CHILDREN])
+                walk(c[1], place.places[i])
 
-    walk(page[1], wrapper[CHILDREN])
+    walk(page[1], wrapper if isinstance(wrapper, Place) else Place(wrapper))
     return " ".join(out)
 
 
@@ -404,14 +536,14 @@ def main_texts(pages: DataFrame) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in pages.schema}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list] = {}
+        known: dict[str, Place] = {}
         for batch in common.slices(batches, "html", 4 << 20):
             texts = []
             for html, wrapper in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist()):
                 if wrapper not in known:
                     if len(known) > HOSTS:
                         known.clear()
-                    known[wrapper] = json.loads(wrapper)
+                    known[wrapper] = Place(json.loads(wrapper))
                 texts.append(main_text(parse(html), known[wrapper]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"]

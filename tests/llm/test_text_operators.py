@@ -360,3 +360,53 @@ def test_alignment_makes_repeats_and_optionals():
     assert found == [("h2", 1, False), ("p", 3, True)]
     same = wrappers.merge(tree("<div>same</div>"), tree("<div>same</div>"))
     assert same[wrappers.CHILDREN][0][wrappers.CHILDREN][0][wrappers.CONSTANT] == "same"
+
+
+def main_texts(*pages):
+    """The main text of each page of a host, in the order in which its wrapper was built."""
+    trees = [wrappers.parse(p) for p in pages]
+    wrapper = wrappers.item(trees[0])
+    for tree in trees[1:]:
+        wrapper = wrappers.merge(wrapper, wrappers.item(tree))
+    wrapper = wrappers.mark(wrapper)
+    return [wrappers.main_text(tree, wrapper) for tree in trees]
+
+
+def test_main_text_takes_the_places_that_the_alignment_gave():
+    links = "<div><ul><li><a href=/>Home</a></li><li><a href=/x>X</a></li></ul></div>"
+    a = f"<body>{links}<h1>Head</h1><div><p>first of the page</p><p>and second</p></div><h2>More</h2></body>"
+    b = "<body><div><p>an article of its own</p></div><h2>More</h2></body>"
+    c = f"<body>{links}<div><p>third</p><h3>sub</h3><p>text here</p></div><h2>More</h2></body>"
+    assert main_texts(a, b) == ["first of the page and second", "an article of its own"]
+    assert main_texts(b, a) == ["an article of its own", "first of the page and second"]
+    d = f"<body>{links}<h1>Head</h1><div><p>one</p><ul><li>in a list</li></ul></div><h2>More</h2></body>"
+    assert main_texts(a, b, d)[1:] == ["an article of its own", "one in a list"]
+    # A child without a place in the wrapper stays where what it stands in is main, save a menu.
+    wrapper = wrappers.mark(wrappers.item(wrappers.parse(a)))
+    assert wrappers.main_text(wrappers.parse(a.replace("<p>and second</p>", "<h3>new</h3><nav>menu</nav>loose")), wrapper) == "first of the page new loose"
+
+
+def test_alignment_counts_most_against_brute_force():
+    rng = np.random.default_rng(5)
+
+    def brute(children, places, again, group):
+        def go(i, last):
+            if i == len(children):
+                return 0
+            most = go(i + 1, last)
+            for j in range(len(places)):
+                if (w := wrappers.likeness(children[i], places[j])) and (j > last or last >= 0 and again[j] and group[j] == group[last]):
+                    most = max(most, w + go(i + 1, j))
+            return most
+        return go(0, -1)
+
+    for _ in range(150):
+        some = lambda n: [(str(k), frozenset(rng.integers(0, 3, 2).tolist()), None) for k in rng.integers(0, 3, n)]
+        children, places = some(rng.integers(1, 7)), some(rng.integers(1, 6))
+        group = np.cumsum(rng.integers(0, 2, len(places)))
+        sizes = np.bincount(group)
+        again = (sizes[group] > 1) | (rng.random(len(places)) < 0.3)
+        found = wrappers.best(children, places, again, group)
+        placed = [(i, j) for i, j in enumerate(found) if j >= 0]
+        assert all(j < k or again[k] and group[j] == group[k] for (_, j), (_, k) in zip(placed, placed[1:]))
+        assert sum(wrappers.likeness(children[i], places[j]) for i, j in placed) == brute(children, places, again, group)
