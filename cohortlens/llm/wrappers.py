@@ -40,8 +40,6 @@ BROADCAST_BYTES = 32 << 20
 HOSTS = 2000
 #: The longest group of neighbours whose repetition is looked for.
 PERIOD = 3
-#: Beyond this many comparisons, children are aligned by their tags alone.
-ALIGN = 250_000
 #: The weight of a match in an alignment.
 UNIT = 1 << 10
 
@@ -226,11 +224,6 @@ def align(a: list, b: list) -> list:
     if ka == kb:
         return [merge(x, y) for x, y in zip(a, b)]
     out = []
-    if len(a) * len(b) > ALIGN:
-        by = {}
-        for x in [*a, *b]:
-            by[key(x)] = merge(by[key(x)], x) if key(x) in by else x
-        return list(by.values())
     i = k = 0
     for j, m in [*pairs(a, b), (len(a), len(b))]:  # between pairs, on one side only: optional
         out += a[i:j] + b[k:m]

@@ -410,3 +410,16 @@ def test_alignment_counts_most_against_brute_force():
         placed = [(i, j) for i, j in enumerate(found) if j >= 0]
         assert all(j < k or again[k] and group[j] == group[k] for (_, j), (_, k) in zip(placed, placed[1:]))
         assert sum(wrappers.likeness(children[i], places[j]) for i, j in placed) == brute(children, places, again, group)
+
+
+def test_long_pages_are_aligned_as_short_ones():
+    def parts(n, tag):
+        return [(f"head {tag}{i}", f"text {tag}{i} is longer than its head", f"point {tag}{i}", f"text {tag}{i} ends") for i in range(n)]
+
+    def page(found):
+        body = "".join(f"<h2>{h}</h2><p>{p}</p><ul><li>{u}</li></ul><p>{q}</p>" for h, p, u, q in found)
+        return f"<body><div class=menu><a href=/>Home</a></div><div id=content>{body}</div><div class=footer>(c)</div></body>"
+
+    for sizes in ((3, 2, 1), (130, 129, 1)):
+        pages = [parts(n, tag) for n, tag in zip(sizes, "abc")]
+        assert main_texts(*map(page, pages)) == [" ".join(" ".join(part) for part in found) for found in pages]
