@@ -20,6 +20,7 @@ repeated rows get a row each; an empty table gives no rows; columns besides page
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import re
@@ -159,8 +160,9 @@ def _aside_words(label: str) -> bool:
     return any(w in ASIDE_WORDS for name in label.split(".")[1:] for w in re.split(r"[-_]+", name))
 
 
-def constant(text: str) -> str | None:
-    return text if len(text) <= 80 else None
+def constant(text: str) -> str:
+    """A short text itself, a longer one's digest behind a space, with which no text begins."""
+    return text if len(text) <= 80 else f" {hashlib.blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}"
 
 
 def item(node) -> list:
@@ -359,11 +361,11 @@ def aside(x: list, inside: bool) -> bool:
 
 
 def weight(x: list, pages: int, inside: bool = False) -> int:
-    """Characters outside links, of texts that vary where there are several pages."""
+    """Characters outside links, of texts that vary where there are several pages; one that occurs once counts as such."""
     if aside(x, inside):
         return 0
     inside |= tag_of(x) in ("article", "main")
-    own = max(0, x[CHARS] - x[LINKED]) if pages == 1 or x[CONSTANT] is None else 0
+    own = max(0, x[CHARS] - x[LINKED]) if pages == 1 or x[PAGES] == 1 or x[CONSTANT] is None else 0
     return own + sum(weight(c, pages, inside) for c in x[CHILDREN])
 
 

@@ -423,3 +423,18 @@ def test_long_pages_are_aligned_as_short_ones():
     for sizes in ((3, 2, 1), (130, 129, 1)):
         pages = [parts(n, tag) for n, tag in zip(sizes, "abc")]
         assert main_texts(*map(page, pages)) == [" ".join(" ".join(part) for part in found) for found in pages]
+
+
+def test_long_texts_that_agree_on_all_pages_are_constant():
+    legal = "This site keeps records of each visit as the law of the land asks of it, and says so on every one of its pages. " * 3
+
+    def page(body):
+        return f"<body><h1>Site</h1><section>{legal}</section><div>{body}</div><table><tr><td>2024</td></tr></table></body>"
+
+    bodies = [f"<p>article {i} is short</p><p>and ends at {i}</p>" for i in range(4)]
+    want = [f"article {i} is short and ends at {i}" for i in range(4)]
+    assert main_texts(*map(page, bodies)) == want
+    # A long text that one page alone has can't be told to be the same on all, and counts as part of the article.
+    long = [" ".join([f"said at length by {i}"] * 6) for i in range(3)]
+    bodies = [f"<{tag}>{text}</{tag}>" for tag, text in zip(("p", "blockquote", "pre"), long)]
+    assert main_texts(*(page(b).replace("2024", f"202{i}") for i, b in enumerate(bodies))) == long
