@@ -1,18 +1,19 @@
 """Operator 5: mixture-controlled packing by deficit round-robin.
 
-Each source is a queue of documents. A round adds to the deficit of each queue its quantum, which is the
-queue's target share of one window, and serves documents from the head of the queue as far as the deficit
-reaches; what is left is carried to the next round. With queues that stay filled this has a closed form: a
-document whose queue has sent ``e`` tokens at its end goes out in round ``ceil(e / quantum)``. So the whole
-schedule, over all windows and partitions, is the order by (round, source, place in the queue), and a document's
-place in the packed stream is a prefix sum over that order. Windows of ``window`` ids are cut from the stream.
-
-Prefix sums run in levels (document in a block of rounds, block in a group of blocks, group), so no task and no
-driver holds more than a bounded group. Only the document lengths take part; the ids move once, in one shuffle,
+Each source is a queue of ids, its documents one behind the other. A round serves from each queue its quantum, which
+is the queue's target share of one window; documents are cut where a quantum ends, so each window, and not only the
+mean of many, is filled to the shares while no queue has run out. A queue whose quantum is under ``LEAST`` ids is
+served ``LEAST`` at a time, in every so many rounds, at an offset within this period that is hashed from its name. This
+has a closed form: slice ``c`` of a queue goes out in round ``floor((c + offset) * slice / quantum)``. So the whole
+schedule, over all windows and partitions, is the order by (round, source, place in the queue), and the place of a
+piece in the packed stream is a prefix sum over that order. Windows of ``window`` ids are cut from the stream.
+
+Prefix sums run in levels (piece in a block of rounds, block in a group of blocks, group), so no task and no
+driver holds more than a bounded group: a piece has an id at least, so a block has no more rows than ids. Only lengths take part; the ids move once, in one shuffle,
 compressed by document, and are cut behind it.
 
 Defined results: null text counts as empty (a document of the end id alone); null or empty source is a queue of
-its own; repeated rows are packed each; an empty table gives no row; columns besides doc_id, text and source are
+its own; a source whose target share is 0 or less is packed behind all others; repeated rows are packed each; an empty table gives no row; columns besides doc_id, text and source are
 not looked at.
 """
 
@@ -35,6 +36,10 @@ WINDOW = 2048
 END_ID = 1
 #: Rounds in a block and blocks in a group: a block is about ROUNDS windows of ids.
 ROUNDS, BLOCKS = 64, 4096
+#: The fewest ids that a queue is served at a time.
+LEAST = 32
+#: The first round of sources without a share.
+LAST = 1 << 40
 #: ASCII marks that the tokenizer always splits from a letter before them.
 MARKS = ".,;:!?"
 #: Chunks kept in a Python worker; the memory for ids is cleared beyond it.
@@ -153,7 +158,7 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 
 def placed(tokens: DataFrame, targets: Mapping[str, float] | None = None, window: int = WINDOW) -> DataFrame:
-    """The start of each document (part, pos) in the packed stream.
+    """The pieces of each document (part, pos) in the packed stream: first id in the document, ids, place in the stream.
 
     ``targets`` gives token shares by source; sources it lacks, and all where it is None, take their share of
     the corpus.
@@ -166,14 +171,25 @@ def placed(tokens: DataFrame, targets: Mapping[str, float] | None = None, window
         wanted = F.create_map(*[F.lit(x) for kv in targets.items() for x in (kv[0], float(kv[1]))])
         share = F.coalesce(F.try_element_at(wanted, F.col("source")), share)
     queues = totals.select(
-        "source", "part", (share * window).alias("quantum"),
+        "source", "part", (share * window).alias("quantum"), F.sum("sent").over(by_source).alias("total"),
         (F.sum("sent").over(by_source.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("sent")).alias("base"),
     )
+    offset = F.pmod(F.xxhash64(F.coalesce("source", F.lit("\0"))), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    queues = queues.select(
+        "source", "part", "quantum", "base", offset.alias("offset"),
+        F.when(F.col("quantum") > 0, F.greatest("quantum", F.least(F.lit(LEAST), "total").cast("double"))).otherwise(F.lit(float(window))).alias("slice"),
+    )
     t, q = tokens.select("source", "part", "pos", "n", "before").alias("t"), queues.alias("q")
-    end = F.col("q.base") + F.col("t.before") + F.col("t.n")
-    served = t.join(q, F.col("t.source").eqNullSafe(F.col("q.source")) & (F.col("t.part") == F.col("q.part"))).select(
-        "t.source", "t.part", "t.pos", "t.n", end.alias("end"), F.ceil(end / F.col("q.quantum")).alias("round"),
+    first = F.col("q.base") + F.col("t.before")
+    found = t.join(q, F.col("t.source").eqNullSafe(F.col("q.source")) & (F.col("t.part") == F.col("q.part"))).select(
+        "t.source", "t.part", "t.pos", first.alias("first"), (first + F.col("t.n")).alias("end"), "q.quantum", "q.slice", "q.offset",
     )
+    # A slice on each side more, should a quotient be rounded; what is empty goes.
+    found = found.withColumn("c", F.explode(F.sequence(F.greatest(F.floor(F.col("first") / F.col("slice")) - 1, F.lit(0)), F.floor(F.col("end") / F.col("slice")) + 1)))
+    lo, hi = F.greatest("first", F.floor(F.col("c") * F.col("slice"))), F.least("end", F.floor((F.col("c") + 1) * F.col("slice")))
+    turn = F.when(F.col("slice") > F.col("quantum"), F.col("c") + F.col("offset")) * F.col("slice") / F.col("quantum")
+    round_ = F.when(F.col("quantum") > 0, F.coalesce(F.floor(turn), F.col("c"))).otherwise(F.col("c") + LAST)
+    served = found.select("source", "part", "pos", (lo - F.col("first")).alias("start"), (hi - lo).alias("n"), lo.alias("queued"), round_.alias("round")).where("n > 0")
     served = served.withColumn("block", F.floor(F.col("round") / ROUNDS)).withColumn("rows", F.floor(F.col("block") / BLOCKS))
     blocks = served.groupBy("rows", "block").agg(F.sum("n").alias("sent"))
     groups = blocks.groupBy("rows").agg(F.sum("sent").alias("sent"))
@@ -181,9 +197,9 @@ def placed(tokens: DataFrame, targets: Mapping[str, float] | None = None, window
     # One row for BLOCKS * ROUNDS windows, half a billion ids: few enough for one task at any size of input.
     groups = groups.select("rows", before(Window.orderBy("rows")).alias("group_base"))
     blocks = blocks.join(groups, "rows").select("block", (F.col("group_base") + before(Window.partitionBy("rows").orderBy("block"))).alias("block_base"))
-    order = Window.partitionBy("block").orderBy("round", "source", "end", "part", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    within = served.select("part", "pos", "block", (F.sum("n").over(order) - F.col("n")).alias("within"))
-    return within.join(blocks, "block").select("part", "pos", (F.col("block_base") + F.col("within")).alias("at"))
+    order = Window.partitionBy("block").orderBy("round", "source", "queued").rowsBetween(Window.unboundedPreceding, 0)
+    within = served.select("part", "pos", "start", "n", "block", (F.sum("n").over(order) - F.col("n")).alias("within"))
+    return within.join(blocks, "block").select("part", "pos", "start", "n", (F.col("block_base") + F.col("within")).alias("at"))
 
 
 def tail(total: int, window: int = WINDOW) -> list[int]:
@@ -200,12 +216,13 @@ def pack(docs: DataFrame, targets: Mapping[str, float] | None = None, window: in
     """Pieces of documents in sequences of ``window`` ids; a row with its ids for each piece."""
     tokens = common.stored(tokenized(docs, tokenizer), "tokens")
     total = tokens.agg(F.sum("n")).first()[0] or 0
-    found = tokens.drop("before").join(placed(tokens, targets, window), ["part", "pos"]).select("doc_id", "source", "n", "ids", "at")
+    parts = placed(tokens, targets, window).groupBy("part", "pos").agg(F.sort_array(F.collect_list(F.struct("start", "n", "at"))).alias("parts"))
+    found = tokens.drop("before").join(parts, ["part", "pos"]).select("doc_id", "source", "n", "ids", "parts")
     return cut(found, total, window)
 
 
 def cut(tokens: DataFrame, total: int, window: int) -> DataFrame:
-    """The pieces of documents that begin ``at`` a place in the stream of ``total`` ids."""
+    """The pieces of documents whose ``parts`` stand ``at`` places in the stream of ``total`` ids, cut into sequences."""
     whole = total - total % window
     starts = tail(total, window)
     doc_type = tokens.schema["doc_id"].dataType.simpleString()
@@ -214,21 +231,27 @@ def cut(tokens: DataFrame, total: int, window: int) -> DataFrame:
         decompressor = zstandard.ZstdDecompressor()
         for batch in common.slices(batches, "ids", 1 << 20):
             owner, pieces, data = [], [], []
-            for i, (at, n, z) in enumerate(zip(batch.column("at").to_pylist(), batch.column("n").to_pylist(), batch.column("ids").to_pylist())):
+            for i, (parts, n, z) in enumerate(zip(batch.column("parts").to_pylist(), batch.column("n").to_pylist(), batch.column("ids").to_pylist())):
                 ids, done = unpacked_ids(z, n, decompressor), 0
-                while done < n:
-                    place = at + done
-                    if place < whole:
-                        sequence = place // window
-                        lo, hi = sequence * window, (sequence + 1) * window
+                runs: list[list[int]] = []  # neighbours in the stream are one
+                for x in parts:
+                    if runs and sum(runs[-1]) == x["at"]:
+                        runs[-1][1] += x["n"]
                     else:
-                        j = bisect_right(starts, place)
-                        sequence, lo, hi = whole // window + j - 1, starts[j - 1], starts[j] if j < len(starts) else total
-                    size = min(hi - place, n - done)
-                    owner.append(i)
-                    pieces.append((done, size, n, sequence, place - lo))
-                    data.append(ids[4 * done:4 * (done + size)])
-                    done += size
+                        runs.append([x["at"], x["n"]])
+                for place, rest in runs:
+                    while rest:
+                        if place < whole:
+                            sequence = place // window
+                            lo, hi = sequence * window, (sequence + 1) * window
+                        else:
+                            j = bisect_right(starts, place)
+                            sequence, lo, hi = whole // window + j - 1, starts[j - 1], starts[j] if j < len(starts) else total
+                        size = min(hi - place, rest)
+                        owner.append(i)
+                        pieces.append((done, size, n, sequence, place - lo))
+                        data.append(ids[4 * done:4 * (done + size)])
+                        done, place, rest = done + size, place + size, rest - size
             numbers = np.array(pieces, np.int64).reshape(-1, 5).T
             owner = pa.array(owner, pa.int64())
             yield pa.RecordBatch.from_arrays(

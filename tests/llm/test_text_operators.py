@@ -238,6 +238,30 @@ def test_packing_keeps_to_the_mixture(spark):
     assert abs(share - 0.5) < 0.03
 
 
+def test_packing_fills_each_window_to_the_shares(spark):
+    rows = [(i, "tok " * (5 + i % 7), "abc"[i % 3]) for i in range(1500)] + [(5000, "long " * 6000, "a")] + [(6000 + i, "rare one", f"r{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    pieces = packing.pack(docs, window=256).collect()
+    total, held, ids = defaultdict(int), defaultdict(lambda: defaultdict(int)), 0
+    for p in pieces:
+        total[p.source] += p.length
+        held[p.sequence_id][p.source] += p.length
+        ids += p.length
+    windows = ids // 256
+    for s in "abc":
+        assert all(abs(held[w][s] - 256 * total[s] / ids) < 20 for w in range(windows)), s
+    # Rare sources are spread, and not stacked at the end.
+    late = {p.source for p in pieces if p.source.startswith("r") and p.sequence_id >= windows - windows // 4}
+    assert len(late) < 20
+
+
+def test_packing_puts_sources_without_a_share_last(spark):
+    docs = spark.createDataFrame([(i, "tok " * 30, "ab"[i % 2]) for i in range(200)], "doc_id long, text string, source string")
+    got = sorted(packing.pack(docs, {"a": 0.0}, window=256).collect(), key=lambda p: (p.sequence_id, p.offset))
+    order = [p.source for p in got]
+    assert order == sorted(order, reverse=True) and {p.doc_id for p in got} == set(range(200))
+
+
 # --- token counts
 
 
