@@ -4,12 +4,13 @@
    are folded into a parity bitmap, the odd sketch: bit ``h(i, sample_i)`` is flipped for each sample, so the
    population count of two bitmaps' XOR tells how many samples differ, precisely where similarity is high.
 2. Documents with equal sets collapse to a class; thousands of copies are one row from here on.
-3. In each band's bucket, members are compared with one of them, the centre, which each bucket chooses by its own
-   hash. The odd sketch drops pairs that are clearly too far; the rest are confirmed on full sets.
-4. Members outside their bucket's largest component are compared with a few of its members, each chosen by a hash.
-   Buckets whose members are then still in more than one component have all their pairs between components compared,
-   by finer odd sketches, (the sketch test is part of the join, so only near pairs are made) and confirmed. So no pair that
-   shares a bucket is left out, and groups of copies never make all their pairs.
+3. Each band's bucket has a centre, the member that a hash of the bucket's own chooses. The odd sketch drops pairs of a
+   member and a centre that are clearly too far. First only the nearest centre of each member is confirmed on full
+   sets, and components are formed; a group of copies is nearly one component after that, whatever its size.
+4. Members of buckets that hold several components get a finer odd sketch. Their other centres are compared, where
+   the component differs, and components are formed again. Then all pairs between components in a bucket are (the sketch
+   test is part of the join, so only near pairs are made, each in its first common bucket alone). So no pair that
+   shares a bucket is left out but where both are in one component already.
 5. Components by large-star and small-star; the smallest doc_id names one.
 
 With 32 bands of 4 samples a pair of similarity 0.85 shares no bucket with probability 6e-11 (at 0.8: 5e-8); the
@@ -38,21 +39,18 @@ from cohortlens.llm.components import components
 
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
-BITS = 1024
-LONGS = BITS // 64
+BITS = 256
 _random = np.random.default_rng(9)
 A = _random.integers(1, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
 B = _random.integers(0, 1 << 63, SAMPLES, np.uint64)
 #: Samples and bits of the finer sketch, made only for members of buckets that stay in more than one component.
-FINE_SAMPLES, FINE_BITS = 2048, 4096
+FINE_SAMPLES, FINE_BITS = 4096, 4096
 FINE_A = _random.integers(1, 1 << 63, FINE_SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
 FINE_B = _random.integers(0, 1 << 63, FINE_SAMPLES, np.uint64)
 MIX = _random.integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 CACHE_WORDS = 400_000
 #: Text hashes (8 bytes each) that are sent to all executors at most.
-WANTED_ROWS = 2_000_000
-#: Members of a bucket's largest component that each member outside it is compared with, before all.
-CENTRES = 16
+WANTED_ROWS = 500_000
 #: Standard deviations that the sketch's threshold leaves: one true pair in 300,000 at the very threshold is missed.
 MARGIN = 4.5
 
@@ -105,12 +103,17 @@ def odd_sketch(low: np.ndarray, b: np.ndarray = B, bits: int = BITS) -> np.ndarr
     return np.packbits(np.bincount(place.astype(np.int64), minlength=bits).astype(np.uint8) & 1).view(np.int64)
 
 
-def farthest(similarity: float, n_samples: int = SAMPLES, bits: int = BITS) -> int:
-    """The largest XOR population count that a pair of this similarity has, MARGIN standard deviations above the mean."""
+def farthest(similarity: float, n_samples: int = SAMPLES, bits: int = BITS, part: bool = False) -> int:
+    """The largest XOR population count that a pair of this similarity has, MARGIN standard deviations above the mean.
+
+    ``part``: of so many bits of a longer sketch, in which so many samples are expected.
+    """
     differ = n_samples * (1 - similarity)
     left = math.exp(-4 * differ / bits)
-    mean = bits / 2 * (1 - left)
-    return math.ceil(mean + MARGIN * (2 * left * math.sqrt(differ * similarity) + 0.5 * math.sqrt(mean)))
+    odd = (1 - left) / 2
+    # What the number of differing samples varies by, and what places that coincide do.
+    sampled, coinciding = 4 * left**2 * differ * similarity, bits * odd * (1 - odd) - (0 if part else left**2 * 2 * differ)
+    return math.ceil(bits * odd + MARGIN * math.sqrt(sampled + coinciding))
 
 
 def sketched(docs: DataFrame, words: int) -> DataFrame:
@@ -142,13 +145,41 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
     return kept.mapInArrow(rows, f"doc_id {doc_type}, text_hash long, n_shingles long, cls binary, bands array<long>, sketch array<long>")
 
 
-def _near(n: Column, sketch: Column, n2: Column, sketch2: Column, similarity: float) -> Column:
-    """Whether sizes and sketches leave it possible that two sets are as similar as that."""
-    return (F.least(n, n2) >= F.greatest(n, n2) * F.lit(similarity - 1e-9)) & (_apart(sketch, sketch2, BITS) <= farthest(similarity))
+def _sizes(similarity: float) -> Column:
+    return F.least("nu", "nv") >= F.greatest("nu", "nv") * F.lit(similarity - 1e-9)
+
+
+def _apart(sketch: str, longs: int) -> Column:
+    """The population count of the XOR of two sketches' first words."""
+    u, v = F.col(f"{sketch}u"), F.col(f"{sketch}v")
+    return sum((F.bit_count(u[i].bitwiseXOR(v[i])) for i in range(1, longs)), F.bit_count(u[0].bitwiseXOR(v[0])))
+
+
+def _near(similarity: float) -> Column:
+    """Whether the finer sketches leave it possible that two sets are as similar as that; an eighth of them first."""
+    part = _apart("fine", FINE_BITS // 512) <= farthest(similarity, FINE_SAMPLES // 8, FINE_BITS // 8, part=True)
+    # As a sum of all words the condition would be too long a method for the JIT compiler.
+    whole = F.aggregate(F.zip_with("fineu", "finev", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    return part & (whole <= farthest(similarity, FINE_SAMPLES, FINE_BITS))
+
 
+def _nearest(pairs: DataFrame, name: str) -> DataFrame:
+    """Of pairs (u, v, tu, tv, apart) the nearest of each v."""
+    found = pairs.groupBy("v").agg(F.min(F.struct("apart", F.xxhash64("u", "v").alias("h"), "u", "tu", "tv")).alias("m"))
+    return common.stored(found.select("m.u", "v", "m.tu", "m.tv"), name)
 
-def _apart(sketch: Column, sketch2: Column, bits: int) -> Column:
-    return sum((F.bit_count(sketch[i].bitwiseXOR(sketch2[i])) for i in range(1, bits // 64)), F.bit_count(sketch[0].bitwiseXOR(sketch2[0])))
+
+def _mixed_buckets(members: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """``members`` (bucket, cls) with their components, of the buckets that hold several."""
+    labels = labels.withColumnsRenamed({"node": "cls"})
+    placed = common.stored(members.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    return common.stored(placed.join(mixed, "bucket", "left_semi"), name)
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of earlier ones and new links."""
+    return components(labels.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -208,54 +239,49 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # A bucket's centre is its smallest member by a hash of its own, so a pair meets other centres in other bands.
     centres = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("cls", "bucket"), "cls")).alias("c"))
     centres = centres.where("size > 1").select("bucket", F.col("c.cls").alias("centre"))
-    full = common.stored(members.join(centres, "bucket"), "buckets")
+    buckets = common.stored(members.join(centres, "bucket"), "buckets")
+    side = lambda df, k: df.select(*[F.col(c).alias(k if c == "cls" else c + k) for c in df.columns])
+
     about = classes.select("cls", "t", "n", "sketch")
-    side = lambda k: about.select(F.col("cls").alias(k), F.col("t").alias(f"t{k}"), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
-    near = _near(F.col("nu"), F.col("su"), F.col("nv"), F.col("sv"), similarity)
-    stars = full.where("cls <> centre").select(F.col("centre").alias("u"), F.col("cls").alias("v")).distinct()
-    stars = stars.join(side("v"), "v").join(side("u"), "u").where(near).select("u", "v", "tu", "tv")
-    tested = common.stored(stars, "stars")
-    links = common.stored(confirmed(tested, docs, words, percent), "confirmed")
-    labels = components(links).withColumnsRenamed({"node": "cls"})
-
-    def place() -> DataFrame:
-        found = full.select("bucket", "cls").join(labels, "cls", "left").select("bucket", "cls", F.coalesce("component", "cls").alias("component"))
-        return common.stored(found, "placed")
-
-    def untested(pairs: DataFrame, before: DataFrame) -> DataFrame:
-        both_ways = before.select("u", "v").unionByName(before.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        return common.stored(pairs.join(both_ways, ["u", "v"], "left_anti"), "met")
-
-    placed = place()
-    sizes = placed.groupBy("bucket", "component").agg(
-        F.count(F.lit(1)).alias("size"), *[F.min(F.struct(F.xxhash64("cls", "bucket", F.lit(i)), "cls")).alias(f"c{i}") for i in range(CENTRES)]
-    )
-    largest = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("size", "component", *[f"c{i}" for i in range(CENTRES)])).alias("m")).where("n > 1")
-    largest = largest.select("bucket", F.col("m.component").alias("large"), F.array_distinct(F.array(*[f"m.c{i}.cls" for i in range(CENTRES)])).alias("centres"))
-    outside = placed.join(largest, "bucket").where("component <> large").select(F.explode("centres").alias("u"), F.col("cls").alias("v")).distinct()
-    outside = outside.join(side("v"), "v").join(side("u"), "u").where(near).select("u", "v", "tu", "tv")
-    outside = untested(outside, tested)
-    if not outside.isEmpty():
-        tested = tested.unionByName(outside)
-        links = links.unionByName(common.stored(confirmed(outside, docs, words, percent), "confirmed"))
-        labels = components(links).withColumnsRenamed({"node": "cls"})
-        placed = place()
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    still = common.stored(placed.join(mixed, "bucket", "left_semi"), "still")
-    # Of a pair's common buckets only the smallest counts.
-    shared = still.groupBy("cls").agg(F.array_sort(F.collect_list("bucket")).alias("all"))
-    known = common.stored(shared.join(about.drop("sketch"), "cls"), "known")
-    fine = fine_sketches(_texts(docs, known.select("t")), words)
-    open_ = common.stored(still.join(known.join(fine, "t"), "cls"), "open")
-    p = lambda k: open_.select("bucket", F.col("cls").alias(k), F.col("component").alias(f"c{k}"), *[F.col(x).alias(f"{x}{k}") for x in ("t", "n", "fine", "all")])
-    left, right = p("u"), p("v")
-    close = (F.least("nu", "nv") >= F.greatest("nu", "nv") * F.lit(similarity - 1e-9)) & (_apart(F.col("fineu"), F.col("finev"), FINE_BITS) <= farthest(similarity, FINE_SAMPLES, FINE_BITS))
-    once = F.get(F.array_intersect("allu", "allv"), F.lit(0)) == left["bucket"]
-    met = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("cu") < F.col("cv")) & close & once).select("u", "v", "tu", "tv")
-    met = untested(met, tested)
+    stars = buckets.where("cls <> centre").select(F.col("centre").alias("u"), F.col("cls").alias("v")).distinct()
+    apart = _apart("sketch", BITS // 64)
+    stars = stars.join(side(about, "v"), "v").join(side(about, "u"), "u").where(_sizes(similarity) & (apart <= farthest(similarity)))
+    stars = common.stored(stars.select("u", "v", "tu", "tv", apart.alias("apart")), "stars")
+    tested = _nearest(stars, "nearest")
+    labels = components(confirmed(tested, docs, words, percent))
+
+    placed = _mixed_buckets(buckets.select("bucket", "cls"), labels, "mixed")
+    known = placed.groupBy("cls").agg(F.array_sort(F.collect_list("bucket")).alias("all"), F.first("component").alias("component")).join(about.drop("sketch"), "cls")
+    known = common.stored(known, "known")
+    fine = common.stored(known.join(fine_sketches(_texts(docs, known.select("t")), words), "t"), "fine")
+    between = (F.col("componentu") < F.col("componentv")) & _sizes(similarity)
+    both_ways = lambda df: df.select("u", "v").unionByName(df.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = lambda k: fine.select(F.col("cls").alias(k), *[F.col(c).alias(c + k) for c in ("t", "n", "component", "fine")])
+    others = stars.select("u", "v").join(tested, ["u", "v"], "left_anti").join(least("v"), "v").join(least("u"), "u")
+    others = others.where((F.col("componentu") != F.col("componentv")) & _sizes(similarity) & _near(similarity))
+    others = _nearest(others.select("u", "v", "tu", "tv", _apart("fine", FINE_BITS // 512).alias("apart")), "others")
+    if not others.isEmpty():
+        tested = tested.unionByName(others)
+        labels = _joined(labels, confirmed(others, docs, words, percent))
+
+    placed = _mixed_buckets(placed.select("bucket", "cls"), labels, "open").join(fine.drop("component"), "cls")
+    left, right = side(placed, "u"), side(placed, "v")
+    once = F.get(F.array_intersect("allu", "allv"), F.lit(0)) == F.col("bucketu")
+    met = left.join(right, (F.col("bucketu") == F.col("bucketv")) & between & _near(similarity) & once)
+    met = met.select("u", "v", "tu", "tv", _apart("fine", FINE_BITS // 512).alias("apart"))
+    met = common.stored(met.join(both_ways(tested), ["u", "v"], "left_anti"), "met")
     if not met.isEmpty():
-        links = links.unionByName(common.stored(confirmed(met, docs, words, percent), "confirmed"))
-        labels = components(links).withColumnsRenamed({"node": "cls"})
+        # The nearest of each first: many of the other pairs are within a component then.
+        first = _nearest(met, "first")
+        labels = _joined(labels, confirmed(first, docs, words, percent))
+        of = lambda k: labels.select(F.col("node").alias(k), F.col("component").alias(f"component{k}"))
+        # A nearest pair that failed may be confirmed once more; that is one for each member at most.
+        rest = met.join(of("u"), "u", "left").join(of("v"), "v", "left")
+        rest = rest.where(F.coalesce("componentu", "u") != F.coalesce("componentv", "v")).select("u", "v", "tu", "tv")
+        rest = common.stored(rest, "rest")
+        if not rest.isEmpty():
+            labels = _joined(labels, confirmed(rest, docs, words, percent))
+    labels = labels.withColumnsRenamed({"node": "cls"})
 
     linked = classes.select("cls", "doc_id").join(labels, "cls")
     names = linked.groupBy("component").agg(F.min("doc_id").alias("name"))
