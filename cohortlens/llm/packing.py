@@ -20,7 +20,7 @@ not looked at.
 from __future__ import annotations
 
 import os
-from bisect import bisect_right
+import re
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -42,89 +42,92 @@ LEAST = 32
 LAST = 1 << 40
 #: ASCII marks that the tokenizer always splits from a letter before them.
 MARKS = ".,;:!?"
-#: Chunks kept in a Python worker; the memory for ids is cleared beyond it.
-CACHE_WORDS = 250_000
-END = END_ID.to_bytes(4, "little")
+_MARKS = re.compile(rb"(?<=[a-zA-Z])([.,;:!?]+)(?=\s|\Z)")
+#: Words kept in a Python worker; beyond it, only those of the batch at hand stay.
+CACHE_WORDS = 400_000
 
 
 class WordIds:
-    """Ids of white-space separated UTF-8 chunks, kept as little-endian bytes.
+    """Ids of white-space separated UTF-8 words, kept as little-endian bytes.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are those of its chunks. A chunk
-    of letters with marks behind is cut there, as the tokenizer itself does, so that fewer chunks are new.
+    The tokenizer drops white space and never merges across it, so a text's ids are those of its words. Marks behind
+    a word are cut off, as the tokenizer itself does, and A-Z become a-z before that, so that fewer words are new.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        tokenizer = Tokenizer.from_file(path)
-        self.encode = tokenizer.encode_batch_fast
+        tokenizer, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.others = tokenizer
+        # Words of letters alone need no patterns.
+        self.words.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.width = 2 if max(len(self.ends_word) - 1, END_ID) < 1 << 16 else 4
-        self.chunks: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.end = END_ID.to_bytes(self.width, "little")
+        self.known: dict[bytes, bytes] = {}
 
-    def encoded(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.encode(texts, add_special_tokens=False)]
+    def encoded(self, texts: list[str], tokenizer) -> list[np.ndarray]:
+        return [np.array(e.ids, f"<u{self.width}") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def add_words(self, words: list[str]) -> None:
+    def add_words(self, words: list[bytes]) -> None:
         """Words of letters alone: many in one text, cut again behind the pieces that end a word."""
         for at in range(0, len(words), 512):
             some = words[at:at + 512]
-            ids = self.encoded([" ".join(some)])[0]
+            (ids,) = self.encoded([b" ".join(some).decode()], self.words)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
-            parts = np.split(ids, ends[:-1]) if len(ends) == len(some) else self.encoded(some)
-            self.words.update((w, x.tobytes()) for w, x in zip(some, parts))
+            if len(ends) == len(some):
+                data, ends = ids.tobytes(), (ends * self.width).tolist()
+                self.known.update(zip(some, map(data.__getitem__, map(slice, [0, *ends], ends))))
+            else:
+                self.known.update(zip(some, (x.tobytes() for x in self.encoded([w.decode() for w in some], self.words))))
 
-    def add(self, chunks: list[bytes]) -> None:
-        cut, words, others = [], set(), []
-        for chunk in chunks:
+    def add(self, chunks: set[bytes]) -> None:
+        words = [c for c in chunks if c.isalpha()]  # ASCII letters
+        cut, cores, others = [], set(), []
+        for chunk in chunks.difference(words):
             text = chunk.decode()
             core = text.rstrip(MARKS)
             if core.isalpha() and core.lower().isalpha():
-                core, mark = core.lower() if core.isascii() else core, text[len(core):]
-                words.add(core)
-                cut.append((chunk, core, mark))
+                mark = text[len(core):].encode()
+                core = core.encode()
+                cores.add(core)
+                if mark:
+                    cut.append((chunk, core, mark))
             else:
                 others.append(chunk)
-        self.add_words([w for w in words if w not in self.words])
-        marks = [m for m in {m for *_, m in cut} if m not in self.words]
-        self.words.update((m, x.tobytes()) for m, x in zip(marks, self.encoded(marks)))
-        self.chunks.update((c, self.words[w] + self.words[m]) for c, w, m in cut)
-        self.chunks.update((c, x.tobytes()) for c, x in zip(others, self.encoded([c.decode() for c in others])))
+        others += {m for *_, m in cut}.difference(self.known, others)
+        self.add_words(words + list(cores.difference(self.known)))
+        self.known.update(zip(others, (x.tobytes() for x in self.encoded([c.decode() for c in others], self.others))))
+        self.known.update((c, self.known[w] + self.known[m]) for c, w, m in cut)
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text with the end id, as little-endian unsigned 32-bit numbers."""
-        chunks = [t.split() for t in texts]
-        new = set().union(*chunks).difference(self.chunks)
-        if len(self.chunks) + len(new) > CACHE_WORDS:
-            self.chunks.clear()
-            self.words.clear()
-            new = set().union(*chunks)
+        """The ids of each text with the end id, as little-endian unsigned numbers of ``width`` bytes."""
+        # A letter and a combining mark (CC or CD in UTF-8) may compose only once they are in lower case.
+        chunks = [_MARKS.sub(rb" \1", t if b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
+        vocabulary = set().union(*chunks)
+        new = vocabulary.difference(self.known)
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known = {w: self.known[w] for w in vocabulary - new}
         if new:
-            self.add(list(new))
-        return [b"".join(map(self.chunks.__getitem__, ws)) + END for ws in chunks]
+            self.add(new)
+        return [b"".join(map(self.known.__getitem__, ws)) + self.end for ws in chunks]
 
 
 _tokenizers: dict[str, WordIds] = {}
 
 
-def packed_ids(ids: bytes, width: int, compressor: zstandard.ZstdCompressor) -> bytes:
-    """Ids of 32 bits as compressed ids of ``width`` bytes."""
-    return compressor.compress(ids if width == 4 else np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes())
-
-
 def unpacked_ids(data: bytes, n: int, decompressor: zstandard.ZstdDecompressor) -> bytes:
-    """The ``n`` ids of ``packed_ids``, of 32 bits again."""
+    """``n`` compressed ids, of 32 bits each."""
     data = decompressor.decompress(data)
     return data if len(data) == 4 * n else np.frombuffer(data, f"<u{len(data) // n}").astype("<u4").tobytes()
 
 
 def tokenized(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Per row: doc_id, source, part and pos (its key here), n ids, ids (see ``packed_ids``), and ``before``: ids of its source before it in its part."""
+    """Per row: doc_id, source, part and pos (its key here), n ids, ids (compressed), and ``before``: ids of its source before it in its part."""
     kept = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     doc_type = kept.schema["doc_id"].dataType.simpleString()
 
@@ -137,18 +140,18 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         if path not in _tokenizers:
             _tokenizers[path] = WordIds(path)
         words, part, pos, sent = _tokenizers[path], TaskContext.get().partitionId(), 0, {}
-        compressor = zstandard.ZstdCompressor(level=1)
+        compress = zstandard.ZstdCompressor(level=1).compress
         for batch in common.slices(batches, "text", 4 << 20):
             ids = words.ids(batch.column("text").to_pylist())
             sources, before = batch.column("source").to_pylist(), []
             for s, x in zip(sources, ids):
                 before.append(sent.get(s, 0))
-                sent[s] = before[-1] + len(x) // 4
+                sent[s] = before[-1] + len(x) // words.width
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("source"), pa.array([part] * len(ids), pa.int32()),
-                    pa.array(range(pos, pos + len(ids)), pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array(before, pa.int64()), pa.array([packed_ids(x, words.width, compressor) for x in ids], pa.binary()),
+                    pa.array(range(pos, pos + len(ids)), pa.int64()), pa.array([len(x) // words.width for x in ids], pa.int64()),
+                    pa.array(before, pa.int64()), pa.array(map(compress, ids), pa.binary()),
                 ],
                 ["doc_id", "source", "part", "pos", "n", "before", "ids"],
             )
@@ -224,40 +227,45 @@ def pack(docs: DataFrame, targets: Mapping[str, float] | None = None, window: in
 def cut(tokens: DataFrame, total: int, window: int) -> DataFrame:
     """The pieces of documents whose ``parts`` stand ``at`` places in the stream of ``total`` ids, cut into sequences."""
     whole = total - total % window
-    starts = tail(total, window)
+    starts = np.array([*tail(total, window), total], np.int64)
     doc_type = tokens.schema["doc_id"].dataType.simpleString()
 
+    def sequences(place: np.ndarray) -> np.ndarray:
+        return np.where(place < whole, place // window, whole // window + np.searchsorted(starts, place, side="right") - 1)
+
+    def first(sequence: np.ndarray) -> np.ndarray:
+        behind = sequence - whole // window
+        return np.where(behind < 0, sequence * window, starts[np.clip(behind, 0, len(starts) - 1)])
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decompressor = zstandard.ZstdDecompressor()
         for batch in common.slices(batches, "ids", 1 << 20):
-            owner, pieces, data = [], [], []
-            for i, (parts, n, z) in enumerate(zip(batch.column("parts").to_pylist(), batch.column("n").to_pylist(), batch.column("ids").to_pylist())):
-                ids, done = unpacked_ids(z, n, decompressor), 0
-                runs: list[list[int]] = []  # neighbours in the stream are one
-                for x in parts:
-                    if runs and sum(runs[-1]) == x["at"]:
-                        runs[-1][1] += x["n"]
-                    else:
-                        runs.append([x["at"], x["n"]])
-                for place, rest in runs:
-                    while rest:
-                        if place < whole:
-                            sequence = place // window
-                            lo, hi = sequence * window, (sequence + 1) * window
-                        else:
-                            j = bisect_right(starts, place)
-                            sequence, lo, hi = whole // window + j - 1, starts[j - 1], starts[j] if j < len(starts) else total
-                        size = min(hi - place, rest)
-                        owner.append(i)
-                        pieces.append((done, size, n, sequence, place - lo))
-                        data.append(ids[4 * done:4 * (done + size)])
-                        done, place, rest = done + size, place + size, rest - size
-            numbers = np.array(pieces, np.int64).reshape(-1, 5).T
-            owner = pa.array(owner, pa.int64())
+            n = batch.column("n").to_numpy()
+            data = b"".join(unpacked_ids(z, k, decompressor) for z, k in zip(batch.column("ids").to_pylist(), n.tolist()))
+            parts = batch.column("parts")
+            size, at = (parts.flatten().field(c).to_numpy() for c in ("n", "at"))
+            owner = np.repeat(np.arange(len(n)), parts.value_lengths().to_numpy())
+            # Neighbours in the stream are one; each is cut where a sequence ends. A document's pieces lie one behind the other.
+            new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + size[:-1])))
+            owner, at, size = owner[new], at[new], np.add.reduceat(size, new)
+            low = sequences(at)
+            times = sequences(at + size - 1) - low + 1
+            sequence = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            begin, end = first(sequence), first(sequence + 1)
+            stop = np.minimum(end, np.repeat(at + size, times))
+            place = np.maximum(begin, np.repeat(at, times))
+            owner, length = np.repeat(owner, times), stop - place
+            ends = np.cumsum(length)
+            offsets = np.append(0, 4 * ends).astype(np.int32)
+            numbers = (ends - length - (np.cumsum(n) - n)[owner], length, n[owner], sequence, place - begin)
+            owner = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(owner), *map(pa.array, numbers), batch.column("source").take(owner), pa.array(data, pa.binary())],
+                [
+                    batch.column("doc_id").take(owner), *map(pa.array, numbers), batch.column("source").take(owner),
+                    pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(data)]),
+                ],
                 ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "source", "ids"],
-            )
+            )
 
     return tokens.mapInArrow(rows, f"doc_id {doc_type}, start long, length long, doc_tokens long, sequence_id long, offset long, source string, ids binary")
 
