@@ -43,7 +43,7 @@ LAST = 1 << 40
 #: ASCII marks that the tokenizer always splits from a letter before them.
 MARKS = ".,;:!?"
 _MARKS = re.compile(rb"(?<=[a-zA-Z])([.,;:!?]+)(?=\s|\Z)")
-#: Words kept in a Python worker; beyond it, only those of the batch at hand stay.
+#: Words kept in a Python worker: a half that is filled, and the half before that.
 CACHE_WORDS = 400_000
 
 
@@ -58,35 +58,38 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        tokenizer, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        tokenizer, self.letters, self.ascii = (Tokenizer.from_file(path) for _ in range(3))
         self.others = tokenizer
-        # Words of letters alone need no patterns.
-        self.words.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
-        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # Words of letters alone need no patterns, and those of a-z are in the normal form.
+        self.letters.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ascii.normalizer = normalizers.Sequence([])
+        self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.width = 2 if max(len(self.ends_word) - 1, END_ID) < 1 << 16 else 4
         self.end = END_ID.to_bytes(self.width, "little")
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def encoded(self, texts: list[str], tokenizer) -> list[np.ndarray]:
         return [np.array(e.ids, f"<u{self.width}") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def add_words(self, words: list[bytes]) -> None:
+    def add_words(self, words: list[bytes], tokenizer) -> None:
         """Words of letters alone: many in one text, cut again behind the pieces that end a word."""
         for at in range(0, len(words), 512):
             some = words[at:at + 512]
-            (ids,) = self.encoded([b" ".join(some).decode()], self.words)
+            (ids,) = self.encoded([b" ".join(some).decode()], tokenizer)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(some):
                 data, ends = ids.tobytes(), (ends * self.width).tolist()
                 self.known.update(zip(some, map(data.__getitem__, map(slice, [0, *ends], ends))))
             else:
-                self.known.update(zip(some, (x.tobytes() for x in self.encoded([w.decode() for w in some], self.words))))
+                self.known.update(zip(some, (x.tobytes() for x in self.encoded([w.decode() for w in some], tokenizer))))
 
     def add(self, chunks: set[bytes]) -> None:
-        words = [c for c in chunks if c.isalpha()]  # ASCII letters
+        words = [c for c in chunks if c.isalpha() and c.islower()]  # a-z
         cut, cores, others = [], set(), []
         for chunk in chunks.difference(words):
             text = chunk.decode()
@@ -100,7 +103,8 @@ class WordIds:
             else:
                 others.append(chunk)
         others += {m for *_, m in cut}.difference(self.known, others)
-        self.add_words(words + list(cores.difference(self.known)))
+        self.add_words(words, self.ascii)
+        self.add_words(list(cores.difference(self.known)), self.letters)
         self.known.update(zip(others, (x.tobytes() for x in self.encoded([c.decode() for c in others], self.others))))
         self.known.update((c, self.known[w] + self.known[m]) for c, w, m in cut)
 
@@ -110,10 +114,13 @@ class WordIds:
         chunks = [_MARKS.sub(rb" \1", t if b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
         vocabulary = set().union(*chunks)
         new = vocabulary.difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {w: self.known[w] for w in vocabulary - new}
-        if new:
-            self.add(new)
+        if len(self.known) + len(new) > CACHE_WORDS // 2:
+            self.before, self.known = self.known, {}
+            new = vocabulary
+        again = new & self.before.keys()
+        self.known.update((w, self.before[w]) for w in again)
+        if len(again) < len(new):
+            self.add(new - again)
         return [b"".join(map(self.known.__getitem__, ws)) + self.end for ws in chunks]
 
 
