@@ -29,7 +29,7 @@ from cohortlens.llm import common
 WINDOW = 13
 SHARD_WORDS = 400_000
 SAMPLE = 16
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20
 #: Bytes that are no part of a word become spaces; A-Z become a-z; bytes of other characters than ASCII stay.
 _FOLD = bytes(b if b > 0x7F or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
 
@@ -202,13 +202,12 @@ def _hits(docs: list[list[bytes]], phrases: dict) -> tuple[list[list[tuple[int,
     return spans, items
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[str, bytes]]]:
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
+    """The items in blocks, of which one at a time is on the driver; an empty one where there are none."""
     kept = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").cast("binary").alias("t")).where("t is not null")
     n = -(-(kept.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // BLOCK_BYTES)
-    if n <= 1:
-        return [[tuple(r) for r in kept.collect()]] if n else []
-    block = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    return [[tuple(r) for r in kept.where(block == b).collect()] for b in range(n)]
+    block = F.pmod(F.xxhash64("i", "t"), F.lit(max(n, 1)))
+    return ([tuple(r) for r in kept.where(block == b).collect()] for b in range(max(n, 1)))
 
 
 def removal_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -217,7 +216,7 @@ def removal_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     row = F.struct(*[common.col(docs, c) for c in docs.columns])
     out = docs.select(row.alias("row"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<string>").alias("item_ids"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans"))
     schema, place = out.schema, docs.columns.index("text")
-    for block in _blocks(benchmark) or [[]]:
+    for block in _blocks(benchmark):
         sent = spark.sparkContext.broadcast(phrases_of(block, window))
 
         def rows(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,7 @@
 Features are TF-IDF weights of hashed character n-grams (one to three characters, within words): the term frequency
 is relative to the text's n-grams, the document frequency is counted over every document that may be learnt from.
 The weights are trained with follow-the-regularised-leader under elastic-net penalties, on at most ``PER_LANG``
-documents of each language, chosen by a hash of the id (a documented bound; where there are fewer, all are used). A
+documents of each language and ``IN_ALL`` in all, chosen by a hash of the id (a documented bound; where there are fewer, all are used). A
 fifth of these is held back to fit the temperature that divides the scores before they become probabilities.
 
 A text's score is a sum over its words, so a worker looks at each distinct word once. Nothing is shuffled but the
@@ -31,6 +31,8 @@ from cohortlens.llm.ngrams import CACHE_WORDS, WordSums, grams, words_of
 BITS = 16
 LOW, HIGH = 1, 3
 PER_LANG = 1500
+#: Documents learnt from in all, so that many languages don't fill the driver.
+IN_ALL = 24_000
 SCALE = 10.0
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
@@ -86,6 +88,7 @@ def sample(docs: DataFrame, per_lang: int) -> list[tuple[str, np.ndarray, np.nda
     sizes = dict(docs.groupBy("lang").count().collect())
     if not sizes:
         return []
+    per_lang = min(per_lang, max(1, IN_ALL // len(sizes)))
     share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, per_lang / n))])
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
     chosen = docs.select("lang", "text", place.alias("place")).where(F.col("place") < F.try_element_at(share, F.col("lang")))

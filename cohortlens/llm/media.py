@@ -88,16 +88,21 @@ def tracks(data: bytes) -> list[dict[bytes, tuple[int, int]]]:
     """The boxes of each track, by kind."""
     view, found = memoryview(data), []
 
-    def walk(lo: int, hi: int, into: dict[bytes, tuple[int, int]]) -> None:
-        for kind, a, b in boxes(view, lo, hi):
-            inner = into
-            if kind == b"trak":
-                found.append(inner := {})
-            inner.setdefault(kind, (a, b))
-            if kind in CONTAINERS and kind != b"stsd":
-                walk(a + CONTAINERS[kind], b, inner)
-
-    walk(0, len(data), {})
+    open_ = [(boxes(view, 0, len(data)), {})]
+    while open_:  # boxes may be nested to any depth
+        siblings, into = open_[-1]
+        x = next(siblings, None)
+        if x is None:
+            open_.pop()
+            continue
+        kind, a, b = x
+        if kind == b"moof":
+            raise ValueError("fragments are not read")
+        if kind == b"trak":
+            found.append(into := {})
+        into.setdefault(kind, (a, b))
+        if kind in CONTAINERS and kind != b"stsd":
+            open_.append((boxes(view, a + CONTAINERS[kind], b), into))
     return found
 
 
@@ -112,6 +117,10 @@ def described(data: bytes) -> dict:
         timescale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
         (_, codec), = [struct.unpack_from(">I4s", data, t[b"stsd"][0] + 8)]
         size, n = ints(b"stsz", 4, 2).tolist()
+        if not n:
+            continue
+        if size * n > len(data):
+            raise ValueError("the samples are larger than the file")
         sizes = np.full(n, size, np.int64) if size else ints(b"stsz", 12, n)
         wide = b"co64" in t
         chunks = count(b"co64" if wide else b"stco")
@@ -125,8 +134,8 @@ def described(data: bytes) -> dict:
         before = (ends - sizes)[np.cumsum(per_chunk) - per_chunk] if chunks else ends[:0]
         starts = offsets[chunk] + (ends - sizes) - before[chunk]
         keys = ints(b"stss", 8, count(b"stss")) - 1 if b"stss" in t else np.arange(n)
-        if n and int((starts + sizes).max()) > len(data):
-            raise ValueError("a sample lies behind the end of the file")
+        if int((starts + sizes).max()) > len(data) or len(keys) and not 0 <= keys.min() <= keys.max() < n:
+            raise ValueError("a sample lies outside the file, or a keyframe is none of the samples")
         return {"codec": codec.decode("latin-1"), "timescale": timescale, "duration": duration, "starts": starts, "sizes": sizes, "keys": keys}
     raise ValueError("no track with samples")
 
@@ -176,20 +185,24 @@ def media_columns(df: DataFrame, column: str = "media") -> DataFrame:
 
 
 def digest(media: DataFrame) -> DataFrame:
-    """The stored bytes read back: digests of payload and container, and the track's description as text."""
+    """The stored bytes read back: digests of payload and container, the track's description as text, and its columns."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "media", 8 << 20):
-            out = []
-            for data in batch.column("media"):
-                data = data.as_py()
+            out, keyframes = [], []
+            for data in batch.column("media").to_pylist():
                 x = described(data)
                 payload = payload_of(data, x)
                 keys = np.stack([x["starts"][x["keys"]], x["sizes"][x["keys"]]]).astype("<i8")
                 feature = f"{x['codec'].strip()};{x['timescale']};{x['duration']};{len(x['sizes'])};{len(x['keys'])};{zlib.crc32(keys.tobytes()):08x}"
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-            columns = [batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                keyframes.append(keys)
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), feature, x["codec"].strip(), x["duration"]))
+            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64())
+            offset, length = np.concatenate(keyframes, axis=1)
+            ends = np.cumsum([0, *(k.shape[1] for k in keyframes)]).astype(np.int32)
+            ranges = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(offset), pa.array(length)], ["offset", "length"]))
+            columns = [batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(zip(*out), types)), ranges]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration", "keyframes"])
 
     doc_type = media.schema["doc_id"].dataType.simpleString()
-    return media.mapInArrow(rows, f"doc_id {doc_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(rows, f"doc_id {doc_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration long, keyframes array<struct<offset:long,length:long>>")

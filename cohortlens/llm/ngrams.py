@@ -6,15 +6,17 @@ import re
 from itertools import chain
 
 import numpy as np
+import regex
 
-#: Runs of letters of any script.
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters of any script; ``re`` also takes numbers such as U+00B2 for letters.
+LETTERS, PURE = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 CACHE_WORDS = 200_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    words = LETTERS.findall(text.lower()) if text else []
+    return words if not words or text.isascii() or all(map(str.isalpha, words)) else [x for w in words for x in PURE.findall(w)]
 
 
 def grams(words: list[str], low: int, high: int, bits: int) -> tuple[np.ndarray, np.ndarray]:

@@ -8,6 +8,7 @@ unknown at the lowest score less 10, and unknown characters become their UTF-8 b
 
 The only public vocabulary with piece strings at hand is a byte-pair one, without unigram probabilities; a piece's
 score here is ``-log(rank + 1)``, its place in that vocabulary under Zipf's law. The vocabulary's path is a parameter.
+Control, unknown and byte pieces never match text.
 Words are cut at white space and get the mark U+2581 in front; a word's count is kept, so each distinct word is
 scored once in a worker.
 
@@ -43,7 +44,8 @@ def vocabulary(path: str | None = None) -> list[tuple[str, float]]:
 
         path = public_tokenizers.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(model.id_to_piece(i), -math.log(i + 1.0)) for i in range(model.get_piece_size())]
+    special = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)
+    return [(model.id_to_piece(i), -math.log(i + 1.0)) for i in range(model.get_piece_size()) if not special(i)]
 
 
 class Counter:

@@ -24,6 +24,7 @@ import hashlib
 import json
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from itertools import groupby
@@ -60,7 +61,11 @@ ASIDE_WORDS = frozenset(
     " disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices paywall popup promo promotion recommended related replies respond search share sharing"
     " sidebar skip social sponsor sponsored subscribe tags toolbar widget".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+#: How a tag, comment or declaration begins, and what is behind a tag's name.
+_START = re.compile(r"<(?:(?P<comment>!--)|(?P<cdata>!\[CDATA\[)|(?P<other>[!?])|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*))")
+_REST = re.compile(r"(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+>")
+#: Elements below so many others are put beside these, as browsers do; no text is lost.
+DEPTH = 100
 _ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
@@ -104,10 +109,17 @@ def parse(html: str) -> list:
         if link:
             linked += len(raw)
 
-    at, size = 0, len(html)
+    def behind(mark: str, start: int) -> tuple[int, int]:
+        """Where a mark stands, and the place behind it; the end where there is none."""
+        found = html.find(mark, start)
+        return (size, size) if found < 0 else (found, found + len(mark))
+
+    at, size, last = 0, len(html), html.rfind(">")
+    deep: Counter = Counter()  # open elements that stand beside their parent
+    quotes = True  # False from the first tag on whose quotes never end: a tag then ends at the next ">"
     while at < size:
-        m = _TOKEN.search(html, at)
-        if m is None:
+        m = _START.search(html, at)
+        if m is None or m["tag"] and m.end() > last:  # what never ends is text
             add(html[at:])
             break
         if m.start() > at:
@@ -115,13 +127,21 @@ def parse(html: str) -> list:
         at = m.end()
         tag = m["tag"]
         if tag is None:
+            end, at = behind("-->" if m["comment"] else "]]>" if m["cdata"] else ">", at)
             if m["cdata"]:
-                add(m["cdata"])
+                add(html[m.end():end])
             continue
+        rest = _REST.match(html, at) if quotes else None
+        quotes = rest is not None
+        stop = rest.end() if rest else html.index(">", at) + 1
+        attrs, at = html[at:stop - 1], stop
         tag = tag.lower()
         if m["end"]:
             if tag == "a":
                 link = max(0, link - 1)
+            elif deep[tag]:
+                flush()
+                deep[tag] -= 1
             elif tag in tags[1:]:
                 flush()
                 k = len(tags) - 1 - tags[::-1].index(tag)
@@ -130,12 +150,12 @@ def parse(html: str) -> list:
                 flush()
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else size
+            end = re.compile(rf"</{re.escape(tag)}\b", re.I).search(html, at)
+            at = behind(">", end.end())[1] if end else size
             continue
-        label, hidden = _label(tag, m["attrs"])
+        label, hidden = _label(tag, attrs)
         if tag in INLINE and not (hidden or tag == "span" and _aside_words(label)):
-            link += tag == "a" and not m["attrs"].endswith("/")
+            link += tag == "a" and not attrs.endswith("/")
             continue
         flush()
         if tag in VOID:
@@ -149,7 +169,11 @@ def parse(html: str) -> list:
             label = f"{label}.notice"
         node = [label, []]
         stack[-1][1].append(node)
-        if not m["attrs"].endswith("/"):
+        if attrs.endswith("/"):
+            continue
+        if len(stack) > DEPTH:
+            deep[tag] += 1
+        else:
             stack.append(node)
             tags.append(tag)
     flush()

@@ -48,3 +48,22 @@ def test_sharding_of_odd_rows(spark, odd, none, tmp_path):
     assert shards.placement(store).count() == odd.count()
     empty = shards.compacted(none, str(tmp_path / "none"))
     assert empty.version() == 1 and empty.manifest().count() == 0 and shards.placement(empty).count() == 0
+
+
+def test_one_of_two_racing_writers_commits(spark, tmp_path):
+    store = shards.ShardStore(spark, str(tmp_path / "race"))
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    assert store.append(docs) == 1
+    old = store.manifest(1)
+    assert store.commit(old, 2) == 2
+    with pytest.raises(shards.Conflict):  # it has looked before the other committed
+        store.commit(old.where("false"), 2)
+    assert store.version() == 2 and store.manifest().count() == old.count()
+    (tmp_path / "race/manifest/v-3").touch()
+    assert store.version() == 2
+
+
+def test_ids_may_be_text(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "x"), ("b", "y"), (None, None), ("b", "y")], "doc_id string, text string")
+    store = shards.compacted(docs, str(tmp_path / "text"), batch_rows=2)
+    assert sorted((r.doc_id or "", r.row.text or "") for r in store.read().collect()) == [("", ""), ("a", "x"), ("b", "y"), ("b", "y")]
