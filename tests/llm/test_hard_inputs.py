@@ -16,7 +16,7 @@ def text(html):
     ("html", "expected"),
     [
         ("<div>" * 10_000 + "deep" + "</div>" * 10_000 + "<p>after</p>", "deep after"), ("<ul><li>" * 5_000 + "x", "x"),
-        ('<p>a</p><a href="x' * 50_000 + "><p>b</p>", None), ("<script>" + "</script " * 100_000, ""), ("<p>a <!-- <p>b</p>", "a"), ("<p>a</p><a title='b > c'>d</a>", "a d"),
+        ('<p>a</p><a href="x' * 50_000 + "><p>b</p>", None), ("<script>" + "</script " * 100_000, ""), ("<p>a <!-- <p>b</p>", "a"), ("<article>a <a title='b > c'>d</a></article>", "a d"),
     ],
 )
 def test_pages_of_any_depth_and_without_ends(html, expected):
