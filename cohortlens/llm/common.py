@@ -62,6 +62,17 @@ def arrow_map(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(rows, schema)
 
 
+_held: dict = {}
+
+
+def held(name, make: Callable):
+    """What an operator keeps in its Python worker between tasks; a worker serves many stages, so others' is dropped."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a text column holds about ``limit`` bytes at most, at least a row each."""
     for batch in batches:

@@ -232,6 +232,7 @@ def removal_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                     ["row", "n_words", "item_ids", "spans"],
                 )
 
+            common.held("decontamination", dict)
             held, words, size = [], [], 0
             for batch in common.slices(batches, "row", 2 << 20):
                 some = [words_of((t or "").encode()) for t in batch.column("row").field(place).to_pylist()]

@@ -48,7 +48,7 @@ FINE_SAMPLES, FINE_BITS = 4096, 4096
 FINE_A = _random.integers(1, 1 << 63, FINE_SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
 FINE_B = _random.integers(0, 1 << 63, FINE_SAMPLES, np.uint64)
 MIX = _random.integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Text hashes (8 bytes each) that are sent to all executors at most.
 WANTED_ROWS = 500_000
 #: Standard deviations that the sketch's threshold leaves: one true pair in 300,000 at the very threshold is missed.
@@ -61,9 +61,6 @@ class _Hashes(dict):
         return h
 
 
-_hashes = _Hashes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -78,9 +75,10 @@ def shingles(text: bytes | None, words: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     if len(tokens) < words:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(tokens))], np.uint64)
-    if len(_hashes) > CACHE_WORDS:
-        _hashes.clear()
-    h = np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
+    hashes = common.held("shingles", _Hashes)
+    if len(hashes) > CACHE_WORDS:
+        hashes.clear()
+    h = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
     n = len(h) - words + 1
     total = h[:n] * MIX[0]
     for i in range(1, words):

@@ -44,7 +44,7 @@ LAST = 1 << 40
 MARKS = ".,;:!?"
 _MARKS = re.compile(rb"(?<=[a-zA-Z])([.,;:!?]+)(?=\s|\Z)")
 #: Words kept in a Python worker: a half that is filled, and the half before that.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 240_000
 
 
 class WordIds:
@@ -58,8 +58,8 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        tokenizer, self.letters, self.ascii = (Tokenizer.from_file(path) for _ in range(3))
-        self.others = tokenizer
+        self.others = tokenizer = Tokenizer.from_file(path)
+        self.letters, self.ascii = Tokenizer(tokenizer.model), Tokenizer(tokenizer.model)
         # Words of letters alone need no patterns, and those of a-z are in the normal form.
         self.letters.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -124,9 +124,6 @@ class WordIds:
         return [b"".join(map(self.known.__getitem__, ws)) + self.end for ws in chunks]
 
 
-_tokenizers: dict[str, WordIds] = {}
-
-
 def unpacked_ids(data: bytes, n: int, decompressor: zstandard.ZstdDecompressor) -> bytes:
     """``n`` compressed ids, of 32 bits each."""
     data = decompressor.decompress(data)
@@ -144,9 +141,8 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        if path not in _tokenizers:
-            _tokenizers[path] = WordIds(path)
-        words, part, pos, sent = _tokenizers[path], TaskContext.get().partitionId(), 0, {}
+        words = common.held(("packing", path), lambda: WordIds(path))
+        part, pos, sent = TaskContext.get().partitionId(), 0, {}
         compress = zstandard.ZstdCompressor(level=1).compress
         for batch in common.slices(batches, "text", 4 << 20):
             ids = words.ids(batch.column("text").to_pylist())

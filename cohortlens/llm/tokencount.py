@@ -97,17 +97,12 @@ def split(text: str) -> list[str]:
     return [w for w in _SPACE.split(text) if w] if _CONTROLS.search(text) else text.split()
 
 
-_counters: dict[str | None, Counter] = {}
-
-
 def token_counts(docs: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, n_words and n_tokens of each text."""
     kept = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model not in _counters:
-            _counters[model] = Counter(vocabulary(model))
-        counter = _counters[model]
+        counter = common.held(("token counts", model), lambda: Counter(vocabulary(model)))
         for batch in common.slices(batches, "text", 8 << 20):
             words = [split(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, words), pa.int64()), pa.array(map(counter.words, words), pa.int64())], ["doc_id", "n_words", "n_tokens"])
