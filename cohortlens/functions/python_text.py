@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
+import regex
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 SKIPPED = frozenset(["script", "style", "noscript", "svg"])
 VISIBLE_CHARS = 4000
+#: Comments, and elements whose content isn't parsed; one that never ends goes on to the end.
+_UNPARSED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|[!?])[^>]*>")
+_CONTROL = regex.compile(r"[\p{C}--[\n\t]]", regex.V1)
 # What the sanitiser takes out, in this order.
 REDACTIONS = tuple(
     re.compile(p, re.I) for p in (
@@ -27,43 +32,33 @@ def casefold_nfkc(c: pd.Series) -> pd.Series:
     return c.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).strip().casefold() or None)
 
 
-class _Visible(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.skip, self.parts = 0, []
-
-    def handle_starttag(self, tag, attrs):
-        self.skip += tag in SKIPPED
-
-    def handle_endtag(self, tag):
-        self.skip -= tag in SKIPPED and self.skip > 0
-
-    def handle_data(self, data):
-        if not self.skip and (text := " ".join(data.split())):
-            self.parts.append(text)
-
-
 def visible(html: str | None) -> str | None:
+    """The words outside comments and hidden elements, character references decoded, joined by spaces and cut."""
     if html is None:
         return None
-    parser = _Visible()
-    parser.feed(html)
-    parser.close()
-    return " ".join(parser.parts)[:VISIBLE_CHARS]
+    pieces = _TAG.split(_UNPARSED.sub(" ", html))  # text, then for each tag its slash, its name and the text behind it
+    words, hidden = unescape(pieces[0]).split(), 0
+    for slash, name, text in zip(pieces[1::3], pieces[2::3], pieces[3::3]):
+        if name and name.lower() in SKIPPED:
+            hidden = max(0, hidden - 1) if slash else hidden + 1
+        if not hidden:
+            words += unescape(text).split()
+    return " ".join(words)[:VISIBLE_CHARS]
 
 
 def sanitised(text: str | None, max_chars: int = 600) -> str | None:
     """Redacted until nothing changes, white space collapsed, cut at a word; blank where something unsafe is left."""
     if text is None:
         return None
-    text = "".join(ch if ch in "\n\t" or unicodedata.category(ch)[0] != "C" else " " for ch in unicodedata.normalize("NFC", text))
+    text = _CONTROL.sub(" ", unicodedata.normalize("NFC", text))
 
     def clean(x: str) -> str:
         for p in REDACTIONS:
             x = p.sub(" ", x)
         return " ".join(x.split())
 
-    text = clean(clean(text))
+    once = clean(text)
+    text = clean(once) if once != " ".join(text.split()) else once  # where nothing was taken out, nothing more is
     if len(text) > max_chars:
         cut = text[:max_chars]
         text = clean(cut[:cut.rfind(" ")] if " " in cut else cut)

@@ -14,9 +14,9 @@ def count_violations(cells: DataFrame, k: int) -> DataFrame:
     return cells.where((published & (F.col("value").isNull() | small(k, F.col("value")))) | (~published & F.col("value").isNotNull()))
 
 
-def funnel_violations(stages: DataFrame, k: int) -> DataFrame:
-    """Stages (place, n) never grow, and never drop by one to k - 1."""
-    drop = F.lag("n").over(Window.partitionBy(F.lit(1)).orderBy("place")) - F.col("n")  # a row for each stage: few
+def funnel_violations(stages: DataFrame, k: int, by: list[str] = ()) -> DataFrame:
+    """Stages (place, n) of a funnel never grow, and never drop by one to k - 1."""
+    drop = F.lag("n").over(Window.partitionBy(*(by or [F.lit(1)])).orderBy("place")) - F.col("n")  # a row for each stage: few
     return stages.withColumn("drop", drop).where((F.col("drop") < 0) | small(k, F.col("drop")))
 
 
@@ -39,3 +39,42 @@ def reference_violations(child: DataFrame, key: str, parent: DataFrame, parent_k
 
 def duplicate_violations(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).count().where("count > 1")
+
+
+def selection_violations(outcomes: DataFrame, by: list[str], total: str, k: int) -> DataFrame:
+    """Outcomes of a selection (``value``, null where withheld) add up to ``total``; none is withheld alone or can be worked out."""
+    sums = outcomes.groupBy(*by).agg(F.count_if(F.col("value").isNull()).alias("withheld"), F.coalesce(F.sum("value"), F.lit(0)).alias("known"), F.max(total).alias("total"))
+    rest = F.col("total") - F.col("known")
+    problem = F.when(F.col("withheld") == 1, "single_withheld").when((F.col("withheld") == 0) & (rest != 0), "sum").when((F.col("withheld") > 0) & ((rest < 0) | small(k, rest)), "remainder")
+    return sums.select(*by, problem.alias("problem")).where("problem is not null")
+
+
+def dimension_violations(items: DataFrame, by: list[str], known: str) -> DataFrame:
+    """Items of an exclusive dimension add up to ``known`` (to no more where some are withheld), none is above it, none withheld alone."""
+    sums = items.groupBy(*by).agg(
+        F.count_if(F.col("value").isNull()).alias("withheld"), F.coalesce(F.sum("value"), F.lit(0)).alias("sum"), F.coalesce(F.max("value"), F.lit(0)).alias("most"), F.max(known).alias("known")
+    )
+    problem = (
+        F.when(F.col("withheld") == 1, "single_withheld").when(F.col("most") > F.col("known"), "item").when((F.col("withheld") == 0) & (F.col("sum") != F.col("known")), "sum")
+        .when(F.col("sum") > F.col("known"), "sum")
+    )
+    return sums.select(*by, problem.alias("problem")).where("problem is not null")
+
+
+def intersection_violations(intersections: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """Intersections (``key``, components, value) have two components or more, all of them items (component, value); none is above its smallest or published over a withheld one."""
+    parts = intersections.select(key, "value", F.explode_outer("components").alias("component")).join(items.select("component", F.lit(True).alias("there"), F.col("value").alias("part")), "component", "left")
+    sums = parts.groupBy(key).agg(
+        F.max("value").alias("value"), F.count_distinct("component").alias("n"), F.count_if(F.col("there").isNull()).alias("unknown"), F.count_if(F.col("there") & F.col("part").isNull()).alias("withheld"), F.min("part").alias("least")
+    )
+    problem = (
+        F.when(F.col("n") < 2, "components").when(F.col("unknown") > 0, "unknown").when(F.col("value").isNotNull() & (F.col("withheld") > 0), "over_withheld").when(F.col("value") > F.col("least"), "count")
+    )
+    return sums.select(key, problem.alias("problem")).where("problem is not null")
+
+
+def artifact_violations(artifacts: DataFrame, k: int) -> DataFrame:
+    """``present`` of ``eligible`` artifacts: no more than these, none to k - 1 missing, and ``complete`` says whether all are there."""
+    rest = F.col("eligible") - F.col("present")
+    problem = F.when(rest < 0, "present").when(small(k, rest), "complement").when(F.col("complete") != (rest == 0), "status")
+    return artifacts.withColumn("problem", problem).where("problem is not null")

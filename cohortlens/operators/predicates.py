@@ -36,17 +36,18 @@ METRICS = {
 METRIC_RELATIONS = [("substantive_technical_evidence", "advanced_technical_evidence")]
 GROUPS = {
     "advanced_or_exceptional_technical": ("technical_depth", ["advanced", "exceptional"]),
+    "differentiated_or_ambitious_problem": ("problem_differentiation", ["ambitious", "differentiated"]),
     "early_or_greater_validation": ("external_validation", ["early_signal", "meaningful", "strong"]),
     "meaningful_or_strong_validation": ("external_validation", ["meaningful", "strong"]),
     "moderate_or_stronger_technical": ("technical_depth", ["advanced", "exceptional", "moderate"]),
     "prototype_or_beyond": ("product_maturity", ["production_evidence", "prototype", "working_product"]),
     "substantial_or_greater_execution": ("execution_scope", ["end_to_end_builder", "primary_builder", "substantial_contributor"]),
     "working_or_production": ("product_maturity", ["production_evidence", "working_product"]),
-    "differentiated_or_ambitious_problem": ("originality", ["ambitious", "differentiated"]),
 }
 GROUP_RELATIONS = [
     ("early_or_greater_validation", "meaningful_or_strong_validation"), ("moderate_or_stronger_technical", "advanced_or_exceptional_technical"), ("prototype_or_beyond", "working_or_production"),
 ]
+# States of an assessment, nested cohorts widest first, overlapping signals and their exact regions.
 STATES = ["assessed", "no_evidence", "provider_unavailable", "conflict", "rejected", "excluded"]
 COHORTS = ["all", "accepted", "attended"]
 SIGNALS = ["founder_evidence", "technical_function", "shipped_product_evidence"]

@@ -122,11 +122,15 @@ def p13_denominator(cells: DataFrame, eligible: str, total: str, k: int) -> Data
 
 
 def p14_cross_cohort(cells: DataFrame, ladder: list[str], by: list[str], k: int) -> DataFrame:
-    """Raw drops of one to k - 1 between neighbouring cohorts mask the cell in both. ``ladder``: widest first."""
+    """Raw drops of one to k - 1 between neighbouring cohorts mask the cell in both. ``ladder``: widest first.
+
+    A cohort without a row has nobody in that cell: it counts as 0.
+    """
     rank = F.create_map(*[F.lit(x) for i, c in enumerate(ladder) for x in (c, i)])
     ranked = cells.withColumn("_rank", F.element_at(rank, F.col("cohort")))
-    part = Window.partitionBy(*by, "cell").orderBy("_rank")
-    up, down = F.lag("n").over(part) - F.col("n"), F.col("n") - F.lead("n").over(part)
+    part = Window.partitionBy(*by, "cell")
+    counts = F.array(*[F.coalesce(F.max(F.when(F.col("_rank") == i, F.col("n"))).over(part), F.lit(0)) for i in range(len(ladder))])
+    up, down = F.get(counts, F.col("_rank") - 1) - F.col("n"), F.col("n") - F.get(counts, F.col("_rank") + 1)
     hit = F.coalesce(small(k, up), F.lit(False)) | F.coalesce(small(k, down), F.lit(False))
     before = _when(F.col("privacy") != "published") if "privacy" in cells.columns else F.lit(None).cast("string")
     return _shown(ranked.withColumn("_hit", hit), F.coalesce(before, _when(F.col("_hit")))).drop("_hit", "_rank")

@@ -73,7 +73,8 @@ def _metric_cells(where: str = "") -> str:
 @query(_metric_cells() + """, p9 AS (SELECT *, (n > 0 AND n < 5) OR (eligible - n > 0 AND eligible - n < 5) AS bad9 FROM m),
  p11 AS (SELECT a.*, bad9 OR coalesce(a.n - b.n BETWEEN 1 AND 4, FALSE) AS bad11 FROM p9 a LEFT JOIN m b ON a.cell = 'substantive_technical_evidence' AND b.cell = 'advanced_technical_evidence' AND a.cohort = b.cohort AND a.nation = b.nation),
  r AS (SELECT *, CASE cohort WHEN 'all' THEN 0 WHEN 'accepted' THEN 1 ELSE 2 END AS rank FROM p11),
- p14 AS (SELECT *, bad11 OR coalesce(lag(n) OVER w - n BETWEEN 1 AND 4, FALSE) OR coalesce(n - lead(n) OVER w BETWEEN 1 AND 4, FALSE) AS bad FROM r WINDOW w AS (PARTITION BY nation, cell ORDER BY rank))
+ q AS (SELECT *, coalesce(max(n) FILTER (rank = 0) OVER w, 0) AS n0, coalesce(max(n) FILTER (rank = 1) OVER w, 0) AS n1, coalesce(max(n) FILTER (rank = 2) OVER w, 0) AS n2 FROM r WINDOW w AS (PARTITION BY nation, cell)),
+ p14 AS (SELECT *, bad11 OR (rank < 2 AND n0 - n1 BETWEEN 1 AND 4) OR (rank > 0 AND n1 - n2 BETWEEN 1 AND 4) AS bad FROM q)
  SELECT cohort, nation, cell AS metric, CASE WHEN NOT bad THEN n END AS value, CASE WHEN bad THEN 'withheld' ELSE 'published' END AS privacy FROM p14""")
 def cohort_metrics(spark, d):
     """The flagship: registered metrics over nested cohorts, suppressed point by point, by subsets and across cohorts."""
@@ -106,9 +107,10 @@ def taxonomy_overlapping(spark, d):
     return aggregate.overlapping_counts(table(spark, d, "customer").select("c_custkey").join(e, "c_custkey", "left"), "labels")
 
 
-@query(f"WITH {FACTS}, {_COHORTS} " + " UNION ALL ".join(f"SELECT cohort, '{k}' AS cell, count(*) FILTER (assessment_state = 'assessed' AND {dim} IN ({', '.join(repr(x) for x in v)})) AS n FROM coh GROUP BY cohort" for k, (dim, v) in predicates.GROUPS.items()))
+@query(f"WITH {FACTS}, {_COHORTS}, g AS (SELECT *, originality AS problem_differentiation FROM coh) " + " UNION ALL ".join(f"SELECT cohort, '{k}' AS cell, count(*) FILTER (assessment_state = 'assessed' AND {dim} IN ({', '.join(repr(x) for x in v)})) AS n FROM g GROUP BY cohort" for k, (dim, v) in predicates.GROUPS.items()))
 def public_groups(spark, d):
-    return aggregate.group_counts(aggregate.in_cohorts(views.facts(spark, d)), ["cohort"])
+    facts = views.facts(spark, d).withColumn("problem_differentiation", F.col("originality"))
+    return aggregate.group_counts(aggregate.in_cohorts(facts), ["cohort"])
 
 
 @query(f"WITH {FACTS} SELECT id, list_filter([" + ", ".join(f"CASE WHEN assessment_state = 'assessed' AND {c} THEN '{k}' END" for k, c in sorted(_METRIC_SQL.items())) + "], lambda x: x IS NOT NULL)::VARCHAR AS keys FROM facts")
@@ -240,10 +242,11 @@ def suppress_p10(spark, d):
     return suppress.p10_closure(views.cells(spark, d), ["track"], "total", 2)
 
 
-@query(f"WITH {FACTS}, {_COHORTS}, g AS (" + " UNION ALL ".join(f"SELECT cohort, nation, '{k}' AS cell, count(*) FILTER (assessment_state = 'assessed' AND {dim} IN ({', '.join(repr(x) for x in v)})) AS n FROM coh GROUP BY ALL" for k, (dim, v) in predicates.GROUPS.items())
+@query(f"WITH {FACTS}, {_COHORTS}, f AS (SELECT *, originality AS problem_differentiation FROM coh), g AS (" + " UNION ALL ".join(f"SELECT cohort, nation, '{k}' AS cell, count(*) FILTER (assessment_state = 'assessed' AND {dim} IN ({', '.join(repr(x) for x in v)})) AS n FROM f GROUP BY ALL" for k, (dim, v) in predicates.GROUPS.items())
        + "), rel(broader, narrower) AS (VALUES " + ", ".join(map(str, predicates.GROUP_RELATIONS)) + ") SELECT a.cohort, a.nation, a.cell, a.n, CASE WHEN bad THEN 'withheld' ELSE 'published' END AS privacy, CASE WHEN NOT bad THEN a.n END AS value FROM (SELECT a.*, coalesce(a.n - b.n BETWEEN 1 AND 4, FALSE) AS bad FROM g a LEFT JOIN rel ON broader = a.cell LEFT JOIN g b ON b.cell = narrower AND b.cohort = a.cohort AND b.nation = a.nation) a")
 def suppress_p11(spark, d):
-    cells = aggregate.group_counts(aggregate.in_cohorts(views.facts(spark, d)), ["cohort", "nation"])
+    facts = views.facts(spark, d).withColumn("problem_differentiation", F.col("originality"))
+    cells = aggregate.group_counts(aggregate.in_cohorts(facts), ["cohort", "nation"])
     relations = spark.createDataFrame(predicates.GROUP_RELATIONS, "broader string, narrower string")
     return suppress.p11_subsets(cells, relations, ["cohort", "nation"], K).select("cohort", "nation", "cell", "n", "privacy", "value")
 
@@ -261,7 +264,8 @@ def suppress_p13(spark, d):
 
 
 @query(f"""WITH {FACTS}, {_COHORTS}, c AS (SELECT cohort, track, nation AS cell, count(*) AS n FROM coh GROUP BY ALL), r AS (SELECT *, CASE cohort WHEN 'all' THEN 0 WHEN 'accepted' THEN 1 ELSE 2 END AS rank FROM c),
- b AS (SELECT *, coalesce(lag(n) OVER w - n BETWEEN 1 AND 4, FALSE) OR coalesce(n - lead(n) OVER w BETWEEN 1 AND 4, FALSE) AS bad FROM r WINDOW w AS (PARTITION BY track, cell ORDER BY rank))
+ q AS (SELECT *, coalesce(max(n) FILTER (rank = 0) OVER w, 0) AS n0, coalesce(max(n) FILTER (rank = 1) OVER w, 0) AS n1, coalesce(max(n) FILTER (rank = 2) OVER w, 0) AS n2 FROM r WINDOW w AS (PARTITION BY track, cell)),
+ b AS (SELECT *, (rank < 2 AND n0 - n1 BETWEEN 1 AND 4) OR (rank > 0 AND n1 - n2 BETWEEN 1 AND 4) AS bad FROM q)
  SELECT cohort, track, cell, n, CASE WHEN bad THEN 'withheld' ELSE 'published' END AS privacy, CASE WHEN NOT bad THEN n END AS value FROM b""")
 def suppress_p14(spark, d):
     cells = aggregate.in_cohorts(views.facts(spark, d)).groupBy("cohort", "track", F.col("nation").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
@@ -292,10 +296,10 @@ def flow_conservation(spark, d):
     return contracts.flow_violations(links, nodes)
 
 
-@query("SELECT c_mktsegment AS track, count(DISTINCT c_nationkey) AS n, count(DISTINCT c_nationkey) AS kinds FROM customer WHERE c_acctbal > 9000 GROUP BY 1 HAVING count(DISTINCT c_nationkey) <> 25")
+@query("SELECT s_suppkey % 7 AS track, count(DISTINCT s_nationkey) AS n, count(DISTINCT s_nationkey) AS kinds FROM supplier GROUP BY 1 HAVING count(DISTINCT s_nationkey) <> 25")
 def complete_rectangle(spark, d):
-    cells = table(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_mktsegment").alias("track"), "c_nationkey").distinct()
-    return contracts.rectangle_violations(cells, "track", "c_nationkey", 25)
+    cells = table(spark, d, "supplier").select((F.col("s_suppkey") % 7).alias("track"), "s_nationkey").distinct()
+    return contracts.rectangle_violations(cells, "track", "s_nationkey", 25)
 
 
 @query("SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 49)")
@@ -306,7 +310,7 @@ def referential_integrity(spark, d):
 
 # --- matching, ranking, supersession
 
-_TEAM_SQL = """WITH pref AS (SELECT s_suppkey AS team_id, 'team ' || (s_suppkey % 60) AS name, s_suppkey % 5 AS track FROM supplier), proj AS (SELECT p_partkey AS project_id, 'team ' || (p_partkey % 90) AS name, p_partkey % 5 AS track FROM part WHERE p_partkey <= 120),
+_TEAM_SQL = """WITH pref AS (SELECT s_suppkey AS team_id, 'team ' || (s_suppkey % 60) AS name, s_suppkey % 5 AS track FROM supplier), proj AS (SELECT p_partkey AS project_id, 'team ' || (p_partkey * 3 // 4) AS name, p_partkey % 5 AS track FROM part),
  rev AS (SELECT s_suppkey AS team_id, s_suppkey + 10 AS project_id FROM supplier WHERE s_suppkey % 3 = 0), uniq AS (SELECT name, min(project_id) AS project_id, min(track) AS ptrack FROM proj GROUP BY name HAVING count(*) = 1),
  byname AS (SELECT team_id, project_id, 'name' AS how FROM pref JOIN uniq USING (name) WHERE track = ptrack), byrev AS (SELECT p.team_id, r.project_id, 'reviewed' AS how FROM pref p JOIN rev r USING (team_id) JOIN proj q ON q.project_id = r.project_id AND q.track = p.track WHERE p.team_id NOT IN (SELECT team_id FROM byname)),
  al AS (SELECT * FROM byname UNION ALL SELECT * FROM byrev) SELECT project_id, team_id, how FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY team_id) AS r FROM al) WHERE r = 1"""
@@ -314,10 +318,10 @@ _TEAM_SQL = """WITH pref AS (SELECT s_suppkey AS team_id, 'team ' || (s_suppkey
 
 @query(_TEAM_SQL)
 def team_match(spark, d):
-    s, p = table(spark, d, "supplier"), table(spark, d, "part").where("p_partkey <= 120")  # a hundred projects is what an event has
-    name = lambda c, n: text.team_name(F.concat(F.lit(" Team--"), (F.col(c) % n).cast("string")))
-    prefs = s.select(F.col("s_suppkey").alias("team_id"), name("s_suppkey", 60).alias("name"), (F.col("s_suppkey") % 5).alias("track"))
-    projects = p.select(F.col("p_partkey").alias("project_id"), name("p_partkey", 90).alias("name"), (F.col("p_partkey") % 5).alias("track"))
+    s, p = table(spark, d, "supplier"), table(spark, d, "part")
+    name = lambda c: text.team_name(F.concat(F.lit(" Team--"), c.cast("string")))
+    prefs = s.select(F.col("s_suppkey").alias("team_id"), name(F.col("s_suppkey") % 60).alias("name"), (F.col("s_suppkey") % 5).alias("track"))
+    projects = p.select(F.col("p_partkey").alias("project_id"), name(F.expr("p_partkey * 3 div 4")).alias("name"), (F.col("p_partkey") % 5).alias("track"))
     reviewed = s.where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("team_id"), (F.col("s_suppkey") + 10).alias("project_id"))
     return matching.team_match(prefs, projects, reviewed)
 
@@ -385,8 +389,8 @@ def identity_resolution(spark, d):
     """Guests and a second source with manufactured collisions, folded in order within blocks of shared identifiers."""
     c, o = table(spark, d, "customer"), table(spark, d, "orders")
     null = F.lit(None).cast("string")
-    guests = c.select(F.col("c_custkey").alias("record"), F.lit(0).alias("place"), F.concat((F.col("c_custkey") % 1200).cast("string"), F.lit("@x.test")).alias("email"), F.when(F.col("c_custkey") % 11 == 0, F.concat(F.lit("h"), (F.col("c_custkey") % 97).cast("string"))).alias("handle"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("team"))
-    later = o.where("o_orderkey % 13 = 0").select((F.col("o_orderkey") + 1_000_000_000).alias("record"), F.lit(1).alias("place"), F.when(F.col("o_orderkey") % 2 == 0, F.concat((F.col("o_custkey") % 1200).cast("string"), F.lit("@x.test"))).alias("email"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("h"), (F.col("o_custkey") % 97).cast("string"))).alias("handle"), null.alias("name"), null.alias("team"))
+    guests = c.select(F.col("c_custkey").alias("record"), F.lit(0).alias("place"), F.concat((F.col("c_custkey") % 1200).cast("string"), F.lit("@x.test")).alias("email"), F.when(F.col("c_custkey") % 11 == 0, F.concat(F.lit("h"), F.col("c_custkey").cast("string"))).alias("handle"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("team"))
+    later = o.select((F.col("o_orderkey") + 1_000_000_000).alias("record"), F.lit(1).alias("place"), F.when(F.col("o_orderkey") % 2 == 0, F.concat((F.col("o_custkey") % 1200).cast("string"), F.lit("@x.test"))).alias("email"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("h"), F.col("o_custkey").cast("string"))).alias("handle"), null.alias("name"), null.alias("team"))
     records = guests.unionByName(later)
     keys = records.select("record", F.explode(F.map_from_arrays(F.array(F.lit("email"), F.lit("handle"), F.lit("weak")), F.array("email", "handle", F.concat_ws("\0", F.when(F.col("name").isNotNull(), F.concat("name", F.lit("\0"), "team")))))).alias("type", "value")).where("value is not null and value <> ''")
     block = matching.blocks(keys)
@@ -549,11 +553,11 @@ def asset_use(spark, d):
     return lifecycle.asset_use(assets, approvals, rights, now)
 
 
-@query("""WITH e AS (SELECT l_suppkey AS release, CASE l_linenumber % 4 WHEN 0 THEN 'inventory' WHEN 1 THEN 'parity' WHEN 2 THEN 'review' ELSE 'approval' END AS kind, l_quantity > 1 AS ok FROM lineitem WHERE l_shipdate > TIMESTAMP '1998-01-01')
+@query("""WITH e AS (SELECT l_suppkey AS release, CASE l_linenumber % 4 WHEN 0 THEN 'inventory' WHEN 1 THEN 'parity' WHEN 2 THEN 'review' ELSE 'approval' END AS kind, l_quantity > 1 AS ok FROM lineitem)
  SELECT release, CASE WHEN bool_or(kind IN ('inventory', 'parity') AND NOT ok) THEN 'Blocked' WHEN bool_or(kind = 'review' AND NOT ok) OR NOT bool_or(kind = 'approval' AND ok) THEN 'Needs review' ELSE 'Safe' END AS state FROM e GROUP BY 1""")
 def release_state(spark, d):
     m = F.col("l_linenumber") % 4
-    li = table(spark, d, "lineitem").where(F.col("l_shipdate") > F.lit("1998-01-01").cast("timestamp_ntz"))
+    li = table(spark, d, "lineitem")
     kind = F.when(m == 0, "inventory").when(m == 1, "parity").when(m == 2, "review").otherwise("approval")
     return lifecycle.release_state(li.select(F.col("l_suppkey").alias("release"), kind.alias("kind"), (F.col("l_quantity") > 1).alias("ok")), ["release"])
 
@@ -594,3 +598,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+from cohortlens.plans import population_queries  # noqa: E402, F401  they register themselves
