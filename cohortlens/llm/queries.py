@@ -66,5 +66,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Every window of every item, looked up at every place of every document.
+OP4_SQL = rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+ i AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+ at_item AS (SELECT item_id, w, least(len(w), {decontamination.WINDOW}) AS k, unnest(range(1, len(w) - least(len(w), {decontamination.WINDOW}) + 2)) AS p FROM i WHERE len(w) > 0),
+ windows AS (SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS phrase FROM at_item),
+ at_doc AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k),
+ places AS (SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS phrase FROM at_doc),
+ hits AS (SELECT doc_id, item_id, k, p FROM places JOIN windows USING (k, phrase)),
+ words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM hits) GROUP BY 1),
+ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY 1)
+ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+ coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+#: Every pair of documents that share a shingle, counted in full, and all that can be reached over links.
+OP9_SQL = rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+ at_doc AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS p FROM d WHERE len(w) > 0),
+ sets AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 2], ' ') AS shingle FROM at_doc),
+ sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+ common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ links AS (SELECT x, y FROM common JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+ sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+ reached AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT reached.doc_id, y FROM reached JOIN sides ON x = other)
+ SELECT d.doc_id, coalesce(max(n), 0) AS n_shingles, min(other) AS component_id, d.doc_id = min(other) AS kept FROM d LEFT JOIN sizes ON sizes.doc_id = d.doc_id JOIN reached ON reached.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_fm_decontamination": OP4_SQL, "op9_odd_sketch_neardup": OP9_SQL}
