@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontamination, langid, linededup, media, neardup, packing, shards, tokencount, toxicity, wrappers
+from cohortlens.llm import decontamination, langid, linededup, media, neardup, packing, shards, tokencount, toxicity, variants, wrappers
 from cohortlens.llm.common import read, remainder
 
 
@@ -58,10 +58,16 @@ def op10_ftrl_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = variants.variants(variants.vocabulary(read(spark, sf_dir, "documents")))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_tiered_sharding, op2_counterfactual_toxicity, op3_iso_media_columns, op4_fm_decontamination, op5_mixture_packing,
         op6_wrapper_text, op7_winnowing_line_dedup, op8_viterbi_token_counts, op9_odd_sketch_neardup, op10_ftrl_language_id,
+        op13_spelling_variants,
     )
     return {f.__name__: f for f in found}
 
@@ -93,5 +99,33 @@ OP9_SQL = rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER},
  SELECT d.doc_id, coalesce(max(n), 0) AS n_shingles, min(other) AS component_id, d.doc_id = min(other) AS kept FROM d LEFT JOIN sizes ON sizes.doc_id = d.doc_id JOIN reached ON reached.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
+#: crc32 in two steps: the table of its 256 remainders, and the unsigned value of a text's UTF-8 bytes.
+_CRC_TABLE = "crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY i) AS t FROM range(256) r(i))"
+
+
+def _crc32(text: str) -> str:
+    """A DuckDB expression, to be used beside a row of ``crc``."""
+    codes = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda p: CAST('0x' || substr(hex(encode({text})), CAST(2 * p - 1 AS BIGINT), 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: xor(c >> 8, t[CAST(xor(c & 255, b) AS BIGINT) + 1])), 4294967295)"
+
+
+#: Every pair of near words, by the deletions and by the words with one place left open that they share.
+OP13_SQL = rf"""WITH RECURSIVE {_CRC_TABLE},
+ at_doc AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents),
+ runs AS (SELECT doc_id, run, count(*) AS n FROM at_doc GROUP BY 1, 2),
+ hashed AS (SELECT run, n, {_crc32("CAST(doc_id AS VARCHAR) || ':' || run")} AS h FROM runs, crc),
+ made AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM hashed),
+ words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM made GROUP BY 1 HAVING length(word) >= {variants.MIN_LENGTH} AND sum(n) >= {variants.MIN_COUNT}),
+ places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words),
+ holes AS (SELECT word, n, left(word, p - 1) || '?' || substr(word, p + 1) AS k FROM places),
+ shorter AS (SELECT DISTINCT word, n, left(word, p - 1) || substr(word, p + 1) AS k FROM places),
+ near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM holes a JOIN holes b ON a.k = b.k AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM shorter a JOIN words b ON a.k = b.word UNION SELECT b.word, a.word, a.n FROM shorter a JOIN words b ON a.k = b.word),
+ best AS (SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1),
+ found AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= {variants.RATIO} * n THEN other END AS form, CASE WHEN other_n >= {variants.RATIO} * n THEN other_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+ led AS (SELECT word, word AS root, form AS onward FROM found UNION ALL SELECT led.word, f.word, f.form FROM led JOIN found f ON led.onward = f.word)
+ SELECT f.word, f.form, led.root, f.n, f.n_near, f.form_n FROM found f JOIN led ON led.word = f.word WHERE led.onward IS NULL"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_fm_decontamination": OP4_SQL, "op9_odd_sketch_neardup": OP9_SQL}
+    return {"op4_fm_decontamination": OP4_SQL, "op9_odd_sketch_neardup": OP9_SQL, "op13_spelling_variants": OP13_SQL}
