@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontamination, langid, linededup, media, neardup, packing, shards, tokencount, toxicity, variants, wrappers
+from cohortlens.llm import decontamination, langid, linededup, media, merkle, neardup, packing, shards, tokencount, toxicity, variants, wrappers
 from cohortlens.llm.common import read, remainder
 
 
@@ -58,6 +58,15 @@ def op10_ftrl_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def tampered() -> Column:
+    """Of which rows the text is tampered with in operator 11."""
+    return F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 3) == 0)
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.Manifest(merkle.leaves_of(read(spark, sf_dir, "documents"), tampered())).verified("claimed")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = variants.variants(variants.vocabulary(read(spark, sf_dir, "documents")))
     return found.select("word", "form", "root", "n", "n_near", "form_n")
@@ -67,7 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_tiered_sharding, op2_counterfactual_toxicity, op3_iso_media_columns, op4_fm_decontamination, op5_mixture_packing,
         op6_wrapper_text, op7_winnowing_line_dedup, op8_viterbi_token_counts, op9_odd_sketch_neardup, op10_ftrl_language_id,
-        op13_spelling_variants,
+        op11_merkle_manifest, op13_spelling_variants,
     )
     return {f.__name__: f for f in found}
 
@@ -127,5 +136,42 @@ OP13_SQL = rf"""WITH RECURSIVE {_CRC_TABLE},
  SELECT f.word, f.form, led.root, f.n, f.n_near, f.form_n FROM found f JOIN led ON led.word = f.word WHERE led.onward IS NULL"""
 
 
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR) END"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _up(name: str) -> str:
+    """The nodes above the leaves ``name`` (tree, idx, n, digest)."""
+    return f"""{name}_up AS (SELECT tree, 0 AS level, idx, n, digest FROM {name}
+  UNION ALL SELECT tree, level + 1, idx // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM {name}_up WHERE n > 1 GROUP BY tree, level, idx // 8, n)"""
+
+
+def _proofs(name: str, nodes: str) -> str:
+    """For each of ``name`` (tree, id, idx, n, claimed) the claim folded up the tree, and the siblings on that way."""
+    return f"""{name}_fold AS (SELECT tree, id, 0 AS level, idx, n, claimed AS digest FROM {name}
+  UNION ALL SELECT f.tree, f.id, f.level + 1, f.idx // 8, (f.n + 7) // 8, sha256(string_agg(CASE WHEN s.idx = f.idx THEN f.digest ELSE s.digest END, '' ORDER BY s.idx))
+   FROM {name}_fold f JOIN {nodes} s ON s.tree IS NOT DISTINCT FROM f.tree AND s.level = f.level AND s.idx // 8 = f.idx // 8 WHERE f.n > 1 GROUP BY f.tree, f.id, f.level, f.idx, f.n),
+ {name}_others AS (SELECT l.tree, l.id, string_agg(s.digest, '' ORDER BY s.level, s.idx) AS others FROM {name} l JOIN {nodes} s ON s.tree IS NOT DISTINCT FROM l.tree
+   AND s.n > 1 AND s.idx // 8 = l.idx // CAST(8 ** (s.level + 1) AS BIGINT) AND s.idx <> l.idx // CAST(8 ** s.level AS BIGINT) GROUP BY l.tree, l.id)"""
+
+
+#: Each leaf's claim is folded up by itself; the subroots' tree is folded for each leaf's subroot.
+OP11_SQL = rf"""WITH RECURSIVE {_CRC_TABLE},
+ rows_ AS (SELECT *, {_leaf("text")} AS digest, CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_leaf("text")} END AS claimed FROM documents, crc),
+ a AS (SELECT lang AS tree, doc_id AS id, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, digest) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n, digest, claimed FROM rows_),
+ {_up("a")},
+ {_proofs("a", "a_up")},
+ subroots AS (SELECT tree, digest, row_number() OVER (ORDER BY encode(tree) NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM a_up WHERE n = 1),
+ b AS (SELECT 0 AS tree, a.id, s.idx, s.n, s.digest, f.digest AS claimed FROM a JOIN a_fold f ON f.n = 1 AND f.id = a.id JOIN subroots s ON s.tree IS NOT DISTINCT FROM a.tree),
+ c AS (SELECT DISTINCT 0 AS tree, idx, n, digest FROM b),
+ {_up("c")},
+ {_proofs("b", "c_up")}
+ SELECT a.id AS doc_id, a.digest AS leaf, b.digest AS subroot, r.digest AS root, sha256(coalesce(ao.others, '') || coalesce(bo.others, '')) AS proof_sha256, bf.digest AS folded_root, bf.digest = r.digest AS verified
+ FROM a JOIN b ON b.id = a.id JOIN b_fold bf ON bf.id = a.id AND bf.n = 1 JOIN c_up r ON r.n = 1 LEFT JOIN a_others ao ON ao.id = a.id LEFT JOIN b_others bo ON bo.id = a.id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_fm_decontamination": OP4_SQL, "op9_odd_sketch_neardup": OP9_SQL, "op13_spelling_variants": OP13_SQL}
+    return {"op4_fm_decontamination": OP4_SQL, "op9_odd_sketch_neardup": OP9_SQL, "op11_merkle_manifest": OP11_SQL, "op13_spelling_variants": OP13_SQL}
