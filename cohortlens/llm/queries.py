@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontamination, langid, linededup, media, merkle, neardup, packing, shards, tokencount, toxicity, variants, wrappers
+from cohortlens.llm import decontamination, langid, linededup, lmscore, media, merkle, neardup, packing, shards, tokencount, toxicity, variants, wrappers
 from cohortlens.llm.common import read, remainder
 
 
@@ -67,6 +67,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.Manifest(merkle.leaves_of(read(spark, sf_dir, "documents"), tampered())).verified("claimed")
 
 
+def op12_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 7) == 2
+    found = lmscore.score(read(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = variants.variants(variants.vocabulary(read(spark, sf_dir, "documents")))
     return found.select("word", "form", "root", "n", "n_near", "form_n")
@@ -76,7 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_tiered_sharding, op2_counterfactual_toxicity, op3_iso_media_columns, op4_fm_decontamination, op5_mixture_packing,
         op6_wrapper_text, op7_winnowing_line_dedup, op8_viterbi_token_counts, op9_odd_sketch_neardup, op10_ftrl_language_id,
-        op11_merkle_manifest, op13_spelling_variants,
+        op11_merkle_manifest, op12_elias_fano_lm, op13_spelling_variants,
     )
     return {f.__name__: f for f in found}
 
