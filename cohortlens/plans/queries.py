@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.functions import text
-from cohortlens.operators import aggregate, contracts, lifecycle, matching, predicates, scoring, suppress
+from cohortlens.operators import aggregate, contracts, identity, lifecycle, matching, predicates, scoring, suppress
 from cohortlens.plans import views
 from cohortlens.plans.views import CELLS, FACTS, MEMBERSHIPS, POPULATION, SIGNALS, table
 from cohortlens.streaming import interactions
@@ -384,17 +384,36 @@ def ranked_items(spark, d):
     return matching.ranked_items(suppress.p8_reviewed(cells.where(F.col("n") >= K), [], K).select("cell", "value"), ["ECONOMY"], 6)
 
 
-@query()
+# Records that share an identifier agree in the customer modulo 1,200: the SQL folds these blocks record by record.
+@query("""WITH RECURSIVE all_ AS (SELECT c_custkey AS record, 0 AS place, c_custkey % 1200 AS block, 'm' || c_custkey % 1200 AS mail, CASE WHEN c_custkey % 11 = 0 THEN 'h' || c_custkey END AS handle, TRUE AS provided FROM customer
+  UNION ALL SELECT o_orderkey + 1000000000, 1, o_custkey % 1200, CASE WHEN o_orderkey % 2 = 0 THEN 'm' || o_custkey % 1200 END, CASE WHEN o_orderkey % 3 = 0 THEN 'h' || o_custkey END, o_orderkey % 5 > 0 FROM orders),
+ r AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY place, record) AS i FROM all_),
+ f AS (SELECT DISTINCT block, CAST(0 AS BIGINT) AS i, CAST(MAP {} AS MAP(VARCHAR, BIGINT)) AS owners, CAST([] AS BIGINT[]) AS mailed, CAST([] AS STRUCT(h VARCHAR, p BIGINT)[]) AS seen,
+   CAST(NULL AS BIGINT) AS record, CAST(NULL AS BIGINT) AS person, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS BIGINT) AS suggested FROM r
+  UNION ALL SELECT block, i, CASE WHEN person IS NULL THEN owners ELSE map_concat(map_from_entries(list_transform(own, lambda k: {'k': k, 'v': person})), owners) END,
+   CASE WHEN person IS NOT NULL AND mail IS NOT NULL THEN list_append(mailed, person) ELSE mailed END, CASE WHEN person IS NOT NULL AND handle IS NOT NULL THEN list_append(seen, {'h': handle, 'p': person}) ELSE seen END,
+   record, person, CASE WHEN person IS NULL THEN 'quarantined' WHEN len(found) = 1 THEN 'merged' WHEN len(hints) > 0 THEN 'review' ELSE 'new' END,
+   CASE WHEN person IS NULL THEN 'STRONG_IDENTIFIER_CONFLICT' WHEN len(found) = 0 THEN CASE WHEN len(hints) > 0 THEN 'PROFILE_EVIDENCE_NOT_BILATERAL' ELSE 'NO_STRONG_MATCH' END
+    WHEN owners[held] IS NULL THEN 'EXACT_EMAIL' WHEN mail IS NOT NULL AND owners[mail] IS NULL AND list_contains(mailed, person) THEN 'BILATERAL_APPLICANT_PROFILE_EMAIL_MISMATCH' ELSE 'BILATERAL_APPLICANT_PROFILE' END,
+   CASE WHEN len(found) = 0 THEN list_min(hints) END
+  FROM (SELECT *, CASE len(found) WHEN 0 THEN record WHEN 1 THEN found[1] END AS person FROM (SELECT f.block, r.i, owners, mailed, seen, r.record, mail, handle, list_filter([mail, held], lambda k: k IS NOT NULL) AS own, held,
+    list_distinct(list_filter([owners[mail], owners[held]], lambda p: p IS NOT NULL)) AS found, list_transform(list_filter(seen, lambda s: s.h = handle), lambda s: s.p) AS hints
+    FROM f JOIN (SELECT *, CASE WHEN provided THEN handle END AS held FROM r) r ON r.block = f.block AND r.i = f.i + 1)))
+ SELECT record, person, outcome, reason, suggested FROM f WHERE record IS NOT NULL""")
 def identity_resolution(spark, d):
-    """Guests and a second source with manufactured collisions, folded in order within blocks of shared identifiers."""
+    """Guests and a second source with manufactured collisions, settled in the order of their records."""
     c, o = table(spark, d, "customer"), table(spark, d, "orders")
-    null = F.lit(None).cast("string")
-    guests = c.select(F.col("c_custkey").alias("record"), F.lit(0).alias("place"), F.concat((F.col("c_custkey") % 1200).cast("string"), F.lit("@x.test")).alias("email"), F.when(F.col("c_custkey") % 11 == 0, F.concat(F.lit("h"), F.col("c_custkey").cast("string"))).alias("handle"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("team"))
-    later = o.select((F.col("o_orderkey") + 1_000_000_000).alias("record"), F.lit(1).alias("place"), F.when(F.col("o_orderkey") % 2 == 0, F.concat((F.col("o_custkey") % 1200).cast("string"), F.lit("@x.test"))).alias("email"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("h"), F.col("o_custkey").cast("string"))).alias("handle"), null.alias("name"), null.alias("team"))
-    records = guests.unionByName(later)
-    keys = records.select("record", F.explode(F.map_from_arrays(F.array(F.lit("email"), F.lit("handle"), F.lit("weak")), F.array("email", "handle", F.concat_ws("\0", F.when(F.col("name").isNotNull(), F.concat("name", F.lit("\0"), "team")))))).alias("type", "value")).where("value is not null and value <> ''")
-    block = matching.blocks(keys)
-    return matching.resolved(records.join(block, "record", "left"), F.coalesce("block", "record"))
+    key, null = F.col("c_custkey"), F.lit(None).cast("string")
+    mail = lambda k: F.concat((F.col(k) % 1200).cast("string"), F.lit("@x.test"))
+    handle = lambda k: F.concat(F.lit("h"), F.col(k).cast("string"))
+    both = F.array(F.lit("github"), F.lit("linkedin"))
+    guests = c.select(key.alias("record"), F.lit(0).alias("place"), mail("c_custkey").alias("email"), F.when(key % 11 == 0, handle("c_custkey")).alias("github"), null.alias("linkedin"), both.alias("provided"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("team"), null.alias("affiliation"))
+    order = F.col("o_orderkey")
+    later = o.select(
+        (order + 1_000_000_000).alias("record"), F.lit(1).alias("place"), F.when(order % 2 == 0, mail("o_custkey")).alias("email"), F.when(order % 3 == 0, handle("o_custkey")).alias("github"), null.alias("linkedin"),
+        F.when(order % 5 > 0, both).otherwise(F.array().cast("array<string>")).alias("provided"), null.alias("name"), null.alias("team"), null.alias("affiliation"),
+    )
+    return identity.resolve(guests.unionByName(later))
 
 
 # --- scoring

@@ -38,17 +38,6 @@ def test_cross_cohort_masks_both_sides(spark):
     assert got == {("all", "x"): None, ("accepted", "x"): None, ("attended", "x"): 5, ("all", "y"): 9, ("accepted", "y"): 9}
 
 
-def test_identity_ladder(spark):
-    rows = [
-        (1, 0, "a@x", None, "Ann", "t"), (2, 0, "b@x", "h", "Bob", "t"), (3, 1, "a@x", None, None, None), (4, 1, "a@x", "h", None, None), (5, 1, None, None, "Ann", "t"), (6, 1, None, None, None, None),
-    ]
-    records = spark.createDataFrame(rows, "record long, place int, email string, handle string, name string, team string")
-    got = {r.record: (r.person, r.outcome) for r in matching.resolved(records, F.lit(0)).collect()}
-    assert got == {1: (1, "new"), 2: (2, "new"), 3: (1, "merged"), 4: (None, "quarantined"), 5: (5, "review"), 6: (6, "new")}
-    keys = spark.createDataFrame([(1, "e", "a"), (2, "e", "b"), (3, "e", "a"), (3, "h", "z"), (4, "h", "z"), (5, "e", "c")], "record long, type string, value string")
-    assert {r.record: r.block for r in matching.blocks(keys).collect()} == {1: 1, 2: 2, 3: 1, 4: 1, 5: 5}
-
-
 def test_selection_reports_ties_and_empty_steps(spark):
     scored = spark.createDataFrame([("a", 5, 9), ("b", 5, 9), ("c", 1, 1)], "model string, x int, y int")
     one = lambda steps: tuple(scoring.selected(scored, steps, [-F.col("x")], "model").first())
