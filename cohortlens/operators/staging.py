@@ -28,13 +28,14 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 
 
 def running(df: DataFrame, by: list[str], order: list[str], value: Column, name: str, how: str = "sum") -> DataFrame:
-    """``df`` with the sum (or ``min``) of ``value`` over the rows of its group that come before it in ``order`` (unique in a group).
+    """``df`` with the sum (or ``min``, or ``xor``) of ``value`` over the rows of its group that come before it in ``order`` (unique in a group).
 
     No task holds a group: rows are dealt by range over group and order, and what a group's earlier parts come to, a row for
     each part and group, is added to what comes before within the part. Nulls in ``by`` are a group of their own; the sum of no
-    rows is 0, their minimum null.
+    rows is 0, and so is their xor; their minimum is null.
     """
-    total, both = (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))) if how == "sum" else (F.min, F.least)
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    total, both = {"sum": (F.sum, lambda a, b: zero(a) + zero(b)), "xor": (F.bit_xor, lambda a, b: zero(a).bitwiseXOR(zero(b))), "min": (F.min, F.least)}[how]
     dealt = df.withColumn("_value", value).repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())
     dealt = stored(dealt, "running")
     parts = dealt.groupBy(*by, "_part").agg(total("_value").alias("_total"))
