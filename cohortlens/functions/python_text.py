@@ -7,7 +7,6 @@ import unicodedata
 from html import unescape
 
 import pandas as pd
-import regex
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -15,15 +14,8 @@ SKIPPED = frozenset(["script", "style", "noscript", "svg"])
 VISIBLE_CHARS = 4000
 #: Comments, and elements whose content isn't parsed; one that never ends goes on to the end.
 _UNPARSED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|[!?])[^>]*>")
-_CONTROL = regex.compile(r"[\p{C}--[\n\t]]", regex.V1)
-# What the sanitiser takes out, in this order.
-REDACTIONS = tuple(
-    re.compile(p, re.I) for p in (
-        r"https?://\S+|www\.\S+", r"[^\s@]+@[^\s@]+\.[^\s@]+", r"<[^>]*>", r"(?<!\w)@[a-z0-9_]+", r"\+?\d[\d ()./-]{7,}\d", r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
-        r"\b[0-9a-f]{16,}\b", r"(?:token|secret|password|api[_ -]?key)\s*[:=]\s*\S+", r"[`*_#~|\\]+",
-    )
-)
+#: A tag: its slash, its name, and the rest; a value in quotes may hold >, a quote without its second is a character like others.
+_TAG = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/>]*)|[!?])((?>(?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*))>""")
 
 
 @F.pandas_udf(StringType())
@@ -36,40 +28,16 @@ def visible(html: str | None) -> str | None:
     """The words outside comments and hidden elements, character references decoded, joined by spaces and cut."""
     if html is None:
         return None
-    pieces = _TAG.split(_UNPARSED.sub(" ", html))  # text, then for each tag its slash, its name and the text behind it
+    pieces = _TAG.split(_UNPARSED.sub(" ", html))  # text, then for each tag its slash, its name, the rest and the text behind it
     words, hidden = unescape(pieces[0]).split(), 0
-    for slash, name, text in zip(pieces[1::3], pieces[2::3], pieces[3::3]):
-        if name and name.lower() in SKIPPED:
+    for slash, name, rest, text in zip(pieces[1::4], pieces[2::4], pieces[3::4], pieces[4::4]):
+        if name and name.lower() in SKIPPED and (slash or not rest.endswith("/")):
             hidden = max(0, hidden - 1) if slash else hidden + 1
         if not hidden:
             words += unescape(text).split()
     return " ".join(words)[:VISIBLE_CHARS]
 
 
-def sanitised(text: str | None, max_chars: int = 600) -> str | None:
-    """Redacted until nothing changes, white space collapsed, cut at a word; blank where something unsafe is left."""
-    if text is None:
-        return None
-    text = _CONTROL.sub(" ", unicodedata.normalize("NFC", text))
-
-    def clean(x: str) -> str:
-        for p in REDACTIONS:
-            x = p.sub(" ", x)
-        return " ".join(x.split())
-
-    once = clean(text)
-    text = clean(once) if once != " ".join(text.split()) else once  # where nothing was taken out, nothing more is
-    if len(text) > max_chars:
-        cut = text[:max_chars]
-        text = clean(cut[:cut.rfind(" ")] if " " in cut else cut)
-    return "" if any(p.search(text) for p in REDACTIONS[:2]) else text
-
-
 @F.pandas_udf(StringType())
 def visible_text(c: pd.Series) -> pd.Series:
     return c.map(visible)
-
-
-@F.pandas_udf(StringType())
-def sanitised_text(c: pd.Series) -> pd.Series:
-    return c.map(sanitised)

@@ -527,9 +527,9 @@ def pii_scan(spark, d):
 
 @query()
 def sanitise_text(spark, d):
-    from cohortlens.functions.python_text import sanitised_text
+    from cohortlens.functions.redaction import sanitised_of
 
-    return table(spark, d, "documents").select("doc_id", sanitised_text("text").alias("text"))
+    return table(spark, d, "documents").select("doc_id", sanitised_of(F.col("text")).alias("text"))
 
 
 @query()

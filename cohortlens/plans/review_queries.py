@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlens.operators import reviews
+from cohortlens.functions import redaction
+from cohortlens.operators import payloads, records, reviews
 from cohortlens.plans.evidence_queries import SECRETS, _hmac
 from cohortlens.plans.queries import query
 from cohortlens.plans.views import table
@@ -65,3 +66,47 @@ _TEAMS = f"""p AS (SELECT p_partkey AS project_id, 'team ' || p_partkey % 900 AS
  CASE WHEN project_id IS NULL THEN 'team_' || h[1:16] END AS case_code, CASE WHEN project_id IS NULL THEN h END AS case_hash, CASE WHEN project_id IS NULL THEN 'ambiguous_match' END AS reason FROM h""")
 def review_teams(spark, d):
     return reviews.team_plan(*_teams(spark, d), SECRET, "h1")
+
+
+@query()
+def unsafe_markers(spark, d):
+    """The first direct identifier of each whole document. RE2 knows no look-around, so no SQL says this."""
+    return table(spark, d, "documents").select("doc_id", redaction.marker_of("text").alias("marker"), redaction.without_legacy_of("text").alias("imported"))
+
+
+_NAMES = ["colour", "ownership", "my-Phone", "size", "e_mail", "Source_Ref", "kind"]
+_PAYLOAD = f"""'{{"part":{{"' || {_NAMES!r}[CAST(p_partkey % 7 + 1 AS INT)] || '":"' || p_name || '"}},"deep":' || repeat('[', CAST(p_partkey % 11 AS INT)) || '"' || p_type || CASE WHEN p_partkey % 13 = 0 THEN '@' ELSE '' END || '"'
+ || repeat(']', CAST(p_partkey % 11 AS INT)) || ',"sizes":[' || repeat('1,', CAST(p_size * 3 AS INT)) || '2],"text":"' || repeat(p_name || ' ', CASE WHEN p_partkey % 19 = 0 THEN 2000 ELSE 1 END) || '"' || CASE WHEN p_partkey % 17 > 0 THEN '}}' ELSE '' END"""
+_TREE = f"""p AS (SELECT p_partkey, {_PAYLOAD} AS payload FROM part),
+ n AS (SELECT p_partkey, CASE WHEN t.id = 0 THEN NULL ELSE t.key END AS name, t.type AS kind, 'root' || replace(substr(t.fullkey, 2), '"', '') AS path, CASE WHEN t.type = 'VARCHAR' THEN t.atom ->> '$' END AS text,
+  list_transform(string_split(replace(replace(substr(t.fullkey, 2), '"', ''), '[', '.['), '.')[2:], lambda x: CASE WHEN x[1] = '[' THEN lpad(x[2:-2], 10, '0') ELSE x END) AS place,
+  CASE t.type WHEN 'ARRAY' THEN json_array_length(t.value) WHEN 'OBJECT' THEN len(json_keys(t.value)) END AS entries FROM p, json_tree(p.payload) t WHERE json_valid(p.payload))"""
+
+
+def _walk(spark, d):
+    key = F.col("p_partkey")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (key % 7 + 1).cast("int"))
+    deep = lambda c: F.expr(f"repeat('{c}', cast(p_partkey % 11 as int))")
+    payload = text(
+        '{"part":{"', name, '":"', F.col("p_name"), '"},"deep":', deep("["), '"', F.col("p_type"), F.when(key % 13 == 0, "@").otherwise(""), '"', deep("]"), ',"sizes":[', F.expr("repeat('1,', cast(p_size * 3 as int))"),
+        '2],"text":"', F.expr("repeat(concat(p_name, ' '), if(p_partkey % 19 = 0, 2000, 1))"), '"', F.when(key % 17 > 0, "}").otherwise(""),
+    )
+    return payloads.nodes(table(spark, d, "part").select("p_partkey", payload.alias("payload")), "p_partkey", "payload")
+
+
+@query(f"""WITH {_TREE},
+ w AS (SELECT *, CASE WHEN regexp_matches(lower(name), '(^|[^a-z0-9])({"|".join(payloads.FORBIDDEN)})') THEN 'forbidden_field' WHEN len(place) > 8 THEN 'too_deep' WHEN entries > 100 AND kind = 'OBJECT' THEN 'too_many_fields' WHEN entries > 100 THEN 'too_many_items' WHEN text LIKE '%@%' THEN 'at_sign' END AS problem FROM n),
+ f AS (SELECT p_partkey, min({{'place': place, 'path': path, 'problem': problem}}) FILTER (problem IS NOT NULL) AS f, sum(coalesce(length(name), 0) + coalesce(length(text), 0)) AS chars FROM w GROUP BY 1)
+ SELECT p_partkey, CASE WHEN NOT json_valid(payload) OR f.f IS NULL AND chars > 12000 THEN 'root' ELSE f.f.path END AS path, CASE WHEN NOT json_valid(payload) THEN 'unparsable' WHEN f.f IS NULL AND chars > 12000 THEN 'too_long' ELSE f.f.problem END AS problem FROM p LEFT JOIN f USING (p_partkey)""")
+def payload_problems(spark, d):
+    return payloads.first_problems(_walk(spark, d), lambda t: F.when(t.contains("@"), "at_sign")).withColumnRenamed("key", "p_partkey")
+
+
+@query(f"""WITH {_TREE}, l AS (SELECT DISTINCT array_to_string(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: x <> '')[1:2], ' ') AS form FROM part)
+ SELECT DISTINCT p_partkey, form FROM n JOIN l ON position(' ' || form || ' ' IN ' ' || array_to_string(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> ''), ' ') || ' ') > 0 WHERE length(replace(form, ' ', '')) >= 4 AND len(place) <= 9""")
+def payload_literals(spark, d):
+    """Which payloads hold the first two words of a part's name, anywhere."""
+    texts = _walk(spark, d).where("text is not null").select(F.col("key").alias("p_partkey"), "text")
+    literals = table(spark, d, "part").select(F.array_join(F.slice(records.identity_words(F.col("p_name")), 1, 2), " ").alias("literal"))
+    return records.known_literals(texts, "p_partkey", "text", literals, "literal").distinct()

@@ -55,7 +55,9 @@ def test_text_functions(spark):
     assert one(text.token_cost(F.lit(3), F.lit(400_000))) == 2
     assert one(python_text.casefold_nfkc(F.lit(" Straßeﬁ "))) == "strassefi"
     assert python_text.visible("<p>a<script>x</p>y</script> b<svg>c</svg></p>") == "a b"
-    assert python_text.sanitised("mail me@x.org or https://x.y/z now") == "mail or now"
+    assert python_text.visible("<p>one</p><svg/><p>two</p>") == "one two" and python_text.visible("<p>one<svg></svg ><p>two") == "one two"
+    assert python_text.visible('<a title="x>y">link</a> <b a=\'>\' c="<i>">bold</b> <i x=">open</i> end') == "link bold open end"
+    assert python_text.visible("<a " * 3000) == ("<a " * 3000).strip()[:4000]
 
 
 def sheet(rows):
