@@ -109,3 +109,56 @@ def team_candidates(cases: DataFrame, preferences: DataFrame, projects: DataFram
     used = taken(preferences, projects).select("project_id", "taken_at")
     free = _keyed(projects).select("project_id", "_track").join(used, "project_id", "left")
     return opened.join(free, "_track").where("taken_at is null or taken_at >= place").select("team_id", "project_id")
+
+
+# The decisions on an identity, and those that name a person.
+WITH_PERSON, DECISIONS = ("linked", "kept_separate", "merged_with_email_mismatch"), ("linked", "kept_separate", "merged_with_email_mismatch", "quarantined")
+_DECIDED = ["source_record_id", "person_id", "decision", "reviewer", "reason", "decided_at", "supersedes"]
+
+
+def open_candidates(reviews: DataFrame, records: DataFrame, files: DataFrame, event: int) -> DataFrame:
+    """Open reviews of one event. ``reviews``: review_id, source_record_id, provisional_person_id, suggested_person_id, reason_code, status."""
+    of = records.select("source_record_id", "source_file_id").join(files.where(F.col("event_id") == event).select("source_file_id"), "source_file_id", "left_semi")
+    return reviews.where("status = 'open'").join(of, "source_record_id", "left_semi").select("review_id", "source_record_id", "provisional_person_id", "suggested_person_id", "reason_code")
+
+
+def checked_decisions(log: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``decisions`` (place and the fields below) with ``decision_id`` and ``status``: ``applied``, ``replayed``, or what is wrong.
+
+    ``log``: decision_id, source_record_id, person_id, decision, reviewer, reason, decided_at, supersedes. A decision that is current as it stands is
+    replayed under its id; any other must supersede the current one of its record, or nothing where there is none. Numbers of
+    new decisions go on from the log's greatest, by place, though none is to be written while any is wrong.
+    """
+    newer = log.where("supersedes is not null").select(F.col("supersedes").alias("decision_id"))
+    now = log.join(newer, "decision_id", "left_anti").select("source_record_id", F.col("decision_id").alias("_now"), F.struct(*_DECIDED).alias("_fields"))
+    found = decisions.select("place", *_DECIDED).join(now, "source_record_id", "left")
+    blank = lambda c: F.coalesce(text.strip(F.col(c)), F.lit("")) == ""
+    replayed = F.col("_now").isNotNull() & F.col("_fields").eqNullSafe(F.struct(*_DECIDED))
+    status = (
+        F.when(~F.coalesce(F.col("decision").isin(*DECISIONS), F.lit(False)), "invalid_decision").when(F.col("decision").isin(*WITH_PERSON) & F.col("person_id").isNull(), "missing_person")
+        .when((F.col("decision") == "quarantined") & F.col("person_id").isNotNull(), "person_given").when(blank("reviewer") | blank("reason"), "missing_reviewer").when(replayed, "replayed")
+        .when(F.col("_now").isNotNull() & ~F.col("_now").eqNullSafe(F.col("supersedes")), "not_current").when(F.col("_now").isNull() & F.col("supersedes").isNotNull(), "nothing_to_supersede").otherwise("applied")
+    )
+    found = found.withColumn("status", status)
+    twice = found.where("status = 'applied'").groupBy("source_record_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    found = found.join(twice, "source_record_id", "left").withColumn("status", F.when((F.col("status") == "applied") & F.col("_n").isNotNull(), "repeated").otherwise(F.col("status")))
+    found = running(found.select("place", *_DECIDED, "status", "_now"), [], ["place"], (F.col("status") == "applied").cast("long"), "_before")
+    last = log.agg(F.coalesce(F.max("decision_id"), F.lit(0)).alias("_last"))
+    number = F.when(F.col("status") == "applied", F.col("_last") + F.col("_before") + 1).when(F.col("status") == "replayed", F.col("_now"))
+    return found.crossJoin(F.broadcast(last)).select("place", *_DECIDED, number.alias("decision_id"), "status")  # one row
+
+
+def appended(log: DataFrame, checked: DataFrame) -> DataFrame:
+    """The rows to add to the log; an error while any decision is wrong, so that all are applied or none."""
+    wrong = checked.where("status not in ('applied', 'replayed')").first()
+    if wrong:
+        raise ValueError(f"decision {wrong['place']} on record {wrong['source_record_id']}: {wrong['status']}")
+    return checked.where("status = 'applied'").select(*log.columns)
+
+
+def resolved_reviews(reviews: DataFrame, checked: DataFrame) -> DataFrame:
+    """``reviews`` with those of decided records resolved."""
+    decided = checked.where("status in ('applied', 'replayed')").groupBy("source_record_id").agg(F.max("decided_at").alias("_at"))
+    hit = (F.col("status") == "open") & F.col("_at").isNotNull()
+    found = reviews.join(decided, "source_record_id", "left")
+    return found.withColumns({"status": F.when(hit, "resolved").otherwise(F.col("status")), "resolved_at": F.when(hit, F.col("_at")).otherwise(F.col("resolved_at"))}).select(*reviews.columns)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens.functions import redaction
-from cohortlens.operators import payloads, records, reviews
+from cohortlens.operators import overlays, payloads, records, reviews
+from cohortlens.operators.staging import new_path
 from cohortlens.plans.evidence_queries import SECRETS, _hmac
 from cohortlens.plans.queries import query
 from cohortlens.plans.views import table
+from cohortlens.sources.versioned import VersionedTable
 
 SECRET = SECRETS["v1"]
 
@@ -110,3 +112,56 @@ def payload_literals(spark, d):
     texts = _walk(spark, d).where("text is not null").select(F.col("key").alias("p_partkey"), "text")
     literals = table(spark, d, "part").select(F.array_join(F.slice(records.identity_words(F.col("p_name")), 1, 2), " ").alias("literal"))
     return records.known_literals(texts, "p_partkey", "text", literals, "literal").distinct()
+
+
+_LEVELS, _FACT_LEVELS = ["unknown", "senior", "junior", "founder"], ["senior", "Director", "mid", "other", "junior"]
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS k, c_custkey % 3 = 0 OR c_custkey % 15 = 1 AS has, c_mktsegment IN ('AUTOMOBILE', 'BUILDING') AS startup, {_LEVELS!r}[CAST(c_custkey % 4 + 1 AS INT)] AS known,
+  CASE c_custkey % 5 WHEN 0 THEN 'senior' WHEN 1 THEN 'lead_staff_executive' WHEN 2 THEN 'mid_level' WHEN 4 THEN 'junior' END AS lvl, c_custkey % 2 = 1 AS engineer, c_custkey % 7 = 0 AS founder, c_custkey % 9 = 0 AS corrected,
+  'evidence:career:' || sha256(CAST(c_custkey AS VARCHAR)) AS ref, c_mktsegment AS seg FROM customer),
+ r AS (SELECT *, has AND (startup OR founder OR engineer OR lvl IS NOT NULL) AS changed, CASE WHEN corrected THEN 'junior' ELSE known END AS base_level FROM c),
+ w AS (SELECT *, list_filter([CASE WHEN has AND lvl IS NOT NULL AND base_level <> 'unknown' AND base_level <> lvl THEN 'conflicting_evidence' END, CASE WHEN has AND founder THEN 'consequential_claim' END, CASE WHEN changed AND corrected THEN 'prior_human_correction' END], lambda x: x IS NOT NULL) AS reasons FROM r)
+ SELECT CAST(k AS VARCHAR) AS subject_ref, array_to_string(list_sort(list_filter([CASE WHEN has AND startup THEN 'startup_operator' END, CASE WHEN has AND founder THEN 'founder_cofounder' END, CASE WHEN NOT (has AND (startup OR founder)) THEN 'unknown' END], lambda x: x IS NOT NULL)), ',') AS identity,
+ CASE WHEN has AND founder THEN 'founder' WHEN has AND lvl IS NOT NULL THEN lvl WHEN changed THEN base_level ELSE known END AS seniority, CASE WHEN has AND engineer THEN 'engineering' ELSE 'unknown' END AS role, CASE WHEN has AND founder THEN 'founded_company' ELSE 'insufficient_evidence' END AS evidence,
+ CASE WHEN has AND (founder OR lvl IS NOT NULL) THEN 0.8 ELSE 0.5 END AS confidence, CASE WHEN has AND (founder OR lvl IS NOT NULL) THEN ref END AS ref, array_to_string(reasons, ',') AS review_reasons, CASE WHEN len(reasons) > 0 THEN 'pending' ELSE 'resolved' END AS review_state,
+ CASE WHEN has THEN sha256('{{"company_category":"' || CASE WHEN startup THEN 'Startup' ELSE 'public' END || '","founder_history":' || CASE WHEN founder THEN 'true' ELSE 'false' END || ',"seniority":"' || {_FACT_LEVELS!r}[CAST(k % 5 + 1 AS INT)] || '","title_category":"' || CASE WHEN engineer THEN 'software_engineering' ELSE 'other' END || '"}}') END AS fingerprint, 3 AS version FROM w""")
+def overlay_merge(spark, d):
+    """Facts of a third of the people, the same again, and those with some more: the second merge makes no version."""
+    c, key = table(spark, d, "customer"), F.col("c_custkey")
+    one = lambda label, confidence=0.5: F.struct(F.array(F.lit(label) if isinstance(label, str) else label).alias("labels"), F.lit(confidence).alias("confidence"), F.array().cast("array<string>").alias("evidence_refs"), F.lit("unknown").alias("state"))
+    level = F.element_at(F.array(*map(F.lit, _LEVELS)), (key % 4 + 1).cast("int"))
+    dims = lambda seniority: F.create_map(F.lit("professional_identity"), one("unknown"), F.lit("functional_role"), one("unknown"), F.lit("builder_evidence"), one("insufficient_evidence"), F.lit("seniority"), one(seniority))
+    base = c.select(key.cast("string").alias("subject_ref"), dims(level).alias("dimensions"), F.array().cast("array<string>").alias("review_reasons"), F.lit("resolved").alias("review_state"), F.lit(None).cast("string").alias("fingerprint"))
+    corrections = c.where("c_custkey % 9 = 0").select(key.cast("string").alias("subject_ref"), dims("junior").alias("dimensions"))
+    facts = c.select(
+        key.cast("string").alias("subject_ref"), F.when(F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING"), "Startup").otherwise("public").alias("company_category"), F.element_at(F.array(*map(F.lit, _FACT_LEVELS)), (key % 5 + 1).cast("int")).alias("seniority"),
+        F.when(key % 2 == 1, "software_engineering").otherwise("other").alias("title_category"), (key % 7 == 0).alias("founder_history"), F.concat(F.lit("evidence:career:"), F.sha2(key.cast("string"), 256)).alias("evidence_ref"), "c_custkey",
+    )
+    store = VersionedTable(spark, new_path(spark, "classifications"), ["subject_ref"], 16)
+    store.create(base)
+    for batch in ("c_custkey % 3 = 0", "c_custkey % 3 = 0", "c_custkey % 3 = 0 or c_custkey % 15 = 1"):
+        store.upsert(overlays.laid_over(store.read(), facts.where(batch).drop("c_custkey"), corrections), store.version())
+    label = lambda name: F.array_join(F.col("dimensions")[name]["labels"], ",")
+    s = F.col("dimensions")["seniority"]
+    return store.read().select(
+        "subject_ref", label("professional_identity").alias("identity"), label("seniority").alias("seniority"), label("functional_role").alias("role"), label("builder_evidence").alias("evidence"), s["confidence"].alias("confidence"),
+        F.get(s["evidence_refs"], 0).alias("ref"), F.array_join("review_reasons", ",").alias("review_reasons"), "review_state", "fingerprint", F.lit(store.version()).alias("version"),
+    )
+
+
+@query("""WITH o AS (SELECT o_orderkey AS r, row_number() OVER (ORDER BY o_orderkey) AS id, count(*) OVER () AS last FROM orders), d AS (SELECT *, r % 6 AS m FROM o)
+ SELECT r AS source_record_id, status, CASE status WHEN 'replayed' THEN id WHEN 'applied' THEN last + row_number() OVER (PARTITION BY status ORDER BY r) END AS decision_id FROM (SELECT *, CASE m WHEN 0 THEN 'replayed' WHEN 1 THEN 'applied' WHEN 2 THEN 'not_current' WHEN 3 THEN 'missing_person' WHEN 4 THEN 'person_given' ELSE 'invalid_decision' END AS status FROM d)""")
+def decision_check(spark, d):
+    """A decision on each order: the one that stands, one that supersedes it, and four that are wrong."""
+    ids = table(spark, d, "orders").select("o_orderkey")
+    log = reviews.running(ids, [], ["o_orderkey"], F.lit(1), "before").select(
+        (F.col("before") + 1).alias("decision_id"), F.col("o_orderkey").alias("source_record_id"), (F.col("o_orderkey") % 90).alias("person_id"), F.lit("linked").alias("decision"), F.lit("ann").alias("reviewer"), F.lit("same e-mail").alias("reason"),
+        F.lit("2026-01-01").alias("decided_at"), F.lit(None).cast("long").alias("supersedes"),
+    )
+    m = F.col("source_record_id") % 6
+    new = log.select(
+        F.col("source_record_id").alias("place"), "source_record_id", F.when(m != 3, F.col("person_id")).alias("person_id"), F.when(m == 4, "quarantined").when(m == 5, "perhaps").otherwise(F.col("decision")).alias("decision"), "reviewer",
+        F.when(m == 0, F.col("reason")).otherwise("looked again").alias("reason"), "decided_at", F.when(m == 1, F.col("decision_id")).when(m == 2, F.col("decision_id") - 1).alias("supersedes"),
+    )
+    return reviews.checked_decisions(log, new).select("source_record_id", "status", "decision_id")
