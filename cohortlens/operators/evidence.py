@@ -10,8 +10,14 @@ from cohortlens.functions.text import hmac_sha256
 
 
 def aliased(records: DataFrame, aliases: DataFrame) -> DataFrame:
-    """``records`` (source_type, external_id) with ``alias_person``, the person a reviewer bound the record to, or null. Aliases are unique by both."""
-    return records.join(aliases.select("source_type", "external_id", F.col("person_id").alias("alias_person")), ["source_type", "external_id"], "left")
+    """``records`` (source_type, external_id) with ``alias_person``, the person a reviewer bound the record to, or null. Aliases that name several persons bind to none (``alias_conflicts``)."""
+    one = aliases.groupBy("source_type", "external_id").agg(F.min("person_id").alias("_a"), F.max("person_id").alias("_b")).where("_a = _b")
+    return records.join(one.select("source_type", "external_id", F.col("_a").alias("alias_person")), ["source_type", "external_id"], "left")
+
+
+def alias_conflicts(aliases: DataFrame) -> DataFrame:
+    """Records that an alias file names more than once, which its loader must refuse."""
+    return aliases.groupBy("source_type", "external_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def ghost_matches(rows: DataFrame, ghosts: DataFrame, email: Column, secrets: dict[str, bytes]) -> DataFrame:

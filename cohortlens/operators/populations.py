@@ -66,11 +66,12 @@ def top_roles(roles: DataFrame, by: str, current: Column, year: str, place: str,
 
 
 def rich_projects(projects: DataFrame, by: str, engagement: str, recency: str, place: str, k: int = 3) -> DataFrame:
-    """The two with most engagement, the two latest, then all by engagement: the first ``k`` of these, each once."""
-    ranked = lambda c: F.row_number().over(Window.partitionBy(by).orderBy(F.desc(c), place))
-    found = projects.withColumn("_e", ranked(engagement)).withColumn("_r", ranked(recency))
+    """The two with most engagement (then latest), the two latest (then with most engagement), then all by engagement: the first ``k`` of these, each once; at last by place."""
+    ranked = lambda c, then: F.row_number().over(Window.partitionBy(by).orderBy(F.desc(c), F.desc(then), place))
+    found = projects.withColumn("_e", ranked(engagement, recency)).withColumn("_r", ranked(recency, engagement))
     turn = F.when(F.col("_e") <= 2, F.col("_e")).when(F.col("_r") <= 2, F.col("_r") + 2).otherwise(F.col("_e") + 4)
-    found = found.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(turn)))
+    # Of those behind the first two of either order only the first k by engagement can be chosen.
+    found = found.where((F.col("_e") <= 2 + k) | (F.col("_r") <= 2)).withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(turn)))
     return found.where(F.col("rank") <= k).drop("_e", "_r")
 
 

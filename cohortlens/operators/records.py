@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,17 +60,25 @@ def evaluation_candidates(applications: DataFrame, attendance: DataFrame, secret
 
 
 def resolved_links(exact: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Links (source_ref, person) that are exact or approved; of decisions (source_ref, action, person) others quarantine, and none leaves it unresolved."""
-    state = F.when(F.col("action").isNull(), "unresolved").when(F.col("action") == "approve", "approved").otherwise("quarantined")
-    decided = decisions.select("source_ref", F.when(F.col("action") == "approve", F.col("person")).alias("person"), state.alias("link"))
+    """Links (source_ref, person) that are exact or approved; of decisions (source_ref, action, person) others quarantine, and none leaves it unresolved.
+
+    Decisions of one reference that don't agree are a ``conflict`` without a person, and one row like all.
+    """
+    action, approved = F.col("action"), F.col("action") == "approve"
+    state = F.when(action.isNull(), "unresolved").when(approved, "approved").otherwise("quarantined")
+    each = decisions.select("source_ref", F.struct(F.when(approved, F.col("person")).alias("person"), state.alias("link")).alias("d"))
+    one = each.groupBy("source_ref").agg(F.min("d").alias("a"), F.max("d").alias("b"))
+    same = F.col("a").eqNullSafe(F.col("b"))
+    decided = one.select("source_ref", F.when(same, F.col("a.person")).alias("person"), F.when(same, F.col("a.link")).otherwise("conflict").alias("link"))
     return exact.join(decided, "source_ref", "left_anti").select("source_ref", "person", F.lit("exact").alias("link")).unionByName(decided)
 
 
 def refreshed(cases: DataFrame, previous: DataFrame) -> DataFrame:
-    """``cases`` (case_code, case_hash) with the ``decision`` of the case of that code before, if its hash is the same; else it is open again."""
-    old = previous.select("case_code", F.col("case_hash").alias("_hash"), "decision")
-    found = cases.join(old, "case_code", "left")
-    return found.withColumn("decision", F.when(F.col("_hash") == F.col("case_hash"), F.col("decision"))).drop("_hash")
+    """``cases`` (case_code, case_hash) with the ``decision`` of the case of that code and hash before; else, or where several disagree, it is open again."""
+    old = previous.groupBy("case_code", F.col("case_hash").alias("_hash")).agg(F.min("decision").alias("_a"), F.max("decision").alias("_b"), F.count_if(F.col("decision").isNull()).alias("_open"))
+    old = old.select("case_code", "_hash", F.when(F.col("_a").eqNullSafe(F.col("_b")) & (F.col("_open") == 0), F.col("_a")).alias("decision"))
+    found = cases.withColumn("_hash", F.col("case_hash")).join(old, ["case_code", "_hash"], "left")
+    return found.drop("_hash")
 
 
 def validation_support(bands: Column) -> Column:
@@ -121,11 +131,24 @@ def excluded_attendance(records: DataFrame, excluded: DataFrame) -> tuple[DataFr
     return keyed.join(wanted, "_e", "left_semi").drop("_e"), wanted.join(keyed.select("_e"), "_e", "left_anti").select(F.col("_e").alias("email"))
 
 
-def cached(requests: DataFrame, cache: DataFrame, version: str, inputs: list[str], now: Column) -> DataFrame:
+def cache_key(namespace: str, version: str, inputs: list[str]) -> Column:
+    """``namespace:digest`` of the canonical JSON of the inputs, by name and with their nulls, and the version."""
+    if not re.fullmatch("[a-z][a-z0-9_-]{0,47}", namespace):
+        raise ValueError(f"not a cache namespace: {namespace}")
+    canonical = F.to_json(F.struct(F.struct(*sorted(inputs)).alias("inputs"), F.lit(version).alias("version")), {"ignoreNullFields": "false"})
+    return F.concat(F.lit(namespace + ":"), F.sha2(canonical, 256))
+
+
+def cached(requests: DataFrame, cache: DataFrame, namespace: str, version: str, inputs: list[str], now: Column) -> DataFrame:
     """``requests`` with the ``payload`` of the cache (cache_key, payload, expires_at) that has their key and hasn't expired, else null."""
-    key = F.sha2(F.concat_ws("\0", F.lit(version), *inputs), 256)
     live = cache.where(F.col("expires_at") > now).groupBy("cache_key").agg(F.max_by("payload", "expires_at").alias("payload"))
-    return requests.withColumn("cache_key", key).join(live, "cache_key", "left")
+    return requests.withColumn("cache_key", cache_key(namespace, version, inputs)).join(live, "cache_key", "left")
+
+
+def without_expired(cache: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """The entries that are kept, and a receipt (cache_key, expires_at) for each that is deleted; one without an end has expired."""
+    over = F.coalesce(F.col("expires_at") <= now, F.lit(True))
+    return cache.where(~over), cache.where(over).select("cache_key", "expires_at")
 
 
 def ledger(log: DataFrame, subject: str, order: str) -> DataFrame:

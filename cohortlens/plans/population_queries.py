@@ -76,10 +76,15 @@ def top_career_roles(spark, d):
     return populations.top_roles(roles, "o_custkey", F.col("o_orderstatus") == "O", "start", "o_orderkey").select("o_custkey", "o_orderkey", "rank")
 
 
-@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS e, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS l FROM part)
- SELECT p_brand, p_partkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN e <= 2 THEN e WHEN l <= 2 THEN l + 2 ELSE e + 4 END) AS rank FROM r) WHERE rank <= 3""")
+@query("""WITH p AS (SELECT p_brand, p_partkey, p_partkey % 5 AS engagement, p_size % 4 AS recency FROM part),
+ e AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY engagement DESC, recency DESC, p_partkey) AS i FROM p), l AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY recency DESC, engagement DESC, p_partkey) AS i FROM p),
+ turns AS (SELECT p_brand, p_partkey, 1 AS list, i FROM e WHERE i <= 2 UNION ALL SELECT p_brand, p_partkey, 2, i FROM l WHERE i <= 2 UNION ALL SELECT p_brand, p_partkey, 3, i FROM e UNION ALL SELECT p_brand, p_partkey, 4, i FROM l),
+ once AS (SELECT p_brand, p_partkey, min({'l': list, 'i': i}) AS turn FROM turns GROUP BY ALL)
+ SELECT p_brand, p_partkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY turn) AS rank FROM once) WHERE rank <= 3""")
 def top_rich_projects(spark, d):
-    return populations.rich_projects(table(spark, d, "part"), "p_brand", "p_retailprice", "p_size", "p_partkey").select("p_brand", "p_partkey", "rank")
+    """Engagement and recency with many ties."""
+    p = table(spark, d, "part").select("p_brand", "p_partkey", (F.col("p_partkey") % 5).alias("engagement"), (F.col("p_size") % 4).alias("recency"))
+    return populations.rich_projects(p, "p_brand", "engagement", "recency", "p_partkey").select("p_brand", "p_partkey", "rank")
 
 
 @query(f"WITH {POPULATION} SELECT id, CASE WHEN present THEN 0 WHEN accepted THEN 1 ELSE 2 END AS priority FROM pop")
@@ -117,21 +122,28 @@ def selection_outcomes(spark, d):
     return contracts.selection_violations(_items(spark, d), ["nation"], "total", K)
 
 
-@query(f"""WITH {_CELLS}, s AS (SELECT nation, count(*) FILTER (value IS NULL) AS w, coalesce(sum(value), 0) AS k, coalesce(max(value), 0) AS m, max(total) - nation % 3 AS t FROM v GROUP BY 1)
- SELECT nation, problem FROM (SELECT nation, CASE WHEN w = 1 THEN 'single_withheld' WHEN m > t THEN 'item' WHEN w = 0 AND k <> t OR k > t THEN 'sum' END AS problem FROM s) WHERE problem IS NOT NULL""")
+@query(f"""WITH {_CELLS}, k AS (SELECT *, CASE WHEN nation % 11 = 10 THEN NULL WHEN nation % 13 = 12 THEN total + 1 ELSE total - nation % 3 END AS known, CASE nation % 4 WHEN 3 THEN 'overlapping' ELSE 'exclusive' END AS mode FROM v),
+ s AS (SELECT nation, any_value(known) AS known, any_value(total) AS total, any_value(mode) AS mode, list(value) AS vs FROM k GROUP BY 1),
+ p AS (SELECT nation, CASE WHEN known IS NULL OR known > total THEN 'known' WHEN len(list_filter(vs, lambda x: x > known)) > 0 THEN 'item' WHEN mode = 'overlapping' THEN NULL
+  WHEN list_count(vs) = len(vs) AND list_sum(vs) <> known THEN 'sum' WHEN coalesce(list_sum(vs), 0) > known THEN 'sum' WHEN len(vs) - list_count(vs) = 1 THEN 'single_withheld' END AS problem FROM s) SELECT nation, problem FROM p WHERE problem IS NOT NULL""")
 def dimension_contract(spark, d):
-    return contracts.dimension_violations(_items(spark, d).withColumn("known", F.col("total") - F.col("nation") % 3), ["nation"], "known")
+    """Some nations withhold what is known, or say that more is known than there is; some dimensions overlap."""
+    nation, total = F.col("nation"), F.col("total")
+    known = F.when(nation % 11 == 10, None).when(nation % 13 == 12, total + 1).otherwise(total - nation % 3)
+    items = _items(spark, d).withColumns({"known": known, "mode": F.when(nation % 4 == 3, "overlapping").otherwise("exclusive")})
+    return contracts.dimension_violations(items, ["nation"], "known", "total", "mode", "item")
 
 
-@query(f"""WITH {_CELLS}, i AS (SELECT nation || '/' || item AS component, value FROM v), x AS (SELECT s_suppkey AS key, s_suppkey % 12 AS value, [(s_nationkey || '/BUILDING'), CASE WHEN s_suppkey % 9 = 0 THEN s_nationkey || '/NONE' ELSE s_nationkey || '/MACHINERY' END] AS components FROM supplier),
+@query(f"""WITH {_CELLS}, i AS (SELECT nation || '/' || item AS component, value FROM v), x AS (SELECT s_suppkey AS key, s_suppkey % 12 AS value, [(s_nationkey || '/BUILDING'), CASE WHEN s_suppkey % 9 = 0 THEN s_nationkey || '/NONE' ELSE s_nationkey || '/MACHINERY' END] || CASE WHEN s_suppkey % 10 = 0 THEN [s_nationkey || '/BUILDING'] ELSE [] END AS components FROM supplier),
  p AS (SELECT key, x.value, unnest(components) AS component FROM x), j AS (SELECT p.*, i.component IS NOT NULL AS there, i.value AS part FROM p LEFT JOIN i ON i.component = p.component),
- s AS (SELECT key, max(value) AS value, count(DISTINCT component) AS n, count(*) FILTER (NOT there) AS u, count(*) FILTER (there AND part IS NULL) AS w, min(part) AS least FROM j GROUP BY 1)
- SELECT key, problem FROM (SELECT key, CASE WHEN n < 2 THEN 'components' WHEN u > 0 THEN 'unknown' WHEN value IS NOT NULL AND w > 0 THEN 'over_withheld' WHEN value > least THEN 'count' END AS problem FROM s) WHERE problem IS NOT NULL""")
+ s AS (SELECT key, max(value) AS value, count(DISTINCT component) AS n, count(component) AS every, count(*) FILTER (NOT there) AS u, count(*) FILTER (there AND part IS NULL) AS w, min(part) AS least FROM j GROUP BY 1)
+ SELECT key, problem FROM (SELECT key, CASE WHEN every > n THEN 'repeated' WHEN n < 2 THEN 'components' WHEN u > 0 THEN 'unknown' WHEN value IS NOT NULL AND w > 0 THEN 'over_withheld' WHEN value > least THEN 'count' END AS problem FROM s) WHERE problem IS NOT NULL""")
 def intersection_contract(spark, d):
     items = _items(spark, d).select(F.concat_ws("/", F.col("nation").cast("string"), "item").alias("component"), "value")
     nation = F.col("s_nationkey").cast("string")
+    first = F.concat(nation, F.lit("/BUILDING"))
     second = F.when(F.col("s_suppkey") % 9 == 0, F.concat(nation, F.lit("/NONE"))).otherwise(F.concat(nation, F.lit("/MACHINERY")))
-    pairs = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), (F.col("s_suppkey") % 12).alias("value"), F.array(F.concat(nation, F.lit("/BUILDING")), second).alias("components"))
+    pairs = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), (F.col("s_suppkey") % 12).alias("value"), F.concat(F.array(first, second), F.when(F.col("s_suppkey") % 10 == 0, F.array(first)).otherwise(F.array().cast("array<string>"))).alias("components"))
     return contracts.intersection_violations(pairs, items, "key")
 
 
@@ -140,3 +152,29 @@ def intersection_contract(spark, d):
 def artifact_contract(spark, d):
     a = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("owner")).agg(F.count(F.lit(1)).alias("eligible"), F.count_if(F.col("o_orderstatus") != "P").alias("present"), (F.max("o_orderstatus") != "P").alias("complete"))
     return contracts.artifact_violations(a, K).select("owner", "problem")
+
+
+_JOURNEY = """n AS (SELECT c_nationkey AS nation, count(*) AS all_, count(*) FILTER (c_acctbal > 0) AS went, count(*) FILTER (c_acctbal > 500) AS came FROM customer GROUP BY 1),
+ nodes AS (SELECT nation || ':a' AS node, 1 AS place, CASE WHEN nation % 9 > 0 THEN all_ END AS size FROM n UNION ALL SELECT nation || ':b', 2, went FROM n UNION ALL SELECT nation || ':c', 2, CASE WHEN nation % 5 > 0 THEN all_ - went END FROM n UNION ALL SELECT nation || ':d', CASE WHEN nation % 7 = 0 THEN 2 ELSE 3 END, came FROM n),
+ links AS (SELECT nation || ':a' AS source, nation || ':b' AS target, CASE WHEN nation % 4 > 0 THEN went + nation % 3 - 1 END AS n FROM n UNION ALL SELECT nation || ':a', nation || ':c', CASE WHEN nation % 5 > 0 THEN all_ - went END FROM n
+  UNION ALL SELECT nation || ':b', nation || ':d', came FROM n UNION ALL SELECT nation || ':d', nation || CASE WHEN nation % 2 = 0 THEN ':d' ELSE ':e' END, 1 FROM n WHERE nation % 6 < 2 UNION ALL SELECT nation || ':b', nation || ':d', came FROM n WHERE nation % 8 = 1)"""
+
+
+@query(f"""WITH {_JOURNEY}, l AS (SELECT l.*, s.node AS s, t.node AS t, s.place AS sp, t.place AS tp, s.size AS ss, t.size AS ts FROM links l LEFT JOIN nodes s ON s.node = source LEFT JOIN nodes t ON t.node = target),
+ a AS (SELECT DISTINCT source, target, CASE WHEN s IS NULL OR t IS NULL THEN 'unknown_node' WHEN source = target THEN 'self' WHEN sp >= tp THEN 'backward' WHEN n > ss OR n > ts THEN 'endpoint' WHEN n IS NOT NULL AND ss - ts BETWEEN 1 AND 4 THEN 'nested_remainder'
+  WHEN (SELECT count(*) FROM links m WHERE m.source = l.source AND m.target = l.target) > 1 THEN 'repeated' END AS problem FROM l),
+ b AS (SELECT node, size, (SELECT count(*) FROM links WHERE source = node) AS k, (SELECT count(*) FROM links WHERE source = node AND n IS NULL) AS w, (SELECT coalesce(sum(n), 0) FROM links WHERE source = node) AS o, (SELECT coalesce(sum(n), 0) FROM links WHERE target = node) AS i FROM nodes WHERE size IS NOT NULL),
+ c AS (SELECT node, CASE WHEN k >= 2 AND w = 1 THEN 'single_withheld' WHEN w > 0 AND size - o BETWEEN 1 AND 4 THEN 'withheld_remainder' WHEN o > size THEN 'outgoing' WHEN i > size THEN 'incoming' END AS problem FROM b)
+ SELECT source, target, NULL AS node, problem FROM a WHERE problem IS NOT NULL UNION ALL SELECT NULL, NULL, node, problem FROM c WHERE problem IS NOT NULL""")
+def journey_contract(spark, d):
+    """Each nation's journey, most of them with something wrong."""
+    n = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("c_acctbal") > 0).alias("went"), F.count_if(F.col("c_acctbal") > 500).alias("came"))
+    k, missed = F.col("nation"), F.when(F.col("nation") % 5 > 0, F.col("all") - F.col("went"))
+    at = lambda stage: F.concat(k.cast("string"), F.lit(":"), stage if not isinstance(stage, str) else F.lit(stage))
+    node = lambda stage, place, size: F.struct(at(stage).alias("node"), place.alias("place"), size.alias("size"))
+    link = lambda a, b, size, when=F.lit(True): F.when(when, F.struct(at(a).alias("source"), at(b).alias("target"), size.cast("long").alias("n")))
+    nodes = F.array(node("a", F.lit(1), F.when(k % 9 > 0, F.col("all"))), node("b", F.lit(2), F.col("went")), node("c", F.lit(2), missed), node("d", F.when(k % 7 == 0, 2).otherwise(3), F.col("came")))
+    links = F.array_compact(F.array(
+        link("a", "b", F.when(k % 4 > 0, F.col("went") + k % 3 - 1)), link("a", "c", missed), link("b", "d", F.col("came")), link("d", F.when(k % 2 == 0, "d").otherwise("e"), F.lit(1), k % 6 < 2), link("b", "d", F.col("came"), k % 8 == 1),
+    ))
+    return contracts.journey_violations(n.select(F.explode(links).alias("l")).select("l.*"), n.select(F.explode(nodes).alias("n")).select("n.*"), K)

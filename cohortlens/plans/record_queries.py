@@ -113,11 +113,15 @@ def excluded_attendance(spark, d):
     return matches.withColumn("part", F.lit("match")).unionByName(unlinked.select(F.lit(None).cast("long").alias("o_orderkey"), "email", F.lit("unlinked").alias("part")))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND o_orderdate > TIMESTAMP '1996-01-01' THEN o_orderpriority END AS payload FROM orders")
+@query("""SELECT o_orderkey, 'orders:' || sha256('{"inputs":{"o_orderkey":' || o_orderkey || ',"status":' || CASE WHEN o_orderstatus = 'P' THEN 'null' ELSE '"' || o_orderstatus || '"' END || '},"version":"v1"}') AS cache_key,
+ CASE WHEN o_orderkey % 2 = 0 AND o_orderdate > TIMESTAMP '1996-01-01' THEN o_orderpriority END AS payload FROM orders""")
 def cache_lookup(spark, d):
-    o = table(spark, d, "orders")
-    cache = o.where("o_orderkey % 2 = 0").select(F.sha2(F.concat_ws("\0", F.lit("v1"), F.col("o_orderkey").cast("string")), 256).alias("cache_key"), F.col("o_orderpriority").alias("payload"), F.col("o_orderdate").alias("expires_at"))
-    return records.cached(o.select("o_orderkey"), cache, "v1", ["o_orderkey"], F.lit("1996-01-01").cast("timestamp_ntz")).select("o_orderkey", "payload")
+    """Each second order is in the cache; a status is null."""
+    o = table(spark, d, "orders").withColumn("status", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")))
+    cache = o.where("o_orderkey % 2 = 0").select(records.cache_key("orders", "v1", ["o_orderkey", "status"]).alias("cache_key"), F.col("o_orderpriority").alias("payload"), F.col("o_orderdate").alias("expires_at"))
+    now = F.lit("1996-01-01").cast("timestamp_ntz")
+    kept, _ = records.without_expired(cache, now)
+    return records.cached(o.select("o_orderkey", "status"), kept, "orders", "v1", ["status", "o_orderkey"], now).select("o_orderkey", "cache_key", "payload")
 
 
 @query("""WITH l AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN 'reserved' WHEN 'click' THEN 'reserved' WHEN 'error' THEN 'failed' ELSE 'completed' END AS state, CAST(floor(value * 100) AS BIGINT) AS cost FROM events)
