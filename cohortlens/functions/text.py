@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from functools import lru_cache
+from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The triggers of the rule classifier.
@@ -28,6 +31,7 @@ TRIGGERS = {
         "health": r"health|medical|care|biotech", "education": r"education|school|learning|student", "enterprise": r"enterprise|workflow|b2b|automation",
     },
 }
+# Further triggers of the classifier, and what counts as a yes.
 RESEARCHER = r"researcher|research scientist|professor|phd|academic"
 LEADERSHIP = r"chief|head|lead|principal|staff|director|vp|manager"
 STUDENT = r"student|undergraduate|master'?s|bachelor'?s"
@@ -106,8 +110,49 @@ def pseudonym(value: Column, secret: bytes, version: str) -> Column:
     return F.concat(F.lit(f"pid:{version}:"), hmac_sha256(F.lower(strip(value)), secret))
 
 
-def has(c: Column, pattern: str) -> Column:
-    return c.rlike(rf"(?U)\b(?:{pattern})\b")
+def _spelt(alternative: str) -> list[str]:
+    """What an alternative of a trigger stands for: optional blanks, hyphens and apostrophes written out."""
+    found = [""]
+    for part in re.split(r"(\[ -\]\?|'\?)", alternative):
+        found = [f + x for f in found for x in ({"[ -]?": ["", " ", "-"], "'?": ["", "'"]}.get(part, [part]))]
+    return found
+
+
+@lru_cache(None)
+def trigger(pattern: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """The single words of a trigger, and its phrases, which hold something else than letters and digits."""
+    spelt = sorted({x for a in pattern.split("|") for x in _spelt(a)})
+    return tuple(x for x in spelt if x.isalnum()), tuple(x for x in spelt if not x.isalnum())
+
+
+def _parts(phrase: str) -> list[str]:
+    return re.findall("[a-z0-9]+", phrase)
+
+
+class Words(NamedTuple):
+    """A text, and which words of any trigger it has."""
+
+    text: Column
+    hits: Column
+
+    def has(self, pattern: str) -> Column:
+        """Whether the trigger occurs as whole words. A phrase is looked for only where its words are there."""
+        words, phrases = trigger(pattern)
+        found = F.arrays_overlap(self.hits, F.array(*map(F.lit, words))) if words else F.lit(False)
+        for phrase in phrases:
+            near = F.size(F.array_except(F.array(*map(F.lit, _parts(phrase))), self.hits)) == 0
+            found |= F.when(near, self.text.rlike(rf"(?U)\b{re.escape(phrase)}\b")).otherwise(False)
+        return found
+
+
+def _all_words() -> list[str]:
+    patterns = [p for group in TRIGGERS.values() for p in group.values()] + [RESEARCHER, LEADERSHIP, STUDENT, JUNIOR, ACADEMIC, SHIPPED, "senior|year|years"]
+    return sorted({w for p in patterns for side in trigger(p) for x in side for w in _parts(x)})
+
+
+def word_hits(c: Column) -> Column:
+    """The words of a text that occur in any trigger, each once: the text is split once for all of them."""
+    return F.array_intersect(F.split(c, r"(?U)\W+"), F.array(*map(F.lit, _all_words())))
 
 
 def _labels(rules: dict[str, Column], none: str) -> Column:
@@ -115,24 +160,33 @@ def _labels(rules: dict[str, Column], none: str) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(none)))
 
 
-def classified(occupation: Column, experience: Column, impressive: Column, organization: Column, github_supplied: Column) -> dict[str, Column]:
-    """Seven dimensions of labels; what has no evidence is unknown, never a no."""
-    parts = [F.lower(F.coalesce(c, F.lit(""))) for c in (occupation, experience, impressive, organization)]
-    text, occupation, organization = F.concat_ws(" ", *parts), parts[0], parts[3]
-    founder = has(text, TRIGGERS["professional_identity"]["founder_cofounder"])
-    years = F.array_max(F.transform(F.regexp_extract_all(text, F.lit(r"(?U)\b(\d{1,2})\+?\s+years?\b"), 1), lambda x: x.cast("int")))
+DIMENSIONS = ("professional_identity", "seniority", "functional_role", "employer_pedigree", "builder_evidence", "capabilities", "domains")
+
+
+def classified(df: DataFrame, occupation: Column, experience: Column, impressive: Column, organization: Column, github_supplied: Column) -> DataFrame:
+    """``df`` with seven dimensions of labels; what has no evidence is unknown, never a no. Null texts are empty."""
+    given = {"_occupation": occupation, "_experience": experience, "_impressive": impressive, "_organization": organization}
+    texts = df.withColumns({k: F.lower(F.coalesce(c, F.lit(""))) for k, c in given.items()} | {"_supplied": github_supplied})
+    texts = texts.withColumns({"_text": F.concat_ws(" ", *given), "_made": F.concat_ws(" ", "_experience", "_impressive")})
+    sides = ("_text", "_occupation", "_organization", "_made")
+    # The hits are columns of their own, so that they are worked out once for all triggers.
+    texts = texts.withColumns({f"{k}_hits": word_hits(F.col(k)) for k in sides})
+    all_, role, organization_, made = (Words(F.col(k), F.col(f"{k}_hits")) for k in sides)
+    founder = all_.has(TRIGGERS["professional_identity"]["founder_cofounder"])
+    numbers = F.regexp_extract_all("_text", F.lit(r"(?U)\b(\d{1,2})\+?\s+years?\b"), 1)
+    years = F.when(F.arrays_overlap(all_.hits, F.array(F.lit("year"), F.lit("years"))), F.array_max(F.transform(numbers, lambda x: x.cast("int"))))
     seniority = (
-        F.when(founder, "founder").when(has(occupation, LEADERSHIP), "lead_staff_executive").when(has(occupation, "senior"), "senior").when(has(text, STUDENT), "student")
-        .when(has(text, JUNIOR), "junior").when(years >= 6, "senior").when(years >= 3, "mid_level").when(years.isNotNull(), "junior").otherwise("unknown")
+        F.when(founder, "founder").when(role.has(LEADERSHIP), "lead_staff_executive").when(role.has("senior"), "senior").when(all_.has(STUDENT), "student")
+        .when(all_.has(JUNIOR), "junior").when(years >= 6, "senior").when(years >= 3, "mid_level").when(years.isNotNull(), "junior").otherwise("unknown")
+    )
+    employer = F.when(founder, "self_employed_founder").when(seniority == "student", "student_no_employer").when(organization_.has(ACADEMIC), "academia_research").otherwise("unknown")
+    plain = lambda d, none: _labels({k: all_.has(p) for k, p in TRIGGERS[d].items()}, none)
+    identity = {k: all_.has(p) for k, p in TRIGGERS["professional_identity"].items()} | {"researcher_academic": role.has(RESEARCHER)}
+    builder = {"founded_company": founder, "shipped_product": made.has(SHIPPED), "github_supplied": F.col("_supplied")}
+    found = (
+        _labels(identity, "insufficient_evidence"), F.array(seniority), plain("functional_role", "unknown"), F.array(employer), _labels(builder, "insufficient_evidence"), plain("capabilities", "unknown"), plain("domains", "unknown"),
     )
-    employer = F.when(founder, "self_employed_founder").when(seniority == "student", "student_no_employer").when(has(organization, ACADEMIC), "academia_research").otherwise("unknown")
-    plain = lambda d, none: _labels({k: has(text, p) for k, p in TRIGGERS[d].items()}, none)
-    identity = {k: has(text, p) for k, p in TRIGGERS["professional_identity"].items()} | {"researcher_academic": has(occupation, RESEARCHER)}
-    builder = {"founded_company": founder, "shipped_product": has(F.concat_ws(" ", parts[1], parts[2]), SHIPPED), "github_supplied": github_supplied}
-    return {
-        "professional_identity": _labels(identity, "insufficient_evidence"), "seniority": F.array(seniority), "functional_role": plain("functional_role", "unknown"),
-        "employer_pedigree": F.array(employer), "builder_evidence": _labels(builder, "insufficient_evidence"), "capabilities": plain("capabilities", "unknown"), "domains": plain("domains", "unknown"),
-    }
+    return texts.select(*df.columns, *[c.alias(k) for k, c in zip(DIMENSIONS, found)])
 
 
 def count_band(n: Column) -> Column:

@@ -242,8 +242,12 @@ def suppress_p10(spark, d):
     return suppress.p10_closure(views.cells(spark, d), ["track"], "total", 2)
 
 
-@query(f"WITH {FACTS}, {_COHORTS}, f AS (SELECT *, originality AS problem_differentiation FROM coh), g AS (" + " UNION ALL ".join(f"SELECT cohort, nation, '{k}' AS cell, count(*) FILTER (assessment_state = 'assessed' AND {dim} IN ({', '.join(repr(x) for x in v)})) AS n FROM f GROUP BY ALL" for k, (dim, v) in predicates.GROUPS.items())
-       + "), rel(broader, narrower) AS (VALUES " + ", ".join(map(str, predicates.GROUP_RELATIONS)) + ") SELECT a.cohort, a.nation, a.cell, a.n, CASE WHEN bad THEN 'withheld' ELSE 'published' END AS privacy, CASE WHEN NOT bad THEN a.n END AS value FROM (SELECT a.*, coalesce(a.n - b.n BETWEEN 1 AND 4, FALSE) AS bad FROM g a LEFT JOIN rel ON broader = a.cell LEFT JOIN g b ON b.cell = narrower AND b.cohort = a.cohort AND b.nation = a.nation) a")
+_GROUP_COUNTS = ", ".join(f"count(*) FILTER (assessment_state = 'assessed' AND {dim} IN ({', '.join(map(repr, v))})) AS {k}" for k, (dim, v) in predicates.GROUPS.items())
+
+
+@query(f"""WITH {FACTS}, {_COHORTS}, f AS (SELECT *, originality AS problem_differentiation FROM coh), w AS (SELECT cohort, nation, {_GROUP_COUNTS} FROM f GROUP BY cohort, nation), g AS (FROM w UNPIVOT (n FOR cell IN ({', '.join(predicates.GROUPS)}))),
+ rel(broader, narrower) AS (VALUES {', '.join(map(str, predicates.GROUP_RELATIONS))}), bad AS (SELECT DISTINCT a.cohort, a.nation, a.cell FROM g a JOIN rel ON broader = a.cell JOIN g b ON b.cell = narrower AND b.cohort = a.cohort AND b.nation = a.nation WHERE a.n - b.n BETWEEN 1 AND 4)
+ SELECT g.cohort, g.nation, g.cell, g.n, CASE WHEN bad.cell IS NULL THEN 'published' ELSE 'withheld' END AS privacy, CASE WHEN bad.cell IS NULL THEN g.n END AS value FROM g LEFT JOIN bad USING (cohort, nation, cell)""")
 def suppress_p11(spark, d):
     facts = views.facts(spark, d).withColumn("problem_differentiation", F.col("originality"))
     cells = aggregate.group_counts(aggregate.in_cohorts(facts), ["cohort", "nation"])
@@ -467,13 +471,12 @@ _CLASSIFY = f"""WITH raw AS (SELECT doc_id, lower(coalesce(text, '')) AS x, lowe
  l AS (SELECT doc_id, {_label_sql("professional_identity", "insufficient_evidence")} AS professional_identity, seniority, {_label_sql("functional_role", "unknown")} AS functional_role,
  CASE WHEN {_FOUNDER} THEN 'self_employed_founder' WHEN seniority = 'student' THEN 'student_no_employer' WHEN {_has("org", text.ACADEMIC)} THEN 'academia_research' ELSE 'unknown' END AS employer_pedigree,
  {_label_sql("builder_evidence", "insufficient_evidence", {"founded_company": _FOUNDER, "shipped_product": _has("x", text.SHIPPED), "github_supplied": "gh"})} AS builder_evidence, {_label_sql("capabilities", "unknown")} AS capabilities, {_label_sql("domains", "unknown")} AS domains FROM s)"""
-DIMENSIONS = ["professional_identity", "seniority", "functional_role", "employer_pedigree", "builder_evidence", "capabilities", "domains"]
+DIMENSIONS = text.DIMENSIONS
 
 
 def _classified(spark, d):
-    docs = table(spark, d, "documents")
-    found = text.classified(F.lit(""), F.col("text"), F.lit(""), F.col("source"), F.col("doc_id") % 3 == 0)
-    return docs.select("doc_id", *[found[k].alias(k) for k in DIMENSIONS])
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    return text.classified(docs, F.lit(""), F.col("text"), F.lit(""), F.col("source"), F.col("doc_id") % 3 == 0).drop("text", "source")
 
 
 @query(_CLASSIFY + " SELECT * FROM l")
