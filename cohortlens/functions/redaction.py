@@ -56,7 +56,7 @@ LABELED = _rule("labeled_identifier", r"(?i)\b(?:github|linkedin|login|owner|pro
 STABLE = _rule(
     "stable_identifier",
     r"(?i)\b(?:pid:v[0-9]+:[a-z0-9_-]{8,}|(?:applicant|candidate|person|source|subject)[_:-](?=[a-z0-9_-]{3,}\b)(?=[a-z0-9_-]*[0-9])[a-z0-9_-]{3,}|(?:cs|gh|li)_[a-z0-9_-]{6,}|[a-f0-9]{32,})\b",
-    "pid:v applicant candidate person source subject cs_ gh_ li_", "(?i)[a-f0-9]{32}",
+    "pid:v applicant candidate person source subject cs_ gh_ li_", "[a-fA-F0-9]{32}",
 )
 EMAIL = _rule("email", r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "@")
 SPELT_EMAIL = _rule("email", r"(?i)(?<![\w@])[a-z0-9._%+-]{2,}\s*(?:\[\s*at\s*\]|\(\s*at\s*\)|\s+at\s+)\s*[a-z0-9-]*(?:\s*(?:\[\s*dot\s*\]|\(\s*dot\s*\)|\s+dot\s+)\s*[a-z0-9-]+)+\b", "dot")

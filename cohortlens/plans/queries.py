@@ -476,7 +476,7 @@ DIMENSIONS = text.DIMENSIONS
 
 def _classified(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "source")
-    return text.classified(docs, F.lit(""), F.col("text"), F.lit(""), F.col("source"), F.col("doc_id") % 3 == 0).drop("text", "source")
+    return text.classified(views.spread(docs), F.lit(""), F.col("text"), F.lit(""), F.col("source"), F.col("doc_id") % 3 == 0).drop("text", "source")
 
 
 @query(_CLASSIFY + " SELECT * FROM l")
@@ -532,7 +532,7 @@ def pii_scan(spark, d):
 def sanitise_text(spark, d):
     from cohortlens.functions.redaction import sanitised_of
 
-    return table(spark, d, "documents").select("doc_id", sanitised_of(F.col("text")).alias("text"))
+    return views.spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", sanitised_of(F.col("text")).alias("text"))
 
 
 @query()

@@ -9,7 +9,7 @@ from cohortlens.operators import overlays, payloads, records, reviews
 from cohortlens.operators.staging import new_path
 from cohortlens.plans.evidence_queries import SECRETS, _hmac
 from cohortlens.plans.queries import query
-from cohortlens.plans.views import table
+from cohortlens.plans.views import spread, table
 from cohortlens.sources.versioned import VersionedTable
 
 SECRET = SECRETS["v1"]
@@ -73,7 +73,7 @@ def review_teams(spark, d):
 @query()
 def unsafe_markers(spark, d):
     """The first direct identifier of each whole document. RE2 knows no look-around, so no SQL says this."""
-    return table(spark, d, "documents").select("doc_id", redaction.marker_of("text").alias("marker"), redaction.without_legacy_of("text").alias("imported"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", redaction.marker_of("text").alias("marker"), redaction.without_legacy_of("text").alias("imported"))
 
 
 _NAMES = ["colour", "ownership", "my-Phone", "size", "e_mail", "Source_Ref", "kind"]

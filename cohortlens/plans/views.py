@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where it has fewer splits than these, for work that costs more than moving its rows; a table of many splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def population(spark: SparkSession, d: str) -> DataFrame:
     """Applicants; accepted and present are true or unknown."""
     o = table(spark, d, "orders").where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'")
