@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlens.functions import redaction
+from cohortlens.functions import canonical, redaction
 from cohortlens.operators import overlays, payloads, records, reviews
 from cohortlens.operators.staging import new_path
 from cohortlens.plans.evidence_queries import SECRETS, _hmac
@@ -165,3 +165,15 @@ def decision_check(spark, d):
         F.when(m == 0, F.col("reason")).otherwise("looked again").alias("reason"), "decided_at", F.when(m == 1, F.col("decision_id")).when(m == 2, F.col("decision_id") - 1).alias("supersedes"),
     )
     return reviews.checked_decisions(log, new).select("source_record_id", "status", "decision_id")
+
+
+@query("""WITH r AS (SELECT sha256('{"application_id":"c\\u00e9-' || c_custkey % 1000 || '","event_key":"fixture-event"}') AS node, c_mktsegment AS track FROM customer), u AS (SELECT track, node, node || '*' || count(*) AS part FROM r GROUP BY track, node),
+ c AS (SELECT track, count(*) AS n, CASE WHEN count(*) > 256 THEN 1 ELSE 0 END AS depth FROM u GROUP BY 1),
+ a AS (SELECT u.track, n, node[1:depth] AS node, sha256(string_agg(part, ',' ORDER BY part)) AS digest, depth FROM u JOIN c USING (track) GROUP BY u.track, n, node[1:depth], depth),
+ b AS (SELECT track, n, CASE WHEN max(depth) = 0 THEN max(digest) ELSE sha256(string_agg(node || ':' || digest, ',' ORDER BY node || ':' || digest)) END AS digest FROM a GROUP BY track, n)
+ SELECT track, n AS applicants, digest FROM b""")
+def population_hash(spark, d):
+    """The digest of each track's applicants; identifiers hold a letter that JSON escapes."""
+    people = table(spark, d, "customer").select(F.concat(F.lit("cé-"), (F.col("c_custkey") % 1000).cast("string")).alias("id"), F.col("c_mktsegment").alias("track"))
+    rows = [(t, people.where(F.col("track") == t).select("id").distinct().count(), canonical.population_digest(people.where(F.col("track") == t), "id", "fixture-event")) for t in sorted(r[0] for r in people.select("track").distinct().collect())]  # five tracks
+    return spark.createDataFrame(rows, "track string, applicants long, digest string")
