@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlens.functions import canonical, redaction
+from cohortlens.functions import addresses, canonical, redaction
 from cohortlens.operators import overlays, payloads, records, reviews
 from cohortlens.operators.staging import new_path
 from cohortlens.plans.evidence_queries import SECRETS, _hmac
@@ -177,3 +177,36 @@ def population_hash(spark, d):
     people = table(spark, d, "customer").select(F.concat(F.lit("cé-"), (F.col("c_custkey") % 1000).cast("string")).alias("id"), F.col("c_mktsegment").alias("track"))
     rows = [(t, people.where(F.col("track") == t).select("id").distinct().count(), canonical.population_digest(people.where(F.col("track") == t), "id", "fixture-event")) for t in sorted(r[0] for r in people.select("track").distinct().collect())]  # five tracks
     return spark.createDataFrame(rows, "track string, applicants long, digest string")
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_custkey * 7919 % 4294967296 AS v4 FROM customer), o AS (SELECT k, [(k * 97) % 256, (k * 31) % 256, k % 256, (k * 7) % 256] AS p FROM c),
+ n AS (SELECT k, p, p[1] * 16777216 + p[2] * 65536 + p[3] * 256 + p[4] AS v FROM o),
+ h AS (SELECT k, v, array_to_string(p, '.') AS dotted, CASE WHEN k % 3 > 0 THEN NULL WHEN k % 4 = 0 THEN 'fe80' WHEN k % 4 = 1 THEN '2606' WHEN k % 4 = 2 THEN '2001' ELSE 'fd12' END AS first, lower(hex(k % 65536)) AS low FROM n)
+ SELECT k AS c_custkey, CASE WHEN first IS NULL THEN dotted ELSE first || ':' || lower(hex(k % 1024)) || '::' || low END AS address,
+ CASE WHEN first IN ('fe80', 'fd12') THEN 'not_public' WHEN first = '2606' THEN NULL WHEN first = '2001' THEN CASE WHEN k % 1024 IN (3) OR k % 1024 BETWEEN 32 AND 63 OR k % 1024 = 1 AND k % 65536 IN (1, 2) THEN 'public' WHEN k % 1024 < 512 THEN 'not_public' END
+  WHEN v IN (3221225481, 3221225482) THEN 'public' WHEN v < 16777216 OR v BETWEEN 167772160 AND 184549375 OR v BETWEEN 1681915904 AND 1686110207 OR v BETWEEN 2130706432 AND 2147483647 OR v BETWEEN 2851995648 AND 2852061183 OR v BETWEEN 2886729728 AND 2887778303
+   OR v BETWEEN 3221225472 AND 3221225727 OR v BETWEEN 3221225984 AND 3221226239 OR v BETWEEN 3232235520 AND 3232301055 OR v BETWEEN 3323068416 AND 3323199487 OR v BETWEEN 3325256704 AND 3325256959 OR v BETWEEN 3405803776 AND 3405804031 OR v >= 4026531840 THEN 'not_public' END AS kind FROM h""")
+def address_blocks(spark, d):
+    """Addresses of both versions and the block that each is in; the SQL compares numbers with the ends of the blocks."""
+    k = F.col("c_custkey")
+    dotted = F.concat_ws(".", *[(x % 256).cast("string") for x in (k * 97, k * 31, k, k * 7)])
+    first = F.when(k % 4 == 0, "fe80").when(k % 4 == 1, "2606").when(k % 4 == 2, "2001").otherwise("fd12")
+    address = F.when(k % 3 > 0, dotted).otherwise(F.concat(first, F.lit(":"), F.lower(F.hex(k % 1024)), F.lit("::"), F.lower(F.hex(k % 65536))))
+    rows = table(spark, d, "customer").select("c_custkey", address.alias("address")).withColumn("bits", addresses.address_bits(F.col("address")))
+    return addresses.located(rows, "bits", addresses.blocks(spark)).drop("bits")
+
+
+@query("""WITH u AS (SELECT c_custkey, CASE c_custkey % 9 WHEN 0 THEN 'http://' WHEN 1 THEN 'HTTPS://u:p@' ELSE 'https://' END || CASE c_custkey % 7 WHEN 0 THEN 'Page-' || c_custkey || '.Test' WHEN 1 THEN 'localhost' WHEN 2 THEN '10.0.0.' || c_custkey % 256 WHEN 3 THEN 'a%2eb' ELSE 'p' || c_custkey || '.test.' END
+  || CASE c_custkey % 5 WHEN 0 THEN ':443' WHEN 1 THEN ':80' ELSE '' END || CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN '/x?y=1' WHEN 2 THEN '/z' ELSE '?q' END || CASE c_custkey % 11 WHEN 0 THEN '#top' ELSE '' END AS url FROM customer),
+ p AS (SELECT *, CASE WHEN c_custkey % 7 = 3 THEN 'percent_host' WHEN c_custkey % 9 = 0 THEN 'not_https' WHEN c_custkey % 9 = 1 THEN 'credentials' WHEN c_custkey % 11 = 0 THEN 'fragment' WHEN c_custkey % 5 = 1 THEN 'port' WHEN c_custkey % 7 = 1 THEN 'local' WHEN c_custkey % 7 = 2 THEN 'numeric_host' END AS problem FROM u)
+ SELECT c_custkey, url, problem, CASE WHEN problem IS NULL THEN 'https://' || CASE c_custkey % 7 WHEN 0 THEN 'page-' || c_custkey || '.test' ELSE 'p' || c_custkey || '.test' END || CASE c_custkey % 4 WHEN 0 THEN '/' WHEN 1 THEN '/x?y=1' WHEN 2 THEN '/z' ELSE '/?q' END END AS canonical FROM p""")
+def page_addresses(spark, d):
+    k = F.col("c_custkey")
+    name = k.cast("string")
+    host = F.when(k % 7 == 0, F.concat(F.lit("Page-"), name, F.lit(".Test"))).when(k % 7 == 1, "localhost").when(k % 7 == 2, F.concat(F.lit("10.0.0."), (k % 256).cast("string"))).when(k % 7 == 3, "a%2eb").otherwise(F.concat(F.lit("p"), name, F.lit(".test.")))
+    url = F.concat(
+        F.when(k % 9 == 0, "http://").when(k % 9 == 1, "HTTPS://u:p@").otherwise("https://"), host, F.when(k % 5 == 0, ":443").when(k % 5 == 1, ":80").otherwise(""),
+        F.when(k % 4 == 0, "").when(k % 4 == 1, "/x?y=1").when(k % 4 == 2, "/z").otherwise("?q"), F.when(k % 11 == 0, "#top").otherwise(""),
+    )
+    found = addresses.checked_pages(table(spark, d, "customer").select("c_custkey", url.alias("url")), "url")
+    return found.select("c_custkey", "url", "page.problem", F.col("page.url").alias("canonical"))
