@@ -11,6 +11,7 @@ from cohortlens.plans.evidence_queries import SECRETS, _hmac
 from cohortlens.plans.queries import query
 from cohortlens.plans.views import spread, table
 from cohortlens.sources.versioned import VersionedTable
+from cohortlens.streaming import vault
 
 SECRET = SECRETS["v1"]
 
@@ -210,3 +211,33 @@ def page_addresses(spark, d):
     )
     found = addresses.checked_pages(table(spark, d, "customer").select("c_custkey", url.alias("url")), "url")
     return found.select("c_custkey", "url", "page.problem", F.col("page.url").alias("canonical"))
+
+
+@query("""WITH RECURSIVE q AS (SELECT 'u' || user_id % 300 || '-' || event_id % 3 AS ref, ts, event_id AS seq, CASE event_type WHEN 'view' THEN 'capture' WHEN 'click' THEN 'read' WHEN 'purchase' THEN 'read' WHEN 'error' THEN 'delete' ELSE 'look' END AS action,
+   CASE WHEN event_id % 10 = 0 THEN 'q' ELSE 'p' END AS subject, sha256(coalesce(props, '')) AS d, octet_length(encode(coalesce(props, ''))) AS n, CAST(floor(value * 1000) AS BIGINT) AS ttl, event_id % 3 = 0 AS reviewed FROM events),
+ r AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY ts, seq) AS i FROM q),
+ f AS (SELECT DISTINCT ref, CAST(0 AS BIGINT) AS i, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS action, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS VARCHAR) AS digest, CAST(NULL AS BIGINT) AS n_bytes, CAST(NULL AS VARCHAR) AS owner,
+   CAST(NULL AS TIMESTAMP) AS ends, FALSE AS live, FALSE AS gone, CAST(NULL AS TIMESTAMP) AS over_at, CAST(NULL AS VARCHAR) AS over_digest FROM r
+  UNION ALL SELECT ref, i, ts, seq, action, outcome, CASE outcome WHEN 'captured' THEN d ELSE digest END, CASE outcome WHEN 'captured' THEN n ELSE n_bytes END, CASE outcome WHEN 'captured' THEN subject ELSE owner END, CASE outcome WHEN 'captured' THEN ts + to_seconds(ttl) ELSE ends END,
+   outcome = 'captured' OR live AND outcome <> 'deleted', gone OR outcome = 'deleted', over_at, CASE WHEN over_at IS NOT NULL THEN digest END
+  FROM (SELECT *, CASE action WHEN 'look' THEN 'invalid' WHEN 'capture' THEN CASE WHEN n = 0 OR ttl <= 0 OR ttl > 86400 THEN 'invalid' WHEN gone THEN 'gone' WHEN live THEN CASE WHEN d = digest AND subject = owner THEN 'replayed' ELSE 'changed' END ELSE 'captured' END
+    ELSE CASE WHEN NOT live THEN CASE WHEN gone THEN 'gone' ELSE 'unknown' END WHEN action = 'read' THEN CASE WHEN subject = owner THEN 'read' ELSE 'refused' END WHEN reviewed THEN 'deleted' ELSE 'invalid' END END AS outcome
+   FROM (SELECT f.ref, r.i, r.ts, r.seq, r.action, r.subject, r.d, r.n, r.ttl, r.reviewed, f.digest, f.n_bytes, f.owner, f.ends, f.live AND r.ts < f.ends AS live, f.gone OR f.live AND r.ts >= f.ends AS gone, CASE WHEN f.live AND r.ts >= f.ends THEN f.ends END AS over_at
+    FROM f JOIN r ON r.ref = f.ref AND r.i = f.i + 1))),
+ at_end AS (SELECT ref, arg_max(live, i) AS live, arg_max(ends, i) AS ends, arg_max(digest, i) AS digest, arg_max(n_bytes, i) AS n_bytes FROM f GROUP BY 1)
+ SELECT ref, ts, seq, action, outcome, digest, n_bytes FROM f WHERE i > 0 UNION ALL SELECT ref, over_at, NULL, 'expire', 'expired', over_digest, n_bytes FROM f WHERE over_at IS NOT NULL
+ UNION ALL SELECT ref, ends, NULL, 'expire', 'expired', digest, n_bytes FROM at_end WHERE live AND ends <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+def vault_receipts(spark, d):
+    """The events as requests to a vault: played as a stream to its end, timers included."""
+    path = f"{d}/events.parquet"
+    # A pattern may name a file; a plain path must be a folder.
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/events.parque[t]")
+    kind = F.col("event_type")
+    action = F.when(kind == "view", "capture").when(kind.isin("click", "purchase"), "read").when(kind == "error", "delete").otherwise("look")
+    requests = stream.select(
+        F.concat(F.lit("u"), (F.col("user_id") % 300).cast("string"), F.lit("-"), (F.col("event_id") % 3).cast("string")).alias("ref"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), action.alias("action"), F.lit("s").alias("source"),
+        F.when(F.col("event_id") % 10 == 0, "q").otherwise("p").alias("subject"), F.coalesce("props", F.lit("")).cast("binary").alias("payload"), F.floor(F.col("value") * 1000).alias("ttl"), F.when(F.col("event_id") % 3 == 0, "reviewed").otherwise("none").alias("reason"),
+    )
+    out = new_path(spark, "receipts")
+    vault.receipts(requests).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(vault.RECEIPT).parquet(out).select("ref", F.col("ts").cast("timestamp_ntz").alias("ts"), "seq", "action", "outcome", "digest", "n_bytes")
