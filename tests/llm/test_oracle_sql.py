@@ -14,7 +14,7 @@ def test_query(name, spark, sf):
     found = con.execute(queries.oracle_sql()[name])
     columns = sorted(c[0] for c in found.description)
     order = [[c[0] for c in found.description].index(c) for c in columns]
-    wanted = sorted(tuple(row[i] for i in order) for row in found.fetchall())
+    wanted = sorted((tuple(row[i] for i in order) for row in found.fetchall()), key=str)
     df = queries.queries()[name](spark, sf)
     assert sorted(df.columns) == columns
-    assert sorted(tuple(row) for row in df.select(*columns).collect()) == wanted
+    assert sorted((tuple(row) for row in df.select(*columns).collect()), key=str) == wanted
