@@ -106,22 +106,32 @@ def identity_words(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def known_literals(texts: DataFrame, key: str, column: str, literals: DataFrame, literal: str) -> DataFrame:
+#: First words of literals that are sent to all tasks; with more of them every n-gram of a text is joined.
+FIRST_WORDS = 100_000
+
+
+def known_literals(texts: DataFrame, key: str, column: str, literals: DataFrame, literal: str, first_words: int = FIRST_WORDS) -> DataFrame:
     """``(key, form)``: the known literals (of four characters or more) that occur as whole words in a text.
 
-    Word n-grams, of the lengths that the literals have, are joined to them by equality: no text meets each literal.
+    Word n-grams, of the lengths that the literals have, are joined to them by equality: no text meets each literal. Where the
+    literals begin with few different words, only n-grams that begin with one of these are made, of the lengths that go with it.
     """
     words = F.col("_w")
-    forms = literals.select(identity_words(F.col(literal)).alias("_w")).select(F.array_join(words, " ").alias("form"), F.size(words).alias("n")).where("length(replace(form, ' ', '')) >= 4").distinct()
-    lengths = sorted(r["n"] for r in forms.select("n").distinct().collect())  # a handful of numbers
-
-    def grams(n: int) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-        return F.when(F.size(words) >= n, every).otherwise(F.array().cast("array<string>"))
-
+    forms = literals.select(identity_words(F.col(literal)).alias("_w")).select(F.array_join(words, " ").alias("form"), F.get(words, 0).alias("first"), F.size(words).alias("n")).where("length(replace(form, ' ', '')) >= 4").distinct()
     found = texts.select(key, identity_words(F.col(column)).alias("_w"))
-    found = found.select(key, F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *map(grams, lengths)))).alias("form"))
-    return found.join(forms.select("form"), "form").select(key, "form").distinct()
+    firsts = forms.select("first", "n").distinct()
+    if firsts.count() <= first_words:
+        at = found.select(key, "_w", F.posexplode("_w").alias("i", "first")).join(F.broadcast(firsts), "first").where(F.col("i") + F.col("n") <= F.size("_w"))
+        grams = at.select(key, F.array_join(F.slice("_w", F.col("i") + 1, F.col("n")), " ").alias("form"))
+    else:
+        lengths = sorted(r["n"] for r in forms.select("n").distinct().collect())  # a handful of numbers
+
+        def every(n: int) -> Column:
+            made = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+            return F.when(F.size(words) >= n, made).otherwise(F.array().cast("array<string>"))
+
+        grams = found.select(key, F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *map(every, lengths)))).alias("form"))
+    return grams.join(forms.select("form"), "form").select(key, "form").distinct()
 
 
 def excluded_attendance(records: DataFrame, excluded: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -87,3 +87,10 @@ def test_doubled_reviews_double_no_record(spark):
     found = evidence.aliased(spark.createDataFrame([("s", str(i)) for i in range(1, 5)], "source_type string, external_id string"), aliases)
     assert rows(found, "external_id", "alias_person") == [("1", 7), ("2", None), ("3", 9), ("4", None)]
     assert rows(evidence.alias_conflicts(aliases), "external_id", "n") == [("2", 2), ("3", 2)]
+
+
+def test_literals_either_way(spark):
+    texts = spark.createDataFrame([(1, "Ann Lee met ann-lee, LEE ann"), (2, None), (3, "annlee"), (4, "x Ann"), (5, ""), (5, "the ann lee met")], "k int, t string")
+    literals = spark.createDataFrame([("Ann Lee",), ("ann lee",), ("lee ann",), ("met",), ("Ann",), (None,), ("x ann lee",), ("Ann Lee Met",)], "l string")
+    few, many = (rows(records.known_literals(texts, "k", "t", literals, "l", n), "k", "form") for n in (100, 0))
+    assert few == many == [(1, "ann lee met"), (1, "ann lee"), (1, "lee ann"), (5, "ann lee met"), (5, "ann lee")]
