@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Events and the properties that each may carry.
@@ -30,18 +30,29 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None
     return found.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _bucket(digest) -> Column:
+    """Which of 256 folders of the manifest a digest is in."""
+    return F.substring(F.sha2(digest.cast("binary"), 256), 1, 2)
+
+
 def ingest(stream: DataFrame, manifest: str, sink: str, checkpoint: str):
-    """Idempotent file ingest: a digest that the manifest has is skipped, also when a batch is replayed."""
+    """Idempotent file ingest: a digest that the manifest has is skipped, also when a batch is replayed.
+
+    The manifest is kept by digest: a batch reads the folders of its own digests alone, however long the manifest has grown.
+    """
     from cohortlens.operators.lifecycle import new_files
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        schema = "digest string, source_type string, event string"
-        known = spark.read.schema(schema).parquet(f"{manifest}/*") if batch_id else spark.createDataFrame([], schema)
-        # The batch's own folders are overwritten, so a replay of it changes nothing.
-        known = known.where(~F.input_file_name().contains(f"batch={batch_id}/")) if batch_id else known
+        keys = ["digest", "source_type", "event"]
+        known = spark.createDataFrame([], "digest string, source_type string, event string")
+        if batch_id:
+            near = [r[0] for r in batch.select(_bucket(F.col("digest"))).distinct().collect()]  # 256 at most
+            # What the batch itself has written before is left out and overwritten, so a replay of it changes nothing.
+            known = spark.read.schema("digest string, source_type string, event string, bucket string, batch long").parquet(manifest).where(F.col("bucket").isin(near) & (F.col("batch") != batch_id)).select(*keys)
         fresh = new_files(batch, known)
-        batch.join(fresh, ["digest", "source_type", "event", "arrival"]).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-        fresh.select("digest", "source_type", "event").write.mode("overwrite").parquet(f"{manifest}/batch={batch_id}")
+        batch.join(fresh, [*keys, "arrival"]).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        rows = fresh.select(*keys, _bucket(F.col("digest")).alias("bucket"), F.lit(batch_id).cast("long").alias("batch"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(manifest)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -101,6 +101,7 @@ def test_stream_of_files_is_ingested_once(spark, tmp_path):
         row("y", 9).unionByName(row("z", 4)).write.mode("overwrite").parquet(f"{tmp_path}/in/2")
     got = spark.read.parquet(f"{tmp_path}/sink/*").collect()
     assert sorted((r.digest, r.arrival) for r in got) == [("x", 1), ("y", 3), ("z", 4)]
+    assert sorted((r.digest, r.batch) for r in spark.read.parquet(f"{tmp_path}/manifest").collect()) == [("x", 0), ("y", 0), ("z", 1)]
 
 
 def test_allowed_properties(spark):
