@@ -622,4 +622,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-from cohortlens.plans import evidence_queries, population_queries, record_queries, review_queries, upload_queries  # noqa: E402, F401  they register themselves
+from cohortlens.plans import event_queries, evidence_queries, population_queries, record_queries, review_queries, upload_queries  # noqa: E402, F401  they register themselves
