@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.operators import eventbuild
+from cohortlens.operators import eventbuild, journeys
 from cohortlens.operators.eventbuild import Source
 from cohortlens.plans.queries import query
 from cohortlens.plans.views import table
@@ -106,3 +106,32 @@ def event_integrity(spark, d):
         "applicants": table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("applicant_ref")), "teams": o.where("o_orderkey % 10 > 0").select(F.col("o_orderkey").alias("team_ref")), "projects": projects,
         "team_members": members, "attendance": members, "project_members": line.select(F.col("l_orderkey").alias("project_ref"), (F.col("l_linenumber") % 2).cast("long").alias("applicant_ref")),
     })
+
+
+@query("""WITH c AS (SELECT o_custkey AS journey, count(*) AS applied, count(*) FILTER (o_orderstatus = 'F') AS accepted, count(*) FILTER (o_orderstatus <> 'F') AS others, count(*) FILTER (o_orderstatus = 'F' AND o_orderpriority <> '5-LOW') AS came FROM orders GROUP BY 1),
+ nodes AS (SELECT journey, 'applied' AS node, 1 AS place, applied AS size FROM c UNION ALL SELECT journey, 'going_accepted', 2, CASE WHEN journey % 4 > 0 THEN accepted END FROM c UNION ALL SELECT journey, 'not_accepted_reason_unknown', 3, CASE WHEN journey % 8 > 1 THEN others END FROM c UNION ALL SELECT journey, 'on_site', 4, came FROM c),
+ links AS (SELECT journey, 'applied' AS source, 'going_accepted' AS target, CASE WHEN journey % 7 > 0 THEN accepted END AS n FROM c UNION ALL SELECT journey, 'applied', 'not_accepted_reason_unknown', CASE WHEN journey % 14 > 0 THEN others END FROM c UNION ALL SELECT journey, 'going_accepted', CASE WHEN journey % 10 = 0 THEN 'lost' ELSE 'on_site' END, CASE WHEN journey % 5 = 1 THEN came + 2 ELSE came END FROM c
+  UNION ALL SELECT journey, 'on_site', 'applied', 1 FROM c WHERE journey % 9 = 0),
+ e AS (SELECT l.*, a.size AS s, b.size AS t, a.place AS sp, b.place AS tp, b.node IS NOT NULL AS known FROM links l LEFT JOIN nodes a ON a.journey = l.journey AND a.node = l.source LEFT JOIN nodes b ON b.journey = l.journey AND b.node = l.target),
+ o AS (SELECT n.journey, n.node, n.size, count(*) AS links, count(*) FILTER (l.n IS NULL) AS hidden, coalesce(sum(l.n), 0) AS flow FROM nodes n JOIN links l ON l.journey = n.journey AND l.source = n.node GROUP BY ALL),
+ i AS (SELECT n.journey, n.node, n.size, coalesce(sum(l.n), 0) AS flow FROM nodes n JOIN links l ON l.journey = n.journey AND l.target = n.node GROUP BY ALL),
+ p AS (SELECT journey, max(size) FILTER (node = 'applied') AS size, count(*) FILTER (node IN ('going_accepted', 'not_accepted_reason_unknown') AND size IS NULL) AS hidden, coalesce(sum(size) FILTER (node IN ('going_accepted', 'not_accepted_reason_unknown')), 0) AS shown FROM nodes GROUP BY 1)
+ SELECT journey, source || '->' || target AS at, 'unknown node' AS problem FROM e WHERE NOT known UNION ALL SELECT journey, source || '->' || target, 'not forward' FROM e WHERE sp >= tp UNION ALL SELECT journey, source || '->' || target, 'more than an end' FROM e WHERE n > s OR n > t
+ UNION ALL SELECT journey, source || '->' || target, 'small nested remainder' FROM e WHERE n IS NOT NULL AND s - t BETWEEN 1 AND 2 UNION ALL SELECT journey, source || '->' || target, 'not its target''s count' FROM e WHERE known AND n IS DISTINCT FROM t
+ UNION ALL SELECT journey, node, 'outgoing above the node' FROM o WHERE flow > size UNION ALL SELECT journey, node, 'incoming above the node' FROM i WHERE flow > size
+ UNION ALL SELECT journey, node, 'single withheld part' FROM o WHERE size IS NOT NULL AND links >= 2 AND hidden = 1 UNION ALL SELECT journey, node, 'small withheld remainder' FROM o WHERE hidden > 0 AND size - flow BETWEEN 1 AND 2
+ UNION ALL SELECT journey, 'applied', 'single withheld part' FROM p WHERE hidden = 1 UNION ALL SELECT journey, 'applied', 'small withheld remainder' FROM p WHERE hidden > 0 AND size - shown BETWEEN 1 AND 2
+ UNION ALL SELECT journey, NULL, 'open topology' FROM c WHERE journey % 9 = 0 OR journey % 10 = 0""")
+def journey_contract(spark, d):
+    """Each customer's orders as a journey, some with counts withheld or changed and with links that lead elsewhere."""
+    j = F.col("journey")
+    f = F.col("o_orderstatus") == "F"
+    counts = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("journey")).agg(F.count(F.lit(1)).alias("applied"), F.count_if(f).alias("accepted"), F.count_if(~f).alias("others"), F.count_if(f & (F.col("o_orderpriority") != "5-LOW")).alias("came"))
+    row = lambda *cells: F.struct(*[(c if isinstance(c, Column) else F.lit(c)).alias(f"c{i}") for i, c in enumerate(cells)])
+    nodes = F.array(row("applied", 1, F.col("applied")), row("going_accepted", 2, F.when(j % 4 > 0, F.col("accepted"))), row("not_accepted_reason_unknown", 3, F.when(j % 8 > 1, F.col("others"))), row("on_site", 4, F.col("came")))
+    links = [
+        row("applied", F.lit("going_accepted"), F.when(j % 7 > 0, F.col("accepted"))), row("applied", F.lit("not_accepted_reason_unknown"), F.when(j % 14 > 0, F.col("others"))),
+        row("going_accepted", F.when(j % 10 == 0, "lost").otherwise("on_site"), F.when(j % 5 == 1, F.col("came") + 2).otherwise(F.col("came"))), F.when(j % 9 == 0, row("on_site", F.lit("applied"), F.lit(1).cast("long"))),
+    ]
+    flat = lambda c, *names: counts.select("journey", F.explode(c).alias("r")).select("journey", *[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
+    return journeys.violations(flat(nodes, "node", "place", "size"), flat(F.array_compact(F.array(*links)), "source", "target", "n"), 3, real=True)
