@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.operators import eventbuild, journeys
+from cohortlens.operators import eventbuild, journeys, scoring
 from cohortlens.operators.eventbuild import Source
 from cohortlens.plans.queries import query
 from cohortlens.plans.views import table
@@ -135,3 +137,34 @@ def journey_contract(spark, d):
     ]
     flat = lambda c, *names: counts.select("journey", F.explode(c).alias("r")).select("journey", *[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
     return journeys.violations(flat(nodes, "node", "place", "size"), flat(F.array_compact(F.array(*links)), "source", "target", "n"), 3, real=True)
+
+
+def _recommended_sql(t: int) -> str:
+    steps = [
+        ("coverage = 10000", "no_model_met_mandatory_review_coverage"), ("labels > 0", "no_model_met_partner_taxonomy_gold_support_requirement"), ("metrics > 0", "no_model_met_partner_metric_gold_support_requirement"),
+        (f"v6 >= {t}", "no_model_met_impressive_agreement_threshold"), (f"v0 >= {t}", "no_model_met_report_scalar_agreement_threshold"), (f"v1 >= {t - 1000}", "no_model_met_report_scalar_minimum_floor"),
+        (f"v2 >= {t}", "no_model_met_partner_metric_precision_threshold"), (f"v3 >= {t}", "no_model_met_partner_metric_recall_threshold"), (f"v4 >= {t}", "no_model_met_partner_taxonomy_precision_threshold"),
+        (f"v5 >= {t - 1000}", "no_model_met_partner_taxonomy_recall_floor"), ("failed = 0", "no_model_met_zero_failure_requirement"), ("yes > 0 AND no > 0", "no_model_met_impressive_gold_class_diversity_requirement"),
+    ]
+    passed = [" AND ".join(c for c, _ in steps[: i + 1]) for i in range(len(steps))]
+    reasons = " ".join(f"WHEN count(*) FILTER ({c}) = 0 THEN '{reason}'" for c, (_, reason) in zip(passed, steps))
+    done = "proposal_quality_thresholds_met_mandatory_human_review_before_release_ranked_by_quality_then_escalation_then_cost"
+    return f"SELECT {t} AS threshold, arg_min(model, (-v0, -v1, -v2, -v3, -v4, -v5, -v6, escalated, cost)) FILTER ({passed[-1]}) AS model, CASE {reasons} ELSE '{done}' END AS reason FROM r"
+
+
+_THRESHOLDS = [2000, 5000, 7000, 8000, 9500, 10000]
+
+
+@query(f"""WITH g AS (SELECT coalesce(source, 'none') AS model, count(*) AS n, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS s FROM documents GROUP BY 1), r AS (SELECT model, CASE WHEN n % 5 = 0 THEN 9999 ELSE 10000 END AS coverage, n % 7 AS labels, s % 11 AS metrics, CASE WHEN n % 3 = 0 THEN 1 ELSE 0 END AS failed, n % 4 AS yes, s % 4 AS no,
+ {", ".join(f"s * {i + 1} % 4000 + 6000 AS v{i}" for i in range(7))}, s % 100 AS escalated, s AS cost FROM g) {" UNION ALL ".join(map(_recommended_sql, _THRESHOLDS))}""")
+def model_recommendation(spark, d):
+    """Sources as models, with scores from their sizes, at several thresholds."""
+    n, s = F.col("n"), F.col("s")
+    score = lambda i: (s * (i + 1) % 4000 + 6000)
+    reports = table(spark, d, "documents").groupBy(F.coalesce("source", F.lit("none")).alias("model")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("s"))
+    reports = reports.select(
+        "model", F.when(n % 5 == 0, 9999).otherwise(10000).alias("mandatory_review_coverage_basis_points"), (n % 7).alias("partner_taxonomy_expected_positive_count"), (s % 11).alias("partner_metric_expected_positive_count"), F.when(n % 3 == 0, 1).otherwise(0).alias("failed_attempt_count"),
+        (n % 4).alias("impressive_expected_positive_count"), (s % 4).alias("impressive_expected_negative_count"), *[score(i).alias(c) for i, c in enumerate(scoring.MORE_IS_BETTER)], (s % 100).alias(scoring.LESS_IS_BETTER[0]), s.alias(scoring.LESS_IS_BETTER[1]),
+    )
+    found = [scoring.recommended(reports, t).select(F.lit(t).alias("threshold"), "model", "reason") for t in _THRESHOLDS]
+    return reduce(DataFrame.unionByName, found)
