@@ -10,6 +10,7 @@ Defined results: null and empty addresses are ``no_address``; what is no numeric
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,23 +37,39 @@ def _binary(c: Column, base: int, width: int) -> Column:
     return F.lpad(F.conv(c, base, 2), width, "0")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with the value named: written out at each use, values that are made of others double the plan again and again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def address_bits(c: Column) -> Column:
     """128 bits of a numeric address, with or without brackets; null for anything else."""
-    plain = F.regexp_replace(F.lower(F.trim(c)), r"^\[|\]$", "")
-    v4 = lambda a: F.array_join(F.transform(F.split(a, r"\."), lambda x: _binary(x, 10, 8)), "")
-    tail = F.regexp_extract(plain, r"([^:]*)$", 1)
-    dotted = tail.rlike(_V4)
-    # A dotted tail of an IPv6 address is its last two groups.
+    octets = lambda a, octet: F.array_join(F.transform(F.split(a, r"\."), octet), "")
     groups = lambda s: F.filter(F.split(s, ":"), lambda g: g != "")
-    hexed = F.array_join(F.transform(F.split(tail, r"\."), lambda x: F.lpad(F.lower(F.conv(x, 10, 16)), 2, "0")), "")
-    long = F.when(dotted, F.concat(F.substr(plain, F.lit(1), F.length(plain) - F.length(tail)), F.substring(hexed, 1, 4), F.lit(":"), F.substring(hexed, 5, 4))).otherwise(plain)
-    left, right = F.substring_index(long, "::", 1), F.when(F.instr(long, "::") > 0, F.substring_index(long, "::", -1)).otherwise("")
-    l, r = groups(left), groups(right)
-    fill = 8 - F.size(l) - F.size(r)
-    shaped = long.rlike(r"^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?(?:::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?)?$") & F.when(F.instr(long, "::") > 0, fill >= 1).otherwise(fill == 0)
-    all_ = F.concat(l, F.array_repeat(F.lit("0"), F.greatest(fill, F.lit(0))), r)
-    v6 = F.array_join(F.transform(all_, lambda g: _binary(g, 16, 16)), "")
-    return F.when(plain.rlike(_V4), F.concat(F.lit(_MAPPED), v4(plain))).when(F.instr(plain, ":") > 0, F.when(shaped, v6))
+
+    def expanded(plain: Column, tail: Column) -> Column:
+        """A dotted tail of an IPv6 address is its last two groups."""
+        hexed = octets(tail, lambda x: F.lpad(F.lower(F.conv(x, 10, 16)), 2, "0"))
+        return F.when(tail.rlike(_V4), F.concat(F.substr(plain, F.lit(1), F.length(plain) - F.length(tail)), F.substring(hexed, 1, 4), F.lit(":"), F.substring(hexed, 5, 4))).otherwise(plain)
+
+    def v6(long: Column) -> Column:
+        short = F.instr(long, "::") > 0
+        sides = F.struct(groups(F.substring_index(long, "::", 1)).alias("l"), groups(F.when(short, F.substring_index(long, "::", -1)).otherwise("")).alias("r"))
+        shaped = long.rlike(r"^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?(?:::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?)?$")
+
+        def filled(of: Column) -> Column:
+            fill = 8 - F.size(of["l"]) - F.size(of["r"])
+            all_ = F.concat(of["l"], F.array_repeat(F.lit("0"), F.greatest(fill, F.lit(0))), of["r"])
+            return F.when(F.when(short, fill >= 1).otherwise(fill == 0), F.array_join(F.transform(all_, lambda g: _binary(g, 16, 16)), ""))
+
+        return F.when(shaped, _let(sides, filled))
+
+    def bits(plain: Column) -> Column:
+        long = _let(F.regexp_extract(plain, r"([^:]*)$", 1), lambda tail: expanded(plain, tail))
+        v4 = F.concat(F.lit(_MAPPED), octets(plain, lambda x: _binary(x, 10, 8)))
+        return F.when(plain.rlike(_V4), v4).when(F.instr(plain, ":") > 0, _let(long, v6))
+
+    return _let(F.regexp_replace(F.lower(F.trim(c)), r"^\[|\]$", ""), bits)
 
 
 def blocks(spark: SparkSession, kinds: dict[str, list[str]] | None = None) -> DataFrame:
@@ -61,14 +78,22 @@ def blocks(spark: SparkSession, kinds: dict[str, list[str]] | None = None) -> Da
     return spark.createDataFrame([(block_bits(b), kind) for kind, found in kinds.items() for b in found], "bits string, kind string")
 
 
-def located(df: DataFrame, bits: str, table: DataFrame, name: str = "kind") -> DataFrame:
-    """``df`` with the kind of the longest block that holds the address; null where none does. Blocks that come twice must agree, else the smaller kind counts."""
-    lengths = [r[0] for r in table.select(F.length("bits")).distinct().collect()]  # 129 at most
-    keyed = df.withColumn("_row", F.monotonically_increasing_id())
-    prefixes = keyed.where(F.col(bits).isNotNull()).select("_row", F.explode(F.array(*[F.substring(bits, 1, n) for n in sorted(lengths)])).alias("_bits")) if lengths else keyed.select("_row", F.lit("").alias("_bits")).limit(0)
-    one = table.groupBy(F.col("bits").alias("_bits")).agg(F.min("kind").alias("_kind"))
-    best = prefixes.join(one, "_bits").groupBy("_row").agg(F.max(F.struct(F.length("_bits").alias("n"), "_kind"))["_kind"].alias(name))
-    return keyed.join(best, "_row", "left").drop("_row")
+#: Blocks that are sent to all tasks; more of them are dealt out and joined.
+SENT_BLOCKS = 100_000
+
+
+def located(df: DataFrame, bits: str, table: DataFrame, name: str = "kind", sent: int = SENT_BLOCKS) -> DataFrame:
+    """``df`` with the kind of the longest block that holds the address; null where none does. Blocks that come twice must agree, else the smaller kind counts.
+
+    The prefixes are those of each address once, however many rows have it.
+    """
+    lengths = {r[0]: r[1] for r in table.where("bits is not null").groupBy(F.length("bits")).count().collect()}  # 129 at most
+    one = table.groupBy(F.col("bits").alias("_prefix")).agg(F.min("kind").alias("_kind"))
+    found = df.where(F.col(bits).isNotNull()).select(F.col(bits).alias("_located")).distinct()
+    prefixes = found.select("_located", F.explode(F.transform(F.array(*map(F.lit, sorted(lengths))).cast("array<int>"), lambda n: F.substr("_located", F.lit(1), n))).alias("_prefix"))
+    held = prefixes.join(F.broadcast(one) if sum(lengths.values()) <= sent else one, "_prefix")
+    best = held.groupBy("_located").agg(F.max(F.struct(F.length("_prefix").alias("n"), "_kind"))["_kind"].alias(name))
+    return df.join(best, F.col(bits) == F.col("_located"), "left").drop("_located")
 
 
 def page_address(c: Column) -> Column:

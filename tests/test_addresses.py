@@ -42,6 +42,18 @@ def test_blocks(spark):
     assert addresses.located(df, "b", addresses.blocks(spark).limit(0)).where("kind is not null").count() == 0
 
 
+def test_blocks_that_are_dealt_out(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["10.0.0.1", "10.0.0.1", "8.8.8.8", "192.0.0.9", "x", None])], "i int, t string").withColumn("b", addresses.address_bits(F.col("t")))
+    got = {r["i"]: r["kind"] for r in addresses.located(df, "b", addresses.blocks(spark), sent=0).collect()}
+    assert got == {0: "not_public", 1: "not_public", 2: None, 3: "public", 4: None, 5: None}
+
+
+def test_plan_of_bits_is_small(spark):
+    """A plan in which each value is written out at each use takes the driver's memory, however few rows there are."""
+    df = spark.range(1).select(addresses.address_bits(F.col("id").cast("string")).alias("b"))
+    assert len(df._jdf.queryExecution().analyzed().toString()) < 5_000
+
+
 @pytest.mark.parametrize(
     ("url", "expected", "problem"),
     [
