@@ -2,8 +2,9 @@
 
 A row is kept, or rejected (its applicant is unknown, or it lacks the id of its team or project), or set apart as a conflict: its
 record id stands twice in a source whose ids must be unique, or its team or project is described in more than one way. All rows of
-such a team or project are set apart, as which description holds can't be known. Rows go through two stored tables, all relations
-are read from the second, and ``outcomes`` accounts for every row. Nothing gathers a group: descriptions of a team or project are
+such a team or project are set apart, as which description holds can't be known. Each role's rows are stored once, in its own columns
+and with ids as they were given; contested keys are stored too, all relations are read from these tables, and ``outcomes`` accounts for
+every row. References, many times as long as ids, are made last. Nothing gathers a group: descriptions of a team or project are
 compared by their smallest and largest, whatever their number, and rows meet a population or conflicts with one row for each key,
 so that a hot key's rows can be split (AQE does).
 
@@ -26,7 +27,7 @@ from cohortlens.operators.staging import stored
 # The fields that a role's mapping must have, and those that it may have.
 NEEDED = {"applications": (), "attendance": ("approval_status", "checked_in_at"), "teams": ("team_id", "track"), "submissions": ("project_id", "team_id", "submission_status", "track")}
 OPTIONAL = {"applications": ("github",), "submissions": ("repository", "demo")}
-TEAM, PROJECT = ["track"], ["team_ref", "yes", "track", "repository_supplied", "demo_supplied"]
+TEAM, PROJECT = ["track"], ["team", "yes", "track", "repository_supplied", "demo_supplied"]
 
 
 @dataclass(frozen=True)
@@ -55,31 +56,38 @@ def _given(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def _staged(event: str, role: str, source: Source) -> DataFrame:
-    """A role's rows in the columns of all roles."""
+def _staged(role: str, source: Source) -> DataFrame:
+    """A role's rows in its own columns, ids as they were given."""
     df, fields = source.rows, NEEDED[role] + OPTIONAL.get(role, ())
     missing = [f for f in NEEDED[role] if f not in df.columns]
     if missing:
         raise ValueError(f"{role} lacks {', '.join(missing)}")
-    ref = lambda kind, how, value: stable_reference(F.lit(event), F.lit(kind), F.lit(how), value)
-    field = lambda f: _text(df, f) if f in fields else F.lit("")
-    keyed = lambda kind, f: F.when(field(f) != "", ref(kind, "provider_id", field(f)))
-    state = field("approval_status") if role == "attendance" else field("submission_status")
-    supplied = lambda f: (field(f) != "") if f in fields and f in df.columns else F.lit(None).cast("boolean")
-    record = F.coalesce("external_record_id", F.lit(""))
+    supplied = lambda f: (_text(df, f) != "") if f in df.columns else F.lit(None).cast("boolean")
+    positive = lambda f: F.when(F.lower(_text(df, f)).isin(*source.positive), True)
+    made = {
+        "github": (_text(df, "github") != "").alias("github"), "approval_status": positive("approval_status").alias("yes"), "submission_status": positive("submission_status").alias("yes"), "checked_in_at": F.when(_text(df, "checked_in_at") != "", True).alias("present"),
+        "team_id": _given(_text(df, "team_id")).alias("team"), "project_id": _given(_text(df, "project_id")).alias("project"), "track": _given(_text(df, "track")).alias("track"), "repository": supplied("repository").alias("repository_supplied"), "demo": supplied("demo").alias("demo_supplied"),
+    }
     return df.select(
-        F.lit(role).alias("role"), F.col("row_number").cast("long").alias("row_number"), F.col("source_partition").cast("string").alias("source_partition"), record.alias("external_record_id"), F.coalesce("applicant_identity", F.lit("")).alias("identity"),
-        ref("applicant", "canonical_content_key", F.coalesce("applicant_identity", F.lit(""))).alias("applicant_ref"), ref("source_record", "provider_id", F.concat(F.lit(f"{role}:"), record)).alias("source_ref"),
-        F.when(F.lower(state).isin(*source.positive), True).alias("yes"), F.when(field("checked_in_at") != "", True).alias("present"), (field("github") != "").alias("github"),
-        keyed("team", "team_id").alias("team_ref"), keyed("project", "project_id").alias("project_ref"), _given(field("track")).alias("track"), supplied("repository").alias("repository_supplied"), supplied("demo").alias("demo_supplied"),
+        F.col("row_number").cast("long").alias("row_number"), F.col("source_partition").cast("string").alias("source_partition"), F.coalesce("external_record_id", F.lit("")).alias("external_record_id"), F.coalesce("applicant_identity", F.lit("")).alias("identity"), *[made[f] for f in fields],
     )
 
 
-def _contested(rows: DataFrame, key: str, described: list[str]) -> DataFrame:
+def _contested(claims: DataFrame, key: str, described: list[str]) -> DataFrame:
     """Keys that are described in more than one way; a null is a value of its own."""
     what = F.struct(*described)
-    found = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(what).alias("a"), F.max(what).alias("b"))
-    return found.where("not (a <=> b)").select(key, F.lit(True).alias(f"{key}_contested"))
+    found = claims.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(what).alias("a"), F.max(what).alias("b"))
+    return stored(found.where("not (a <=> b)").select(F.concat(F.lit("="), F.col(key)).alias("_key"), F.lit(True).alias(f"{key}_contested")), "event-contested")
+
+
+def _told(rows: DataFrame, contested: dict[str, DataFrame]) -> DataFrame:
+    """Rows with the conflict that they are part of; those without a key take one of their own, so that nulls don't pile up."""
+    problem = F.lit(None).cast("string")
+    for key, found in contested.items():
+        own = F.coalesce(F.concat(F.lit("="), F.col(key)), F.concat_ws(":", F.lit("row"), "row_number", "source_partition"))
+        rows = rows.withColumn("_key", own).join(found, "_key", "left").drop("_key")
+        problem = F.coalesce(problem, F.when(F.col(f"{key}_contested"), key))
+    return rows.withColumn("conflict", F.coalesce("conflict", F.when(F.col("reason").isNull(), problem))).drop(*[f"{key}_contested" for key in contested])
 
 
 def build(spark: SparkSession, event: str, sources: dict[str, Source]) -> dict[str, DataFrame]:
@@ -90,47 +98,54 @@ def build(spark: SparkSession, event: str, sources: dict[str, Source]) -> dict[s
     if absent:
         raise ValueError(f"required sources are missing: {', '.join(absent)}")
     given = {r: s for r, s in sources.items() if s.rows is not None}
-    rows = _union([_staged(event, r, s) for r, s in given.items()])
-    unique = [r for r, s in given.items() if s.unique_ids]
-    if unique:
-        doubled = rows.where(F.col("role").isin(unique)).groupBy("role", "external_record_id").count().where("count > 1")
-        rows = rows.join(doubled.select("role", "external_record_id", F.lit("doubled_record").alias("conflict")), ["role", "external_record_id"], "left")
-    else:
-        rows = rows.withColumn("conflict", F.lit(None).cast("string"))
-    applied = rows.where("role = 'applications' and conflict is null").select("identity").distinct().withColumn("known", F.lit(True))
-    rows = rows.join(applied, "identity", "left")
-    lacking = F.when(F.col("role") == "teams", F.col("team_ref").isNull()).when(F.col("role") == "submissions", F.col("project_ref").isNull())
-    reason = F.when(F.col("conflict").isNotNull(), None).when(F.col("known").isNull(), "invalid_relation").when(lacking, "malformed_record")
-    rows = stored(rows.withColumn("reason", reason).drop("known", "identity"), "event-rows")
-
-    # Only rows of teams and submissions can meet a contested key; those without the key take one of their own, so that nulls don't pile up.
-    valid = rows.where("reason is null and conflict is null")
-    described = F.col("role").isin("teams", "submissions")
-    told = rows.where(described)
-    for key, what, role in (("team_ref", TEAM, None), ("project_ref", PROJECT, "submissions")):
-        claims = valid.where(described if role is None else F.col("role") == role)
-        own = F.coalesce(key, F.concat_ws(":", F.lit("row"), "row_number", "source_partition"))
-        contested = _contested(claims, key, what).withColumnRenamed(key, "_key")
-        told = told.withColumn("_key", own).join(contested, "_key", "left").drop("_key")
-    problem = F.coalesce("conflict", F.when(F.col("reason").isNull(), F.when(F.col("team_ref_contested"), "team").when(F.col("project_ref_contested"), "project")))
-    told = told.withColumn("conflict", problem).drop("team_ref_contested", "project_ref_contested")
-    rows = stored(rows.where(~described).unionByName(told), "event-rows")
-
-    kept = rows.where("reason is null and conflict is null")
-    refused = [rows.select("role", "row_number", "source_partition", "reason", "conflict")]
+    staged = {}
+    for role, source in given.items():
+        rows = _staged(role, source)
+        if source.unique_ids:
+            doubled = rows.groupBy("external_record_id").count().where("count > 1")
+            staged[role] = rows.join(doubled.select("external_record_id", F.lit("doubled_record").alias("conflict")), "external_record_id", "left")
+        else:
+            staged[role] = rows.withColumn("conflict", F.lit(None).cast("string"))
+    applied = stored(staged["applications"].where("conflict is null").select("identity").distinct().withColumn("known", F.lit(True)), "event-applicants")
+    tables = {}
+    for role, rows in staged.items():
+        lacking = {"teams": "team is null", "submissions": "project is null"}.get(role, "false")
+        reason = F.when(F.col("conflict").isNotNull(), None).when(F.col("known").isNull(), "invalid_relation").when(F.expr(lacking), "malformed_record")
+        tables[role] = stored(rows.join(applied, "identity", "left").withColumn("reason", reason).drop("known"), "event-rows", compression="zstd")
+
+    # An absent source has no rows; its columns are those that the relations need.
+    for role in set(NEEDED) - set(tables):
+        none = spark.createDataFrame([], "row_number long, source_partition string, external_record_id string, applicant_identity string, " + ", ".join(f"{f} string" for f in NEEDED[role]))
+        tables[role] = _staged(role, Source(none)).withColumns({"conflict": F.lit(None).cast("string"), "reason": F.lit(None).cast("string")})
+
+    valid = {r: t.where("reason is null and conflict is null") for r, t in tables.items()}
+    teams = _contested(_union([valid[r].select("team", *TEAM) for r in ("teams", "submissions")]), "team", TEAM)
+    projects = _contested(valid["submissions"], "project", PROJECT)
+    told = tables | {"teams": _told(tables["teams"], {"team": teams}), "submissions": _told(tables["submissions"], {"team": teams, "project": projects})}
+    kept = {r: t.where("reason is null and conflict is null") for r, t in told.items()}
+
+    ref = lambda kind, how, value: stable_reference(F.lit(event), F.lit(kind), F.lit(how), value)
+    applicant = ref("applicant", "canonical_content_key", F.col("identity")).alias("applicant_ref")
+    record = lambda role: ref("source_record", "provider_id", F.concat(role, F.lit(":"), F.col("external_record_id"))).alias("source_ref")
+    keyed = lambda kind: F.when(F.col(kind).isNotNull(), ref(kind, "provider_id", F.col(kind))).alias(f"{kind}_ref")
+    columns = ["role", "row_number", "source_partition", "reason", "conflict"]
+    refused = [told[r].withColumn("role", F.lit(r)).select(*columns) for r in given]
     refused += [s.rejects.select(F.lit(r).alias("role"), F.col("row_number").cast("long"), F.col("source_partition").cast("string"), F.lit("missing_stable_id").alias("reason"), F.lit(None).cast("string").alias("conflict")) for r, s in given.items() if s.rejects is not None]
     outcome = F.when(F.col("conflict").isNotNull(), "conflict").when(F.col("reason").isNotNull(), "rejected").otherwise("kept")
     # A row that lacks an id still is a source of its applicant.
-    pairs = rows.where("conflict is null and coalesce(reason, '') <> 'invalid_relation'").groupBy("applicant_ref", "source_ref").agg(F.max(F.col("github") & (F.col("role") == "applications")).alias("github"))
-    members = lambda role, ref: kept.where(F.col("role") == role).select(ref, "applicant_ref").distinct()
+    sources_of = [told[r].where("conflict is null and coalesce(reason, '') <> 'invalid_relation'").select("identity", F.lit(r).alias("role"), "external_record_id", (F.col("github") if r == "applications" else F.lit(False)).alias("github")) for r in given]
+    pairs = _union(sources_of).groupBy("identity", "role", "external_record_id").agg(F.max("github").alias("github"))
+    members = lambda rows, kind: rows.select(kind, "identity").distinct().select(keyed(kind), applicant)
+    named = _union([kept[r].where("team is not null").select("team", *TEAM) for r in ("teams", "submissions")])
+    described = kept["submissions"].where("project is not null").select("project", *PROJECT).distinct()
     return {
-        "applicants": pairs.groupBy("applicant_ref").agg(F.max("github").alias("github_supplied"), F.count(F.lit(1)).alias("n_sources")),
-        "applicant_sources": pairs.select("applicant_ref", "source_ref"),
-        "attendance": kept.where("role = 'attendance'").select("applicant_ref", "source_ref", F.col("yes").alias("accepted"), "present"),
-        "teams": kept.where("team_ref is not null").select("team_ref", *TEAM).distinct(),
-        "projects": kept.where("project_ref is not null").select("project_ref", *PROJECT).distinct().withColumnRenamed("yes", "submitted"),
-        "team_members": members("teams", "team_ref"),
-        "project_members": kept.where("role = 'submissions' and yes").select("project_ref", "applicant_ref").distinct(),
+        "applicants": pairs.groupBy("identity").agg(F.max("github").alias("github_supplied"), F.count(F.lit(1)).alias("n_sources")).select(applicant, "github_supplied", "n_sources"),
+        "applicant_sources": pairs.select(applicant, record(F.col("role"))),
+        "attendance": kept["attendance"].select(applicant, record(F.lit("attendance")), F.col("yes").alias("accepted"), "present"),
+        "teams": named.distinct().select(keyed("team"), *TEAM),
+        "projects": described.select(keyed("project"), keyed("team"), F.col("yes").alias("submitted"), *PROJECT[2:]),
+        "team_members": members(kept["teams"], "team"),
+        "project_members": members(kept["submissions"].where("yes"), "project"),
         "outcomes": _union(refused).select("role", "row_number", "source_partition", outcome.alias("outcome"), F.coalesce("conflict", "reason").alias("problem")),
         "coverage": spark.createDataFrame([(r, s.required, "missing_optional" if s.rows is None else "available") for r, s in sorted(sources.items())], "role string, required boolean, state string"),
     }

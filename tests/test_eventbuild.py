@@ -77,6 +77,21 @@ def test_doubled_record_ids_and_rejects(spark):
     assert got["applicants"].count() == 1
 
 
+def test_ids_are_stored_as_given(spark, monkeypatch):
+    """References are many times as long as ids: stored with every row they took most of the disk."""
+    written, before = [], eventbuild.stored
+    monkeypatch.setattr(eventbuild, "stored", lambda df, *a, **k: written.append(df.columns) or before(df, *a, **k))
+    eventbuild.build(spark, "e", sources(spark))
+    assert written and not [c for columns in written for c in columns if c.endswith("_ref")]
+
+
+def test_an_id_like_a_row_of_its_own(spark):
+    teams = frame(spark, ["team_id", "track"], [("1", "a", "row:4:S", "x"), ("2", "a", "row:4:S", "y")])
+    submissions = frame(spark, ["project_id", "team_id", "submission_status", "track"], [("1", "a", "P1", "T1", "done", "x"), ("2", "a", "P2", "T1", "done", "x"), ("3", "a", "P3", None, "done", "x")])
+    got = eventbuild.build(spark, "e", {"applications": Source(frame(spark, [], [("1", "a")])), "teams": Source(teams), "submissions": Source(submissions, positive=("done",))})
+    assert sorted((r.role, r.row_number, r.problem) for r in got["outcomes"].collect() if r.problem) == [("teams", 2, "team"), ("teams", 3, "team")]
+
+
 def test_broken_references(spark):
     got = eventbuild.build(spark, "e", sources(spark))
     lone = got["teams"].where("false")
