@@ -63,6 +63,16 @@ def test_random_texts(spark, order, monkeypatch):
     compared(lmscore.score(df, F.col("learn"), order), rows, order)
 
 
+def test_two_words_of_context_count(spark):
+    """After ``a`` alone b and c are as likely; what stands before it tells them apart."""
+    learn = [(i, "x a b y a c", True) for i in range(40)]
+    rows = [*learn, (100, "x a b", False), (101, "x a c", False)]
+    got = {r["doc_id"]: r["score"] for r in lmscore.score(spark.createDataFrame(rows, "doc_id long, text string, learn boolean"), F.col("learn")).collect()}
+    known = lmscore.score(spark.createDataFrame([*learn, (100, "y a c", False), (101, "y a b", False)], "doc_id long, text string, learn boolean"), F.col("learn"))
+    other = {r["doc_id"]: r["score"] for r in known.collect()}
+    assert got[100] - got[101] + other[100] - other[101] > 0.1  # 0 where a context is one word
+
+
 def test_query(spark, sf, docs):
     rows = [(r["doc_id"], r["text"], zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2) for r in docs.select("doc_id", "text").collect()]
     found = queries.op12_elias_fano_lm(spark, sf)
