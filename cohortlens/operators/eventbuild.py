@@ -168,5 +168,16 @@ def integrity(relations: dict[str, DataFrame]) -> DataFrame:
     children = [("team_members", "team_ref"), ("team_members", "applicant_ref"), ("project_members", "project_ref"), ("project_members", "applicant_ref"), ("attendance", "applicant_ref"), ("projects", "team_ref")]
     for name, key in children:
         child = relations[name].where(F.col(key).isNotNull()) if name == "projects" else relations[name]
-        found.append(child.join(parents[key], key, "left_anti").select(F.lit(f"{name}: unknown {key}").alias("rule"), F.col(key).alias("ref")))
+        found.append(_repeated(child.groupBy(key).count().join(parents[key], key, "left_anti"), key).select(F.lit(f"{name}: unknown {key}").alias("rule"), F.col(key).alias("ref")))
     return _union(found)
+
+
+#: Rows that a part of a key gives at once.
+PART_ROWS = 10_000
+
+
+def _repeated(counted: DataFrame, key: str) -> DataFrame:
+    """A row for each of a key's ``count``; a key of many is dealt out in parts, as rows of one key met in a join would all go to one task."""
+    parts = counted.select(key, "count", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(count - 1) div {PART_ROWS}"))).alias("_part")).repartition(key, "_part")
+    size = F.least(F.lit(PART_ROWS).cast("long"), F.col("count") - F.col("_part") * PART_ROWS).cast("int")
+    return parts.select(key, F.explode(F.array_repeat(F.lit(0), size)).alias("_n")).select(key)

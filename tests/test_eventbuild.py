@@ -98,3 +98,15 @@ def test_broken_references(spark):
     assert {r.rule for r in eventbuild.integrity({**got, "teams": lone}).collect()} == {"team_members: unknown team_ref", "projects: unknown team_ref"}
     assert {r.rule for r in eventbuild.integrity({**got, "projects": got["projects"].withColumn("submitted", F.lit(None).cast("boolean"))}).collect()} == {"project_members: unknown project_ref"}
     assert {r.rule for r in eventbuild.integrity({**got, "applicants": got["applicants"].unionByName(got["applicants"])}).collect()} == {"applicants: doubled"}
+
+
+def test_a_broken_reference_of_many_rows(spark, monkeypatch):
+    """Each row is found, though a key's rows meet no join: what is joined is one row a key."""
+    monkeypatch.setattr(eventbuild, "PART_ROWS", 7)
+    got = eventbuild.build(spark, "e", sources(spark))
+    many = spark.range(100).select(F.when(F.col("id") < 93, "lost").alias("applicant_ref"), F.lit("s").alias("source_ref"), F.lit(True).alias("accepted"), F.lit(True).alias("present"))
+    found = eventbuild.integrity({**got, "attendance": many})
+    assert sorted((r.rule, r.ref, r["count"]) for r in found.groupBy("rule", "ref").count().collect() if r.ref) == [("attendance: unknown applicant_ref", "lost", 93)]
+    assert found.where("ref is null").count() == 7
+    left = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "LeftAnti" in line]
+    assert left and "Aggregate" in found._jdf.queryExecution().optimizedPlan().toString().split(left[0])[1].splitlines()[1]
