@@ -1,4 +1,4 @@
-"""Text functions that Spark has no built-in for, as Arrow-batched pandas UDFs."""
+"""Text functions that Spark has no built-in for: pandas UDFs, and a plain one where texts are whole pages."""
 
 from __future__ import annotations
 
@@ -38,6 +38,5 @@ def visible(html: str | None) -> str | None:
     return " ".join(words)[:VISIBLE_CHARS]
 
 
-@F.pandas_udf(StringType())
-def visible_text(c: pd.Series) -> pd.Series:
-    return c.map(visible)
+#: Rows reach Python a hundred at a time: an Arrow batch would be thousands of pages, whatever their length.
+visible_text = F.udf(visible, StringType(), useArrow=False)

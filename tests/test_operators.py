@@ -108,3 +108,9 @@ def test_allowed_properties(spark):
     rows = [("metric_selected", {"cohort_key": "all", "metric_key": "BAD KEY", "x": "y"}), ("report_opened", {"a": "b"}), ("other", {})]
     got = interactions.allowed(spark.createDataFrame(rows, "event string, props map<string,string>")).collect()
     assert [(r.event, r.props) for r in got] == [("metric_selected", {"cohort_key": "all"}), ("report_opened", {})]
+
+
+def test_pages_reach_python_a_hundred_at_a_time(spark):
+    """Thousands of pages at once, as in an Arrow batch, take memory by their length."""
+    df = spark.range(1).select(python_text.visible_text(F.lit("<p>a</p>")).alias("t"))
+    assert "BatchEvalPython" in df._jdf.queryExecution().executedPlan().toString() and df.first().t == "a"
