@@ -84,3 +84,17 @@ def test_columns(spark):
     rows = [(1, "see a@b.co", ["x"]), (2, None, None), (3, "Built tools by ann-lee", ["Ann Lee", None]), (4, "", [])]
     df = spark.createDataFrame(rows, "i int, t string, k array<string>").select("i", redaction.marker_of("t").alias("m"), redaction.sanitised_of(F.col("t"), F.col("k")).alias("s"), redaction.sanitised_of(F.col("t")).alias("a"), redaction.without_legacy_of("t").alias("l"))
     assert [tuple(r) for r in df.orderBy("i").collect()] == [(1, "email", "see", "see", "see a@b.co"), (2, None, None, None, None), (3, None, "Built tools by", "Built tools by ann-lee", "Built tools by ann-lee"), (4, None, "", "", "")]
+
+
+def test_proper_nouns_without_a_look_at_each_word(monkeypatch):
+    texts = ["Ada met foo-Bar and Foo-bar", "a&B Cd+Ef Ghi@Jkl _Mno Éva éva Élan-Vital", "x-Ada -Ada &Bob +Éva", "Built THE ǅungla ªbc Word.Word Word", "", "ab Ab Abc aBC 1Abc A1c", "ſhort Kelvin ßtraße Übung-Über"]
+    rng = random.Random(5)
+    texts += ["".join(rng.choice("aAbé É-&+@_1. ") for _ in range(60)) for _ in range(3000)]
+    plain = [redaction.PROPER_NOUN.sub(lambda m: " " if redaction._proper(m[0]) else m[0], t) for t in texts]
+    assert [redaction._without_proper(t) for t in texts] == plain
+    gaps = [t.replace("a", " ").replace("b", ".") for t in texts]
+    assert [redaction._without_gaps(t) for t in gaps] == [redaction.GAP.sub(" ", t) for t in gaps]
+    asked = []
+    monkeypatch.setattr(redaction, "_proper", lambda w: bool(asked.append(w)))
+    redaction.sanitised("these are plain words and One name among very many of them")
+    assert set(asked) == {"One"}
