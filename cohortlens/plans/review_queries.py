@@ -95,7 +95,8 @@ def _walk(spark, d):
         '{"part":{"', name, '":"', F.col("p_name"), '"},"deep":', deep("["), '"', F.col("p_type"), F.when(key % 13 == 0, "@").otherwise(""), '"', deep("]"), ',"sizes":[', F.expr("repeat('1,', cast(p_size * 3 as int))"),
         '2],"text":"', F.expr("repeat(concat(p_name, ' '), if(p_partkey % 19 = 0, 2000, 1))"), '"', F.when(key % 17 > 0, "}").otherwise(""),
     )
-    return payloads.nodes(table(spark, d, "part").select("p_partkey", payload.alias("payload")), "p_partkey", "payload")
+    parts = spread(table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_size"))  # payloads are hundreds of times as long as these
+    return payloads.nodes(parts.select("p_partkey", payload.alias("payload")), "p_partkey", "payload")
 
 
 @query(f"""WITH {_TREE},

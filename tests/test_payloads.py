@@ -65,3 +65,10 @@ def test_walk(spark):
 def test_a_name_twice(spark):
     df = spark.createDataFrame([(1, '{"a":1,"a":2}')], "i int, p string")
     assert payloads.first_problems(payloads.nodes(df, "i", "p"), lambda t: F.lit(None).cast("string")).first()["problem"] == "unparsable"
+
+
+def test_payloads_of_a_small_table_are_made_by_all_cores(spark, sf):
+    """A table of one split gives payloads hundreds of times as long, which one task made and parsed."""
+    from cohortlens.plans import queries, review_queries  # in this order
+
+    assert "payload_literals" in queries.QUERIES and len(review_queries._walk(spark, sf).where("depth = 0").select(F.input_file_name()).distinct().collect()) > 1
