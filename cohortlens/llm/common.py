@@ -28,10 +28,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: this cuts the lineage and survives a lost executor."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+def stored(df: DataFrame, name: str, compression: str = "zstd", tidy: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: this cuts the lineage and survives a lost executor.
+
+    ``tidy``: the shuffle files behind it go once it is written, not when the driver happens to collect its garbage.
+    """
+    path, conf, cleanup = new_path(df.sparkSession, name), df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(cleanup, "false")
+    try:
+        conf.set(cleanup, "true" if tidy else before)
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        conf.set(cleanup, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

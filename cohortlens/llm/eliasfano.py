@@ -23,7 +23,7 @@ class EliasFano:
         n, top = len(values), int(values[-1]) + 1 if len(values) else 1
         bits = max(0, (top // max(n, 1)).bit_length() - 1)
         values = values.astype(np.uint64)
-        low = (values[:, None] >> np.arange(bits, dtype=np.uint64) & np.uint64(1)).astype(np.uint8)
+        low = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(n, 8)[:, : -(-bits // 8)], axis=1, bitorder="little")[:, :bits]
         high = np.zeros(n + (top >> bits) + 1, np.uint8)
         high[(values >> np.uint64(bits)).astype(np.int64) + np.arange(n)] = 1
         return {

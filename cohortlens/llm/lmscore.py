@@ -8,8 +8,9 @@ How it runs: documents are packed into blocks (rows of about ``BLOCK_BYTES`` of
 these), and written once. For each order, a block sends each shard its distinct n-grams there, with training counts, the
 context's count and the quantised lower-order probability (order 1: the words). A shard is one group of bounded size: it adds up the
 blocks' counts, smooths and quantises, lays the level down as a memory-mapped Elias-Fano trie level (:mod:`eliasfano`), and
-answers the blocks by successor search relative to the context: a code for each n-gram, or none. Blocks join their answers and go on to the
-next order, and last to sums per document. Word and node numbers are ``place * shards + shard``.
+answers the blocks by successor search relative to the context: a code for each n-gram, or none. An n-gram that one block alone has is
+answered by a mark: the block knows its count. So it does for all n-grams that hold such a one, which aren't sent. Blocks join their answers and go on to the
+next order; with the last order's messages goes a sum per document, and places that wait for an answer are added to it. Word and node numbers are ``place * shards + shard``.
 
 Scale: n-grams are distinct per block before they are shuffled, so a frequent one is a row's entry a block. The shard of an n-gram is that of its context, and
 a context of many occurrences is dealt over more shards by its words, as its count is sent along. Shards grow in number
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm import common
-from cohortlens.llm.eliasfano import NONE, STEPS, Level
+from cohortlens.llm.eliasfano import NONE, STEPS, Level, quantised
 
 ORDER = 3
 #: Chosen at order 2: the weight of the lower order in a context, in occurrences; of 64, 512 and 4096 the one that gave rows of the learnable fold 3 of 7
 #: of sf0.1 the highest probability, learnt from the other learnable folds.
 MU = 512.0
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
+#: In place of a number and of a code: no other block holds the n-gram, so the block that does knows all of it.
+OWN, OWN_CODE = -2, NONE - 1
 #: Tokens a shard answers for, on average, and occurrences of a context for which it gets one more shard.
 SHARD_TOKENS = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -53,6 +57,8 @@ def _pack(*arrays: np.ndarray) -> bytes:
     parts = []
     for x in arrays:
         x = np.ascontiguousarray(x)
+        if x.dtype == np.int64 and len(x) and x.min() >= 0 and x.max() < 1 << 32:
+            x = x.astype(np.uint32)
         parts.append(struct.pack("<2sxxI", x.dtype.str[1:].encode(), len(x)) + x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes())
     return zstandard.ZstdCompressor(3).compress(b"".join(parts))
 
@@ -100,7 +106,7 @@ def blocks(docs: DataFrame, learn: Column) -> tuple[DataFrame, str]:
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column("row")[a].as_py()], pa.int64()), ids, *(pa.array([p], pa.binary()) for p in packed)], ["block", "doc_ids", "words", "seq", "sizes", "held"])
 
     found = kept.mapInArrow(rows, f"block long, doc_ids array<{kind}>, words binary, seq binary, sizes binary, held binary")
-    return common.stored(found, "lm-blocks", "uncompressed"), kind
+    return common.stored(found, "lm-blocks", "uncompressed", tidy=True), kind
 
 
 def _word_shards(words: list[bytes], shards: int) -> np.ndarray:
@@ -109,13 +115,6 @@ def _word_shards(words: list[bytes], shards: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words)) % np.uint64(shards)
 
 
-def _messages(block: int, shard: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
-    """The columns, which are sorted by shard, a message for each shard."""
-    held, starts = np.unique(shard, return_index=True)
-    for s, a, b in zip(held.tolist(), starts, [*starts[1:], len(shard)]):
-        yield s, block, _pack(*(c[a:b] for c in columns))
-
-
 class _Block:
     """A block with the answers so far: per place the node of the n-gram that ends there, its count, and the probability."""
 
@@ -135,59 +134,112 @@ class _Block:
         return order, shard[order], np.bincount(self.seq[self.learnt], minlength=len(self.words))[order]
 
     def learn_words(self, answers: list[bytes]) -> None:
-        order, _, _ = self.own_words()
-        number, count = (np.concatenate(x) for x in zip(*map(_unpack, answers)))
+        order, _, times = self.own_words()
+        number, count = (np.concatenate(x).astype(np.int64) for x in zip(*map(_unpack, answers)))
         self.number, self.count = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        self.number[order], self.count[order] = number, count
+        self.number[order] = number = number + OWN
+        self.count[order] = np.where(number == OWN, times, count)
         self.c = self.count[self.seq]
         self.p = (self.c + 1.0) / (self.total + self.types + 1)
         self.node, self.node_count, self.unit, self.order = self.number[self.seq], self.c, self.seq.astype(np.int64), 1
 
     def grams(self) -> None:
-        """The distinct n-grams of the next order whose context was seen in training."""
+        """The distinct n-grams of the next order whose parts were seen in training, each with its code as if no other block held it; those to be sent have no part that is this block's own."""
         k = self.order + 1
-        self.context = np.full(len(self.seq), -1, np.int64)
-        self.context[1:] = np.where(self.depth[1:] >= k - 1, self.node[:-1], -1)
         self.context_count = np.zeros(len(self.seq), np.int64)
-        self.context_count[1:] = self.node_count[:-1]
-        self.open = (self.context >= 0) & (self.context_count > 0)
-        self.places = np.flatnonzero(self.open & (self.number[self.seq] >= 0))
-        key = self.unit[self.places - 1] * len(self.words) + self.seq[self.places]
-        _, first, self.inverse = np.unique(key, return_index=True, return_inverse=True)
-        at = self.places[first]
-        h, w = self.context[at], self.number[self.seq[at]]
-        salts = 1 + self.context_count[at] // SHARD_TOKENS
-        shard = ((h + (w % salts) * 1_000_003).astype(np.uint64) * _MIX >> np.uint64(20)) % np.uint64(self.shards)
-        self.sent = np.lexsort((w, h, shard))
-        self.shard, self.at, self.h, self.w = shard[self.sent], at[self.sent], h[self.sent], w[self.sent]
-        self.times = np.bincount(self.inverse[self.learnt[self.places]], minlength=len(first))[self.sent]
+        self.context_count[1:] = np.where(self.depth[1:] >= k - 1, self.node_count[:-1], 0)
+        self.lower = np.where(self.context_count > 0, self.mu * self.p / (self.context_count + self.mu), self.p)
+        self.places = np.flatnonzero((self.context_count > 0) & (self.node_count > 0))
+        first, self.inverse, _ = _groups(self.unit[self.places - 1] * len(self.words) + self.seq[self.places])
+        self.at = self.places[first]
+        self.times = np.bincount(self.inverse[self.learnt[self.places]], minlength=len(first))
+        self.lower_codes = np.minimum(np.rint(-np.log10(self.p[self.at]) * STEPS), NONE - 1).astype(np.uint16)
+        self.codes = np.where(self.times > 0, np.minimum(quantised(_smoothed(self.times, self.lower_codes, self.context_count[self.at], self.mu)), OWN_CODE - 1), NONE).astype(np.uint16)
+        sent = np.flatnonzero((self.node[self.at - 1] >= 0) & (self.node[self.at] >= 0))
+        h, w = self.node[self.at[sent] - 1], self.number[self.seq[self.at[sent]]]
+        sent = sent[order := np.argsort(_joint(h, w))]
+        h, w = h[order], w[order]
+        salts = 1 + self.context_count[self.at[sent]] // SHARD_TOKENS
+        shard = (((h + (w % salts) * 1_000_003).astype(np.uint64) * _MIX >> np.uint64(20)) % np.uint64(self.shards)).astype(np.int64)
+        order = np.argsort(shard.astype(np.uint16) if self.shards <= 1 << 16 else shard, kind="stable")
+        self.sent, self.shard, self.h, self.w = sent[order], shard[order], h[order], w[order]
 
     def messages(self) -> Iterator[tuple[int, int, bytes]]:
-        self.grams()
-        codes = np.minimum(np.rint(-np.log10(self.p[self.at]) * STEPS), NONE - 1).astype(np.uint16)
-        yield from _messages(self.block, self.shard, [self.h, self.w, self.context_count[self.at], self.times.astype(np.uint32), codes])
+        """The n-grams for each shard, contexts by their distance from the one before."""
+        held, starts = np.unique(self.shard, return_index=True)
+        for s, a, b in zip(held.tolist(), starts, [*starts[1:], len(self.shard)]):
+            own = self.sent[a:b]
+            yield s, self.block, _pack(np.diff(self.h[a:b], prepend=0), self.w[a:b], self.context_count[self.at[own]], self.times[own], self.lower_codes[own])
 
-    def learn(self, answers: list[bytes], nodes: bool) -> None:
+    def learn(self, answers: list[bytes]) -> None:
         self.grams()
-        lower = np.where(self.open, self.mu * self.p / (self.context_count + self.mu), self.p)
-        node, count, unit = (np.full(len(self.seq), v, np.int64) for v in (-1, 0, -1))
+        node, count = np.where(self.times > 0, OWN, -1), self.times.astype(np.int64)
         if len(self.sent):
-            back = np.empty(len(self.sent), np.int64)
-            back[self.sent] = np.arange(len(self.sent))
-            place = back[self.inverse]
-            got = [np.concatenate(x)[place] for x in zip(*map(_unpack, answers))]
-            there = got[0] != NONE
-            lower[self.places[there]] = 10.0 ** (-got[0][there].astype(float) / STEPS)
-            unit[self.places] = self.inverse
-            if nodes:
-                node[self.places], count[self.places] = got[1], got[2]
-        self.p, self.node, self.node_count, self.unit, self.order = lower, node, count, unit, self.order + 1
-
-    def scores(self) -> list[np.ndarray]:
+            code, number, n = (np.concatenate(x) for x in zip(*map(_unpack, answers)))
+            told = self.sent[code != OWN_CODE]
+            self.codes[told] = code[code != OWN_CODE]
+            node[told], count[told] = -1, 0
+            there = self.sent[code < OWN_CODE]
+            node[there], count[there] = number, n
+        self.p, codes = self.lower, self.codes[self.inverse]
+        there = codes != NONE
+        self.p[self.places[there]] = 10.0 ** (-codes[there].astype(float) / STEPS)
+        self.node, self.node_count, self.unit = (np.full(len(self.seq), v, np.int64) for v in (-1, 0, -1))
+        self.node[self.places], self.node_count[self.places], self.unit[self.places] = node[self.inverse], count[self.inverse], self.inverse
+        self.order += 1
+
+    def rest(self, order: int) -> bytes:
+        """Sums per document without the places whose n-grams are sent, and for these the document, the n-gram and both of its values."""
         starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
         add = lambda x: np.add.reduceat(x, starts)
         base = np.log10((self.c + 1.0) / (self.total + self.types + 1)) if self.total else np.zeros(len(self.c))
-        return [self.sizes.astype(np.int64), add((self.c > 0).astype(np.int64)), add(base), add(np.log10(self.p))]
+        waiting = [np.empty(0, np.uint32), np.empty(0, np.uint32), np.empty(0), np.empty(0, np.uint16)]
+        if order == 1:
+            log = np.log10(self.p)
+        else:
+            log, codes = np.log10(self.lower), self.codes[self.inverse]
+            there = codes != NONE
+            log[self.places[there]] = codes[there] / -STEPS
+            number = np.full(len(self.codes), -1, np.int64)
+            number[self.sent] = np.arange(len(self.sent))
+            gram = number[self.inverse]
+            at, gram = self.places[gram >= 0], gram[gram >= 0]
+            waiting = [np.repeat(np.arange(len(self.sizes)), self.sizes)[at].astype(np.uint32), gram.astype(np.uint32), np.log10(self.lower[self.at[self.sent]]), self.codes[self.sent]]
+            log[at] = 0.0
+        return _pack(self.held, self.sizes, add((self.c > 0).astype(np.int64)), add(base), add(log), *waiting)
+
+
+def _scores(rest: bytes, answers: list[bytes]) -> list[np.ndarray]:
+    """learnt, n_tokens, n_known, base_score and score of a block's documents."""
+    held, sizes, known, base, score, doc, gram, lower, own = _unpack(rest)
+    if len(gram):
+        code = np.concatenate([_unpack(a)[0] for a in answers])
+        code = np.where(code == OWN_CODE, own, code)
+        score = score + np.bincount(doc, np.where(code == NONE, lower, code / -STEPS)[gram], len(score))
+    return [held.astype(bool), sizes.astype(np.int64), known.astype(np.int64), base, score]
+
+
+def _joint(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A number for each n-gram that orders by context and word."""
+    bits = int(w.max(initial=0)).bit_length()
+    if int(h.max(initial=0)).bit_length() + bits > 63:
+        h = np.unique(h, return_inverse=True)[1]
+    return h << bits | w
+
+
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each distinct key, which rise, the place of one; for each key its number among these; and the sizes."""
+    order = np.argsort(key)
+    held = key[order]
+    new = np.append(True, held[1:] != held[:-1])[:len(key)]
+    inverse = np.empty(len(key), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    return order[starts], inverse, np.diff(np.append(starts, len(key)))
+
+
+def _smoothed(count: np.ndarray, lower_codes: np.ndarray, context_count: np.ndarray, mu: float) -> np.ndarray:
+    return (count + mu * 10.0 ** (-lower_codes.astype(float) / STEPS)) / (context_count + mu)
 
 
 def _word_shard(table: pa.Table, shards: int) -> pa.Table:
@@ -195,15 +247,21 @@ def _word_shard(table: pa.Table, shards: int) -> pa.Table:
     sent = [_unpack(m.as_py()) for m in table.column("gram")]
     shard = table.column("shard")[0].as_py()
     counts: dict[bytes, int] = {}
-    lists = []
+    lists, seen, shared = [], set(), set()
     for words, times in sent:
         words = words.tobytes().split(b"\n")
         lists.append(words)
+        shared |= seen.intersection(words)
+        seen.update(words)
         for w, n in zip(words, times.tolist()):
             if n:
                 counts[w] = counts.get(w, 0) + n
-    number = {w: i * shards + shard for i, w in enumerate(sorted(counts))}
-    answers = [_pack(np.fromiter((number.get(w, -1) for w in x), np.int64, len(x)), np.fromiter((counts.get(w, 0) for w in x), np.int64, len(x))) for x in lists]
+    # A word of one block is its own; those of many occurrences have small numbers, which take less room.
+    number = dict.fromkeys(counts, 0)
+    held = sorted(shared & counts.keys(), key=lambda w: (-counts[w], w))
+    number.update((w, i * shards + shard - OWN) for i, w in enumerate(held))
+    told = {w: counts[w] for w in held}
+    answers = [_pack(np.fromiter(map(number.get, x, repeat(-1 - OWN)), np.int64, len(x)), np.fromiter(map(told.get, x, repeat(0)), np.int64, len(x))) for x in lists]
     blank = [None] * len(answers)
     return _answers([*table.column("block").to_pylist(), None], [shard] * (len(answers) + 1), [*blank, len(counts)], [*blank, sum(counts.values())], [*answers, None])
 
@@ -213,27 +271,28 @@ def _answers(block: list, shard: list, types: list, tokens: list, answer: list)
 
 
 def _gram_shard(table: pa.Table, shards: int, nodes: bool, mu: float) -> pa.Table:
-    """The level of one shard, built from all blocks' n-grams, and its answers to each block."""
+    """The level of one shard, built from the n-grams that several blocks sent, and its answers to each block."""
     sent = [_unpack(m.as_py()) for m in table.column("gram")]
-    h, w, context_count, times, codes = (np.concatenate(x) for x in zip(*sent))
-    contexts, words = np.unique(h), np.unique(w)
-    _, first, inverse = np.unique(np.searchsorted(contexts, h) * len(words) + np.searchsorted(words, w), return_index=True, return_inverse=True)
+    sizes = [len(x[0]) for x in sent]
+    h, w, context_count, times, codes = (np.concatenate(x) for x in zip(*([np.cumsum(x[0], dtype=np.int64), *x[1:]] for x in sent)))
+    w = w.astype(np.int64)
+    first, inverse, n_blocks = _groups(_joint(h, w))
     counts = np.bincount(inverse, times, len(first)).astype(np.int64)
-    first, counts = first[counts > 0], counts[counts > 0]
-    p = (counts + mu * 10.0 ** (-codes[first].astype(float) / STEPS)) / (context_count[first] + mu)
+    shared = (n_blocks > 1)[inverse]
+    kept = (n_blocks > 1) & (counts > 0)
+    first, counts = first[kept], counts[kept]
     shard = table.column("shard")[0].as_py()
-    answers = []
-    with Level.file(h[first], w[first], p, counts) as file:
+    answers, stop = [], 0
+    with Level.file(h[first], w[first], _smoothed(counts, codes[first], context_count[first], mu), counts) as file:
         level = Level(file)
-        for own in sent:
-            at = level.find(own[0], own[1])
-            there = at >= 0
-            answer = [np.where(there, level.codes[np.maximum(at, 0)] if len(first) else NONE, NONE).astype(np.uint16)]
-            if nodes:
-                count = np.zeros(len(at), np.int64)
-                count[there] = level.counts(at[there])
-                answer += [np.where(there, at * shards + shard, -1), count]
-            answers.append(_pack(*answer))
+        for n in sizes:
+            start, stop = stop, stop + n
+            asked = np.flatnonzero(shared[start:stop]) + start
+            at = level.find(h[asked], w[asked])
+            there, at = asked[at >= 0], at[at >= 0]
+            answer = np.where(shared[start:stop], NONE, OWN_CODE).astype(np.uint16)
+            answer[there - start] = np.minimum(level.codes[at], OWN_CODE - 1)
+            answers.append(_pack(answer, at * shards + shard, level.counts(at)) if nodes else _pack(answer))
     blank = [None] * len(answers)
     return _answers(table.column("block").to_pylist(), [shard] * len(answers), blank, blank, answers)
 
@@ -257,7 +316,7 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER, mu: float = MU) ->
 
     sent_schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("gram", pa.binary())])
     words = state.mapInArrow(send_words, _SENT).groupBy("shard").applyInArrow(lambda table: _word_shard(table, shards), _ANSWER)
-    words = common.stored(words, "lm-words", "uncompressed")
+    words = common.stored(words, "lm-words", "uncompressed", tidy=True)
     totals = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     total, types = int(totals[0]), int(totals[1])
 
@@ -276,31 +335,51 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER, mu: float = MU) ->
             by_level[a["level"]].append(a["answer"])
         block.learn_words(by_level[0])
         for k in range(1, levels):
-            block.learn(by_level[k], k + 1 < order)
+            block.learn(by_level[k])
         return block
 
+    answered = lambda nodes: lambda table: _gram_shard(table, shards, nodes, mu)
     levels = [words]
-    for k in range(2, order + 1):
+    for k in range(2, order):
 
         def send(batches: Iterator[pa.RecordBatch], n: int = len(levels)) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(batch.num_rows):
-                    for s, block, gram in block_of(batch.slice(i, 1).to_pylist()[0], n).messages():
-                        yield pa.RecordBatch.from_pylist([{"shard": s, "block": block, "gram": gram}], sent_schema)
+                    block = block_of(batch.slice(i, 1).drop_columns(["doc_ids"]).to_pylist()[0], n)
+                    block.grams()
+                    for s, of, gram in block.messages():
+                        yield pa.RecordBatch.from_pylist([{"shard": s, "block": of, "gram": gram}], sent_schema)
+
+        grams = joined(levels).mapInArrow(send, _SENT).groupBy("shard").applyInArrow(answered(True), _ANSWER)
+        levels.append(common.stored(grams, f"lm-grams-{k}", "uncompressed", tidy=True))
 
-        answered = lambda nodes: lambda table: _gram_shard(table, shards, nodes, mu)
-        grams = joined(levels).mapInArrow(send, _SENT).groupBy("shard").applyInArrow(answered(k < order), _ANSWER)
-        levels.append(common.stored(grams, f"lm-grams-{k}", "uncompressed"))
+    def send_last(batches: Iterator[pa.RecordBatch], n: int = len(levels)) -> Iterator[pa.RecordBatch]:
+        """The messages of the last order, and a row without a shard for what is left of the block."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                ids = one.column("doc_ids")
+                row = lambda s, of, data, ids: pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([of], pa.int64()), pa.array([data], pa.binary()), ids], ["shard", "block", "gram", "doc_ids"])
+                block = block_of(one.drop_columns(["doc_ids"]).to_pylist()[0], n)
+                if order > 1:
+                    block.grams()
+                    for message in block.messages():
+                        yield row(*message, pa.nulls(1, ids.type))
+                yield row(None, block.block, block.rest(order), ids)
+
+    last = common.stored(joined(levels).mapInArrow(send_last, f"{_SENT}, doc_ids array<{kind}>"), "lm-last", "uncompressed", tidy=True)
+    answers = last.where("shard is not null").select("shard", "block", "gram").groupBy("shard").applyInArrow(answered(False), _ANSWER)
+    answers = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("shard", "answer"))).alias("answers"))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                block = block_of(one.drop_columns(["doc_ids"]).to_pylist()[0], order)
-                n = len(block.sizes)
+                found = _scores(one.column("gram")[0].as_py(), [a["answer"] for a in one.column("answers")[0].as_py() or []])
                 yield pa.RecordBatch.from_arrays(
-                    [one.column("doc_ids").flatten(), pa.array(block.held.astype(bool)), *(pa.array(x) for x in block.scores()), pa.array(np.full(n, total))],
+                    [one.column("doc_ids").flatten(), *map(pa.array, found), pa.array(np.full(len(found[0]), total))],
                     ["doc_id", "learnt", "n_tokens", "n_known", "base_score", "score", "train_tokens"],
                 )
 
-    return joined(levels).mapInArrow(sums, f"doc_id {kind}, learnt boolean, n_tokens long, n_known long, base_score double, score double, train_tokens long")
+    rest = last.where("shard is null").select("block", "gram", "doc_ids").join(answers, "block", "left")
+    return rest.mapInArrow(sums, f"doc_id {kind}, learnt boolean, n_tokens long, n_known long, base_score double, score double, train_tokens long")

@@ -73,6 +73,22 @@ def test_two_words_of_context_count(spark):
     assert got[100] - got[101] + other[100] - other[101] > 0.1  # 0 where a context is one word
 
 
+def test_ngrams_of_one_block_are_not_sent():
+    """Words that no other block has settle all n-grams that hold them: nothing goes to a shard, and the sums are whole."""
+    text, learnt = b"a b a c", lmscore._pack(np.ones(1, np.uint8))
+    words, seq = [b"", b"a", b"b", b"c"], np.array([1, 2, 1, 3, 0], np.uint32)
+    block = lmscore._Block({"block": 7, "words": lmscore._pack(np.frombuffer(b"\n".join(words), np.uint8)), "seq": lmscore._pack(seq), "sizes": lmscore._pack(np.array([5], np.uint32)), "held": learnt}, 1, 5, 4)
+    block.learn_words([lmscore._pack(np.zeros(4, np.int64), np.zeros(4, np.int64))])
+    for k in (2, 3):
+        block.grams()
+        assert not list(block.messages())
+        if k == 2:
+            block.learn([])
+    _, (expected,) = plain([(1, text.decode(), True)], 3)
+    learnt, *got = (x[0] for x in lmscore._scores(block.rest(3), []))
+    assert learnt and tuple(got[:2]) == expected[2:4] and got[2] == pytest.approx(expected[4]) and abs(got[3] - expected[5]) <= 15 / STEPS
+
+
 def test_query(spark, sf, docs):
     rows = [(r["doc_id"], r["text"], zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2) for r in docs.select("doc_id", "text").collect()]
     found = queries.op12_elias_fano_lm(spark, sf)
