@@ -4,7 +4,7 @@ A row is kept, or rejected (its applicant is unknown, or it lacks the id of its
 record id stands twice in a source whose ids must be unique, or its team or project is described in more than one way. All rows of
 such a team or project are set apart, as which description holds can't be known. Each role's rows are stored once, in its own columns
 and with ids as they were given; contested keys are stored too, all relations are read from these tables, and ``outcomes`` accounts for
-every row. References, many times as long as ids, are made last. Nothing gathers a group: descriptions of a team or project are
+every row. The shuffle files of a step go with it. References, many times as long as ids, are made last. Nothing gathers a group: descriptions of a team or project are
 compared by their smallest and largest, whatever their number, and rows meet a population or conflicts with one row for each key,
 so that a hot key's rows can be split (AQE does).
 
@@ -77,7 +77,7 @@ def _contested(claims: DataFrame, key: str, described: list[str]) -> DataFrame:
     """Keys that are described in more than one way; a null is a value of its own."""
     what = F.struct(*described)
     found = claims.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(what).alias("a"), F.max(what).alias("b"))
-    return stored(found.where("not (a <=> b)").select(F.concat(F.lit("="), F.col(key)).alias("_key"), F.lit(True).alias(f"{key}_contested")), "event-contested")
+    return stored(found.where("not (a <=> b)").select(F.concat(F.lit("="), F.col(key)).alias("_key"), F.lit(True).alias(f"{key}_contested")), "event-contested", tidy=True)
 
 
 def _told(rows: DataFrame, contested: dict[str, DataFrame]) -> DataFrame:
@@ -106,12 +106,14 @@ def build(spark: SparkSession, event: str, sources: dict[str, Source]) -> dict[s
             staged[role] = rows.join(doubled.select("external_record_id", F.lit("doubled_record").alias("conflict")), "external_record_id", "left")
         else:
             staged[role] = rows.withColumn("conflict", F.lit(None).cast("string"))
-    applied = stored(staged["applications"].where("conflict is null").select("identity").distinct().withColumn("known", F.lit(True)), "event-applicants")
-    tables = {}
+    applied = stored(staged["applications"].where("conflict is null").select("identity").distinct().withColumn("known", F.lit(True)), "event-applicants", tidy=True)
+    tables, given_ids = {}, {role: rows.select("identity").distinct() for role, rows in staged.items()}
     for role, rows in staged.items():
         lacking = {"teams": "team is null", "submissions": "project is null"}.get(role, "false")
         reason = F.when(F.col("conflict").isNotNull(), None).when(F.col("known").isNull(), "invalid_relation").when(F.expr(lacking), "malformed_record")
-        tables[role] = stored(rows.join(applied, "identity", "left").withColumn("reason", reason).drop("known"), "event-rows", compression="zstd")
+        # The known ones among a role's own identities: where these are few, its rows need no shuffle.
+        known = applied if role == "applications" else stored(given_ids[role].join(applied, "identity"), "event-known", tidy=True)
+        tables[role] = stored(rows.join(known, "identity", "left").withColumn("reason", reason).drop("known"), "event-rows", compression="zstd", tidy=True)
 
     # An absent source has no rows; its columns are those that the relations need.
     for role in set(NEEDED) - set(tables):

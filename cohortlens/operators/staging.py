@@ -20,10 +20,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, path: str | None = None, compression: str = "snappy") -> DataFrame:
-    """``df`` written to the shared folder and read back: the lineage ends there, and a lost executor costs one step."""
-    path = path or new_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+def stored(df: DataFrame, name: str, path: str | None = None, compression: str = "snappy", tidy: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read back: the lineage ends there, and a lost executor costs one step.
+
+    ``tidy``: the shuffle files behind it go once it is written, not when the driver happens to collect its garbage.
+    """
+    path, conf, cleanup = path or new_path(df.sparkSession, name), df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(cleanup, "false")
+    try:
+        conf.set(cleanup, "true" if tidy else before)
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        conf.set(cleanup, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -85,6 +85,16 @@ def test_ids_are_stored_as_given(spark, monkeypatch):
     assert written and not [c for columns in written for c in columns if c.endswith("_ref")]
 
 
+def test_rows_meet_their_own_identities_and_leave_no_shuffle(spark, monkeypatch):
+    """All rows were shuffled to meet the whole population, and the files of each role's shuffle stayed."""
+    written, before = [], eventbuild.stored
+    monkeypatch.setattr(eventbuild, "stored", lambda df, name, *a, **k: written.append((name, before(df, name, *a, **k), k.get("tidy"))) or written[-1][1])
+    eventbuild.build(spark, "e", {**sources(spark), "attendance": Source(frame(spark, ["approval_status", "checked_in_at"], [("1", "b", "x", ""), ("2", "z", "x", ""), ("3", "b", "x", "")]))})
+    assert written and all(tidy for *_, tidy in written)
+    assert sorted(sorted(r.identity for r in df.collect()) for name, df, _ in written if name == "event-known") == [["a", "b"], ["a", "b"], ["b"]]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_an_id_like_a_row_of_its_own(spark):
     teams = frame(spark, ["team_id", "track"], [("1", "a", "row:4:S", "x"), ("2", "a", "row:4:S", "y")])
     submissions = frame(spark, ["project_id", "team_id", "submission_status", "track"], [("1", "a", "P1", "T1", "done", "x"), ("2", "a", "P2", "T1", "done", "x"), ("3", "a", "P3", None, "done", "x")])
