@@ -8,7 +8,8 @@ How it runs: documents are packed into blocks (rows of about ``BLOCK_BYTES`` of
 these), and written once. For each order, a block sends each shard its distinct n-grams there, with training counts, the
 context's count and the quantised lower-order probability (order 1: the words). A shard is one group of bounded size: it adds up the
 blocks' counts, smooths and quantises, lays the level down as a memory-mapped Elias-Fano trie level (:mod:`eliasfano`), and
-answers the blocks by successor search relative to the context: a code for each n-gram, or none. An n-gram that one block alone has is
+answers the blocks by successor search relative to the context: a code for each n-gram, or none. Blocks are stored anew with their answers
+and the tables before that go. An n-gram that one block alone has is
 answered by a mark: the block knows its count. So it does for all n-grams that hold such a one, which aren't sent. Blocks join their answers and go on to the
 next order; with the last order's messages goes a sum per document, and places that wait for an answer are added to it. Word and node numbers are ``place * shards + shard``.
 
@@ -25,10 +26,10 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +46,6 @@ OWN, OWN_CODE = -2, NONE - 1
 #: Tokens a shard answers for, on average, and occurrences of a context for which it gets one more shard.
 SHARD_TOKENS = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_STATE = "block long, words binary, seq binary, sizes binary, held binary"
 _SENT = "shard long, block long, gram binary"
 _ANSWER = "block long, shard long, types long, tokens long, answer binary"
 
@@ -76,12 +76,28 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return found
 
 
-class _Local(dict):
-    """Numbers words by their first appearance; the end token, the empty word, is 0."""
+def _numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of the texts by first appearance, a line each; places as numbers of these; and places of each text. The end token, the empty word, is 0."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = found.flatten().dictionary_encode()
+    code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    # White space at either end leaves empty words, which are none.
+    blank = pc.index(words, pa.scalar("", words.type)).as_py()
+    there = code != blank
+    sizes = np.bincount(np.repeat(np.arange(len(found)), found.value_lengths().to_numpy())[there], minlength=len(found)) + 1
+    seq = np.zeros(sizes.sum(), np.uint32)
+    inner = np.ones(len(seq), bool)
+    inner[np.cumsum(sizes) - 1] = False
+    seq[inner] = (code + 1 - ((code > blank) & (blank >= 0)))[there]
+    words = pa.concat_arrays([pa.array([""], words.type), words.filter(pc.not_equal(words, ""))])
+    (lines,) = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")
+    return np.frombuffer(lines.as_buffer(), np.uint8), seq, sizes.astype(np.uint32)
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+
+def _lines(words: np.ndarray) -> pa.Array:
+    """The words of ``_numbered``, one by one."""
+    ends = np.append(np.flatnonzero(words == 10), len(words))
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(0, ends - np.arange(len(ends)))), pa.py_buffer(words[words != 10])])
 
 
 def blocks(docs: DataFrame, learn: Column) -> tuple[DataFrame, str]:
@@ -91,17 +107,11 @@ def blocks(docs: DataFrame, learn: Column) -> tuple[DataFrame, str]:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in common.spans([len(t) for t in texts], BLOCK_BYTES):
-                local, seqs = _Local({b"": 0}), []
-                for text in texts[a:b]:
-                    words = text.encode().lower().split()
-                    seqs.append(np.fromiter(map(local.__getitem__, words), np.uint32, len(words)))
-                    seqs.append(np.zeros(1, np.uint32))
-                sizes = np.array([len(s) for s in seqs], np.uint32).reshape(-1, 2).sum(1).astype(np.uint32)
-                words = np.frombuffer(b"\n".join(local), np.uint8)
+            texts = batch.column("text")
+            for a, b in common.spans(pc.binary_length(texts).to_pylist(), BLOCK_BYTES):
+                words, seq, sizes = _numbered(texts.slice(a, b - a))
                 held = batch.column("learn").slice(a, b - a).to_numpy(False).astype(np.uint8)
-                packed = [_pack(words), _pack(np.concatenate(seqs)), _pack(sizes), _pack(held)]
+                packed = [_pack(words), _pack(seq), _pack(sizes), _pack(held)]
                 ids = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column("doc_id").slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column("row")[a].as_py()], pa.int64()), ids, *(pa.array([p], pa.binary()) for p in packed)], ["block", "doc_ids", "words", "seq", "sizes", "held"])
 
@@ -120,12 +130,17 @@ class _Block:
 
     def __init__(self, row: dict, shards: int, total: int, types: int, mu: float = MU):
         self.block, self.shards = row["block"], shards
-        (self.words,), (self.seq,), (self.sizes,), (self.held,) = ([x for x in _unpack(row[c])] for c in ("words", "seq", "sizes", "held"))
-        self.words = self.words.tobytes().split(b"\n")
+        (self.seq,), (self.sizes,), (self.held,) = (_unpack(row[c]) for c in ("seq", "sizes", "held"))
         starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
         self.depth = np.arange(len(self.seq)) - np.repeat(starts, self.sizes)
         self.learnt = np.repeat(self.held, self.sizes).astype(bool)
         self.total, self.types, self.mu, self.order = total, types, mu, 0
+        if "numbers" in row:
+            number, self.count = (x.astype(np.int64) for x in _unpack(row["numbers"]))
+            self.number = number + OWN
+            self.begin()
+        else:
+            self.words = _unpack(row["words"])[0].tobytes().split(b"\n")
 
     def own_words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The order of words in which they are sent, with shards and training counts."""
@@ -139,6 +154,13 @@ class _Block:
         self.number, self.count = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
         self.number[order] = number = number + OWN
         self.count[order] = np.where(number == OWN, times, count)
+        self.begin()
+
+    def numbers(self) -> bytes:
+        """What a block needs of its words once they are learnt."""
+        return _pack(self.number - OWN, self.count)
+
+    def begin(self) -> None:
         self.c = self.count[self.seq]
         self.p = (self.c + 1.0) / (self.total + self.types + 1)
         self.node, self.node_count, self.unit, self.order = self.number[self.seq], self.c, self.seq.astype(np.int64), 1
@@ -150,11 +172,11 @@ class _Block:
         self.context_count[1:] = np.where(self.depth[1:] >= k - 1, self.node_count[:-1], 0)
         self.lower = np.where(self.context_count > 0, self.mu * self.p / (self.context_count + self.mu), self.p)
         self.places = np.flatnonzero((self.context_count > 0) & (self.node_count > 0))
-        first, self.inverse, _ = _groups(self.unit[self.places - 1] * len(self.words) + self.seq[self.places])
+        first, self.inverse, _ = _groups(self.unit[self.places - 1] * len(self.number) + self.seq[self.places])
         self.at = self.places[first]
         self.times = np.bincount(self.inverse[self.learnt[self.places]], minlength=len(first))
         self.lower_codes = np.minimum(np.rint(-np.log10(self.p[self.at]) * STEPS), NONE - 1).astype(np.uint16)
-        self.codes = np.where(self.times > 0, np.minimum(quantised(_smoothed(self.times, self.lower_codes, self.context_count[self.at], self.mu)), OWN_CODE - 1), NONE).astype(np.uint16)
+        self.codes = _own_codes(self.times, self.lower_codes, self.context_count[self.at], self.mu)
         sent = np.flatnonzero((self.node[self.at - 1] >= 0) & (self.node[self.at] >= 0))
         h, w = self.node[self.at[sent] - 1], self.number[self.seq[self.at[sent]]]
         sent = sent[order := np.argsort(_joint(h, w))]
@@ -189,11 +211,14 @@ class _Block:
         self.order += 1
 
     def rest(self, order: int) -> bytes:
-        """Sums per document without the places whose n-grams are sent, and for these the document, the n-gram and both of its values."""
+        """Sums per document without the places whose n-grams are sent, and for these the document, the n-gram, and of what both of its values are made.
+
+        From order 3 on the lower order's value is a code, as what is sent was answered; at order 2 it is given as it is.
+        """
         starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
         add = lambda x: np.add.reduceat(x, starts)
         base = np.log10((self.c + 1.0) / (self.total + self.types + 1)) if self.total else np.zeros(len(self.c))
-        waiting = [np.empty(0, np.uint32), np.empty(0, np.uint32), np.empty(0), np.empty(0, np.uint16)]
+        waiting = [np.empty(0, kind) for kind in (np.uint32, np.uint32, np.uint16, np.int64, np.int64, float)]
         if order == 1:
             log = np.log10(self.p)
         else:
@@ -204,17 +229,19 @@ class _Block:
             number[self.sent] = np.arange(len(self.sent))
             gram = number[self.inverse]
             at, gram = self.places[gram >= 0], gram[gram >= 0]
-            waiting = [np.repeat(np.arange(len(self.sizes)), self.sizes)[at].astype(np.uint32), gram.astype(np.uint32), np.log10(self.lower[self.at[self.sent]]), self.codes[self.sent]]
+            waiting = [np.repeat(np.arange(len(self.sizes)), self.sizes)[at].astype(np.uint32), gram.astype(np.uint32), self.lower_codes[self.sent], self.context_count[own := self.at[self.sent]], self.times[self.sent], np.log10(self.lower[own]) if order == 2 else np.empty(0)]
             log[at] = 0.0
         return _pack(self.held, self.sizes, add((self.c > 0).astype(np.int64)), add(base), add(log), *waiting)
 
 
-def _scores(rest: bytes, answers: list[bytes]) -> list[np.ndarray]:
+def _scores(rest: bytes, answers: list[bytes], mu: float = MU) -> list[np.ndarray]:
     """learnt, n_tokens, n_known, base_score and score of a block's documents."""
-    held, sizes, known, base, score, doc, gram, lower, own = _unpack(rest)
+    held, sizes, known, base, score, doc, gram, lower_codes, context_count, times, lower = _unpack(rest)
     if len(gram):
         code = np.concatenate([_unpack(a)[0] for a in answers])
-        code = np.where(code == OWN_CODE, own, code)
+        code = np.where(code == OWN_CODE, _own_codes(times, lower_codes, context_count, mu), code)
+        if not len(lower):
+            lower = np.log10(mu * 10.0 ** (-lower_codes.astype(float) / STEPS) / (context_count + mu))
         score = score + np.bincount(doc, np.where(code == NONE, lower, code / -STEPS)[gram], len(score))
     return [held.astype(bool), sizes.astype(np.int64), known.astype(np.int64), base, score]
 
@@ -242,28 +269,29 @@ def _smoothed(count: np.ndarray, lower_codes: np.ndarray, context_count: np.ndar
     return (count + mu * 10.0 ** (-lower_codes.astype(float) / STEPS)) / (context_count + mu)
 
 
+def _own_codes(times: np.ndarray, lower_codes: np.ndarray, context_count: np.ndarray, mu: float) -> np.ndarray:
+    """Codes of n-grams as if no other block held them."""
+    return np.where(times > 0, np.minimum(quantised(_smoothed(times, lower_codes, context_count, mu)), OWN_CODE - 1), NONE).astype(np.uint16)
+
+
 def _word_shard(table: pa.Table, shards: int) -> pa.Table:
     """Numbers and counts of a shard's words, for each block in the order in which it sent them."""
     sent = [_unpack(m.as_py()) for m in table.column("gram")]
     shard = table.column("shard")[0].as_py()
-    counts: dict[bytes, int] = {}
-    lists, seen, shared = [], set(), set()
-    for words, times in sent:
-        words = words.tobytes().split(b"\n")
-        lists.append(words)
-        shared |= seen.intersection(words)
-        seen.update(words)
-        for w, n in zip(words, times.tolist()):
-            if n:
-                counts[w] = counts.get(w, 0) + n
+    sizes = [len(times) for _, times in sent]
+    coded = pa.concat_arrays([_lines(words) for words, _ in sent]).dictionary_encode()
+    code, words = coded.indices.to_numpy(), coded.dictionary
+    counts = np.bincount(code, np.concatenate([times for _, times in sent]), len(words)).astype(np.int64)
     # A word of one block is its own; those of many occurrences have small numbers, which take less room.
-    number = dict.fromkeys(counts, 0)
-    held = sorted(shared & counts.keys(), key=lambda w: (-counts[w], w))
-    number.update((w, i * shards + shard - OWN) for i, w in enumerate(held))
-    told = {w: counts[w] for w in held}
-    answers = [_pack(np.fromiter(map(number.get, x, repeat(-1 - OWN)), np.int64, len(x)), np.fromiter(map(told.get, x, repeat(0)), np.int64, len(x))) for x in lists]
+    held = np.flatnonzero((np.bincount(code, minlength=len(words)) > 1) & (counts > 0))
+    order = pc.sort_indices(pa.table({"n": counts[held], "word": words.take(pa.array(held))}), sort_keys=[("n", "descending"), ("word", "ascending")])
+    number, told = np.where(counts > 0, 0, -1 - OWN), np.zeros(len(words), np.int64)
+    number[held[order.to_numpy()]] = np.arange(len(held)) * shards + shard - OWN
+    told[held] = counts[held]
+    stops = np.cumsum(sizes)
+    answers = [_pack(number[code[b - n:b]], told[code[b - n:b]]) for n, b in zip(sizes, stops)]
     blank = [None] * len(answers)
-    return _answers([*table.column("block").to_pylist(), None], [shard] * (len(answers) + 1), [*blank, len(counts)], [*blank, sum(counts.values())], [*answers, None])
+    return _answers([*table.column("block").to_pylist(), None], [shard] * (len(answers) + 1), [*blank, int((counts > 0).sum())], [*blank, int(counts.sum())], [*answers, None])
 
 
 def _answers(block: list, shard: list, types: list, tokens: list, answer: list) -> pa.Table:
@@ -320,66 +348,75 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER, mu: float = MU) ->
     totals = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     total, types = int(totals[0]), int(totals[1])
 
-    def joined(levels: list[DataFrame]) -> DataFrame:
-        """Each block with its answers by level, in the order of their shards."""
-        own = None
-        for k, level in enumerate(levels):
-            rows = level.where("block is not null").select("block", F.struct(F.lit(k).alias("level"), "shard", "answer").alias("a"))
-            own = rows if own is None else own.unionByName(rows)
-        return state.join(own.groupBy("block").agg(F.array_sort(F.collect_list("a")).alias("answers")), "block", "left")
+    def joined(state: DataFrame, level: DataFrame, name: str) -> DataFrame:
+        """Each block with its answers, in the order of their shards."""
+        own = level.where("block is not null").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("shard", "answer"))).alias(name))
+        return state.join(own, "block", "left").select(*state.columns, F.col(f"{name}.answer").alias(name))
 
     def block_of(row: dict, levels: int) -> _Block:
         block = _Block(row, shards, total, types, mu)
-        by_level: list[list[bytes]] = [[] for _ in range(levels)]
-        for a in row["answers"]:
-            by_level[a["level"]].append(a["answer"])
-        block.learn_words(by_level[0])
-        for k in range(1, levels):
-            block.learn(by_level[k])
+        for k in range(2, levels + 1):
+            block.learn(row[f"answers_{k}"] or [])
         return block
 
+    def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                row = one.drop_columns(["doc_ids"]).to_pylist()[0]
+                block = _Block(row, shards, total, types, mu)
+                block.learn_words(row["answers"])
+                yield pa.RecordBatch.from_arrays([*map(one.column, ("block", "doc_ids", "seq", "sizes", "held")), pa.array([block.numbers()], pa.binary())], ["block", "doc_ids", "seq", "sizes", "held", "numbers"])
+
+    def moved(new: DataFrame, *old: DataFrame) -> DataFrame:
+        """Blocks with what they learnt are stored in place of the former tables, so that later steps need no shuffle of them."""
+        new = common.stored(new, "lm-blocks", "uncompressed", tidy=True)
+        common.removed(*old)
+        return new
+
+    state = moved(joined(state, words, "answers").mapInArrow(learnt, f"block long, doc_ids array<{kind}>, seq binary, sizes binary, held binary, numbers binary"), state, words)
     answered = lambda nodes: lambda table: _gram_shard(table, shards, nodes, mu)
-    levels = [words]
     for k in range(2, order):
 
-        def send(batches: Iterator[pa.RecordBatch], n: int = len(levels)) -> Iterator[pa.RecordBatch]:
+        def send(batches: Iterator[pa.RecordBatch], k: int = k) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(batch.num_rows):
-                    block = block_of(batch.slice(i, 1).drop_columns(["doc_ids"]).to_pylist()[0], n)
+                    block = block_of(batch.slice(i, 1).drop_columns(["doc_ids"]).to_pylist()[0], k - 1)
                     block.grams()
                     for s, of, gram in block.messages():
                         yield pa.RecordBatch.from_pylist([{"shard": s, "block": of, "gram": gram}], sent_schema)
 
-        grams = joined(levels).mapInArrow(send, _SENT).groupBy("shard").applyInArrow(answered(True), _ANSWER)
-        levels.append(common.stored(grams, f"lm-grams-{k}", "uncompressed", tidy=True))
+        grams = common.stored(state.mapInArrow(send, _SENT).groupBy("shard").applyInArrow(answered(True), _ANSWER), f"lm-grams-{k}", "uncompressed", tidy=True)
+        state = moved(joined(state, grams, f"answers_{k}"), state, grams)
 
-    def send_last(batches: Iterator[pa.RecordBatch], n: int = len(levels)) -> Iterator[pa.RecordBatch]:
+    def send_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The messages of the last order, and a row without a shard for what is left of the block."""
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
                 ids = one.column("doc_ids")
                 row = lambda s, of, data, ids: pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([of], pa.int64()), pa.array([data], pa.binary()), ids], ["shard", "block", "gram", "doc_ids"])
-                block = block_of(one.drop_columns(["doc_ids"]).to_pylist()[0], n)
+                block = block_of(one.drop_columns(["doc_ids"]).to_pylist()[0], order - 1)
                 if order > 1:
                     block.grams()
                     for message in block.messages():
                         yield row(*message, pa.nulls(1, ids.type))
                 yield row(None, block.block, block.rest(order), ids)
 
-    last = common.stored(joined(levels).mapInArrow(send_last, f"{_SENT}, doc_ids array<{kind}>"), "lm-last", "uncompressed", tidy=True)
+    last = common.stored(state.mapInArrow(send_last, f"{_SENT}, doc_ids array<{kind}>"), "lm-last", "uncompressed", tidy=True)
+    common.removed(state)
     answers = last.where("shard is not null").select("shard", "block", "gram").groupBy("shard").applyInArrow(answered(False), _ANSWER)
-    answers = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("shard", "answer"))).alias("answers"))
+    answers = common.stored(answers, "lm-answers", "uncompressed", tidy=True)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                found = _scores(one.column("gram")[0].as_py(), [a["answer"] for a in one.column("answers")[0].as_py() or []])
+                found = _scores(one.column("gram")[0].as_py(), one.column("answers")[0].as_py() or [], mu)
                 yield pa.RecordBatch.from_arrays(
                     [one.column("doc_ids").flatten(), *map(pa.array, found), pa.array(np.full(len(found[0]), total))],
                     ["doc_id", "learnt", "n_tokens", "n_known", "base_score", "score", "train_tokens"],
                 )
 
-    rest = last.where("shard is null").select("block", "gram", "doc_ids").join(answers, "block", "left")
+    rest = joined(last.where("shard is null").select("block", "gram", "doc_ids"), answers, "answers")
     return rest.mapInArrow(sums, f"doc_id {kind}, learnt boolean, n_tokens long, n_known long, base_score double, score double, train_tokens long")

@@ -3,14 +3,16 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.llm import lmscore, queries
+from cohortlens.llm import common, lmscore, queries
 from cohortlens.llm.eliasfano import STEPS, EliasFano, Level
 
 
@@ -89,6 +91,23 @@ def test_ngrams_of_one_block_are_not_sent():
     assert learnt and tuple(got[:2]) == expected[2:4] and got[2] == pytest.approx(expected[4]) and abs(got[3] - expected[5]) <= 15 / STEPS
 
 
+def test_only_the_last_tables_stay(spark, tmp_path, monkeypatch):
+    """Blocks and answers of lower orders stayed beside the last order's messages, which took more disk than the limit."""
+    monkeypatch.setattr(common, "new_path", lambda spark, name: f"{tmp_path}/{name}-{time.time_ns()}")
+    rows = [(i, "a b a c b"[: 2 * i], True) for i in range(5)]
+    compared(lmscore.score(spark.createDataFrame(rows, "doc_id long, text string, learn boolean").repartition(2), F.col("learn")), rows, lmscore.ORDER)
+    assert sorted(p.name.rpartition("-")[0] for p in tmp_path.iterdir()) == ["lm-answers", "lm-last"]
+
+
+@pytest.mark.parametrize("text", [" a\x0b\x1cB\t\x85 \xa0É", "", "\n \r\x0c", "a  a"])
+def test_numbered_words(text):
+    words, seq, sizes = lmscore._numbered(pa.array(["pad", "B a", text]).slice(1))
+    held = words.tobytes().split(b"\n")
+    expected = [[(t or "").encode() for t in tokens(x)] for x in ("B a", text)]
+    assert held[0] == b"" and len(set(held)) == len(held) and lmscore._lines(words).to_pylist() == held
+    assert [held[i] for i in seq] == sum(expected, []) and sizes.tolist() == [len(x) for x in expected]
+
+
 def test_query(spark, sf, docs):
     rows = [(r["doc_id"], r["text"], zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2) for r in docs.select("doc_id", "text").collect()]
     found = queries.op12_elias_fano_lm(spark, sf)
