@@ -211,7 +211,7 @@ class _Block:
         self.order += 1
 
     def rest(self, order: int) -> bytes:
-        """Sums per document without the places whose n-grams are sent, and for these the document, the n-gram, and of what both of its values are made.
+        """Sums per document without the places whose n-grams are sent, and for these, by n-gram, the documents, their number, and of what both values are made.
 
         From order 3 on the lower order's value is a code, as what is sent was answered; at order 2 it is given as it is.
         """
@@ -229,20 +229,21 @@ class _Block:
             number[self.sent] = np.arange(len(self.sent))
             gram = number[self.inverse]
             at, gram = self.places[gram >= 0], gram[gram >= 0]
-            waiting = [np.repeat(np.arange(len(self.sizes)), self.sizes)[at].astype(np.uint32), gram.astype(np.uint32), self.lower_codes[self.sent], self.context_count[own := self.at[self.sent]], self.times[self.sent], np.log10(self.lower[own]) if order == 2 else np.empty(0)]
+            # By n-gram, so that a number of places each takes less room than the n-gram of each place.
+            waiting = [np.repeat(np.arange(len(self.sizes)), self.sizes)[at[np.argsort(gram)]].astype(np.uint32), np.bincount(gram, minlength=len(self.sent)).astype(np.uint32), self.lower_codes[self.sent], self.context_count[own := self.at[self.sent]], self.times[self.sent], np.log10(self.lower[own]) if order == 2 else np.empty(0)]
             log[at] = 0.0
         return _pack(self.held, self.sizes, add((self.c > 0).astype(np.int64)), add(base), add(log), *waiting)
 
 
 def _scores(rest: bytes, answers: list[bytes], mu: float = MU) -> list[np.ndarray]:
     """learnt, n_tokens, n_known, base_score and score of a block's documents."""
-    held, sizes, known, base, score, doc, gram, lower_codes, context_count, times, lower = _unpack(rest)
-    if len(gram):
+    held, sizes, known, base, score, doc, places, lower_codes, context_count, times, lower = _unpack(rest)
+    if len(doc):
         code = np.concatenate([_unpack(a)[0] for a in answers])
         code = np.where(code == OWN_CODE, _own_codes(times, lower_codes, context_count, mu), code)
         if not len(lower):
             lower = np.log10(mu * 10.0 ** (-lower_codes.astype(float) / STEPS) / (context_count + mu))
-        score = score + np.bincount(doc, np.where(code == NONE, lower, code / -STEPS)[gram], len(score))
+        score = score + np.bincount(doc, np.repeat(np.where(code == NONE, lower, code / -STEPS), places), len(score))
     return [held.astype(bool), sizes.astype(np.int64), known.astype(np.int64), base, score]
 
 
