@@ -13,6 +13,9 @@ What groups and matches say is combined by word: counts are summed, the best is
 code point, so it has at most as many as the alphabet has letters (90), however large the vocabulary.
 Roots follow forms by pointer jumping: n grows fivefold at each step, so few rounds are needed.
 
+Every join here is asked for as a merge: Spark sizes a table by its compressed files and takes an explode to add no rows, so it
+would broadcast all places of all words as long as the words' files are small.
+
 Words are maximal runs of letters of the alphabet; A-Z alone are lower-cased. Runs that the rule below picks lose a
 code point (planted misspellings that a caller can switch off). Each task counts a run of documents in memory of a
 bounded number of words and emits sums, so a word that a third of all rows hold is a row a task.
@@ -91,7 +94,7 @@ def replaced(words: DataFrame) -> DataFrame:
     """``(word, near, best)`` of each word's wildcard groups that hold other words."""
     places = words.select("word", "n", F.explode(F.expr("transform(sequence(1, length(word)), i -> struct(i AS position, substring(word, 1, i - 1) AS prefix, substring(word, i + 1) AS suffix))")).alias("g"))
     groups = places.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.slice(F.array_sort(F.collect_list(_better(F.col("n"), F.col("word")))), 1, 2).alias("top")).where("size > 1")
-    met = places.join(groups, "g")
+    met = places.join(groups.hint("merge"), "g")
     best = F.when(F.col("top")[0]["word"] == F.col("word"), F.col("top")[1]).otherwise(F.col("top")[0])
     return met.select("word", (F.col("size") - 1).alias("near"), best.alias("best"))
 
@@ -99,7 +102,7 @@ def replaced(words: DataFrame) -> DataFrame:
 def shortened(words: DataFrame) -> DataFrame:
     """``(word, near, best)`` for both words of each deletion that is a word."""
     deletions = words.select("word", "n", F.explode(F.expr("array_distinct(transform(sequence(1, length(word)), i -> concat(substring(word, 1, i - 1), substring(word, i + 1))))")).alias("shorter"))
-    met = deletions.join(words.select(F.col("word").alias("shorter"), F.col("n").alias("shorter_n")), "shorter")
+    met = deletions.join(words.select(F.col("word").alias("shorter"), F.col("n").alias("shorter_n")).hint("merge"), "shorter")
     side = lambda word, n, other: F.struct(F.col(word).alias("word"), F.lit(1).cast("long").alias("near"), _better(F.col(n), F.col(other)).alias("best"))
     both = F.array(side("word", "shorter_n", "shorter"), side("shorter", "n", "word"))
     return met.select(F.explode(both).alias("s")).select("s.*")
@@ -110,7 +113,7 @@ def roots(forms: DataFrame) -> DataFrame:
     known = common.stored(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         onward = known.select(F.col("word").alias("root"), F.col("root").alias("onward"))
-        moved = known.join(onward, "root", "left")
+        moved = known.join(onward.hint("merge"), "root", "left")
         known = common.stored(moved.select("word", F.coalesce("onward", "root").alias("root"), F.col("onward").isNotNull().alias("moved")), "roots")
         if known.where("moved").isEmpty():
             return known.select("word", "root")
@@ -121,7 +124,7 @@ def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     """word, n, n_near, form, form_n and root of each row of ``(word, n)``."""
     words = common.stored(words, "words")
     near = replaced(words).unionByName(shortened(words)).groupBy("word").agg(F.sum("near").alias("near"), F.min("best").alias("best"))
-    found = words.join(near, "word", "left")
+    found = words.join(near.hint("merge"), "word", "left")
     taken = -F.col("best.minus") >= F.lit(ratio) * F.col("n")
     found = found.select(
         "word", "n", F.coalesce("near", F.lit(0)).cast("long").alias("n_near"),
@@ -129,4 +132,4 @@ def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     )
     found = common.stored(found, "forms")
     last = roots(found.where("form is not null"))
-    return found.join(last, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return found.join(last.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))

@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from cohortlens.llm import queries, variants
+from cohortlens.llm import common, queries, variants
 
 
 def near(a, b):
@@ -82,3 +82,13 @@ def test_counts_do_not_depend_on_batches(odd, monkeypatch):
     whole = set(variants.vocabulary(odd, 1, 1).collect())
     monkeypatch.setattr(variants, "TASK_WORDS", 1)
     assert set(variants.vocabulary(odd, 1, 1).collect()) == whole
+
+
+def test_no_join_is_a_broadcast(spark, monkeypatch):
+    """Files of a few bytes say nothing of the rows that an explode makes of them."""
+    plans, stored = [], common.stored
+    planned = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(common, "stored", lambda df, *a, **k: (planned(df), stored(df, *a, **k))[1])
+    counts = {"abcdef": 5**6, "abcdeg": 5**5, "abcdhg": 5**4, "abcde": 5**3, "zzzzzz": 9}
+    planned(variants.variants(spark.createDataFrame(list(counts.items()), "word string, n long")))
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
