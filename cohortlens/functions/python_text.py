@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 SKIPPED = frozenset(["script", "style", "noscript", "svg"])
-VISIBLE_CHARS = 4000
+#: The reference's excerpt of a page.
+EXCERPT_CHARS = 4000
 #: Comments, and elements whose content isn't parsed; one that never ends goes on to the end.
 _UNPARSED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 #: A tag: its slash, its name, and the rest; a value in quotes may hold >, a quote without its second is a character like others.
@@ -24,8 +25,8 @@ def casefold_nfkc(c: pd.Series) -> pd.Series:
     return c.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).strip().casefold() or None)
 
 
-def visible(html: str | None) -> str | None:
-    """The words outside comments and hidden elements, character references decoded, joined by spaces and cut."""
+def visible_whole(html: str | None) -> str | None:
+    """The words outside comments and hidden elements of the whole page, character references decoded, joined by spaces."""
     if html is None:
         return None
     pieces = _TAG.split(_UNPARSED.sub(" ", html))  # text, then for each tag its slash, its name, the rest and the text behind it
@@ -35,8 +36,14 @@ def visible(html: str | None) -> str | None:
             hidden = max(0, hidden - 1) if slash else hidden + 1
         if not hidden:
             words += unescape(text).split()
-    return " ".join(words)[:VISIBLE_CHARS]
+    return " ".join(words)
+
+
+def visible(html: str | None) -> str | None:
+    """The reference's excerpt, the beginning of ``visible_whole``; no query takes it."""
+    text = visible_whole(html)
+    return text and text[:EXCERPT_CHARS]
 
 
 #: Rows reach Python a hundred at a time: an Arrow batch would be thousands of pages, whatever their length.
-visible_text = F.udf(visible, StringType(), useArrow=False)
+visible_text = F.udf(visible_whole, StringType(), useArrow=False)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import python_text, text
 from cohortlens.operators import matching, predicates, scoring, suppress
+from cohortlens.plans import queries
 from cohortlens.sources import mapping, tables
 from cohortlens.streaming import interactions
 
@@ -114,3 +115,11 @@ def test_pages_reach_python_a_hundred_at_a_time(spark):
     """Thousands of pages at once, as in an Arrow batch, take memory by their length."""
     df = spark.range(1).select(python_text.visible_text(F.lit("<p>a</p>")).alias("t"))
     assert "BatchEvalPython" in df._jdf.queryExecution().executedPlan().toString() and df.first().t == "a"
+
+
+def test_visible_text_is_whole(spark, tmp_path):
+    """What stands behind the first 4,000 characters is text too."""
+    body = "".join(f"<p>word{i} &amp; <b>more</b></p><script>'</p>'</script>" for i in range(2000))
+    spark.createDataFrame([(1, body), (2, None), (3, "")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.text for r in queries.visible_text(spark, str(tmp_path)).collect()}
+    assert got == {1: " ".join(f"word{i} & more" for i in range(2000)), 2: None, 3: ""}
